@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -15,9 +16,16 @@ from pyspark.sql import functions as F
 from .common import settle, text_bytes
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, local_rank long"
-#: ASCII white space and what is not; a piece of text that starts where a solid run ends never shares a token with the text before.
-_CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+#: Where a solid run ends and ASCII white space begins, and between letters or digits and ASCII punctuation, a token ends.
+_RUNS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+_FINE_RUNS = re.compile(r"[\t-\r ]*[^\t-\r !-/:-@\[-`{-~]+|[\t-\r ]*[!-/:-@\[-`{-~]+|[\t-\r ]+")
+#: An apostrophe or a sign outside ASCII may join what stands beside it.
+_JOINING = re.compile(r"[^\w\x00-\x1b\x20-\x26\x28-\x7f]")
+
+
+def _other_space(text: str) -> bool:
+    """Holds white space that is not ASCII's, or a control sign that only some libraries count as white space."""
+    return any((c.isspace() or "\x1c" <= c <= "\x1f" or ord(c) in (0x180E, 0x200B, 0x2060, 0xFEFF)) for c in set(text) - set("\t\n\v\f\r "))
 
 
 class ChunkEncoder:
@@ -27,7 +35,7 @@ class ChunkEncoder:
     end are the ids of the text. Texts with other white space than ASCII go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,9 +53,12 @@ class ChunkEncoder:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if _RARE_SPACE.search(text):
-            return self._raw([text])[0]
-        chunks, known = _CHUNK.findall(text), self.known
+        cut = _FINE_RUNS
+        if _JOINING.search(text):
+            if _other_space(text):
+                return self._raw([text])[0]
+            cut = _RUNS
+        chunks, known = cut.findall(text), self.known
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
@@ -55,7 +66,13 @@ class ChunkEncoder:
                 known.clear()
             new = list({c for c in chunks if c not in known})
             known.update(zip(new, self._raw(new)))
-            return b"".join([known[c] for c in chunks])
+            return b"".join([known.get(c) or self._raw([c])[0] for c in chunks])
+
+
+@functools.cache
+def encoder(path: str) -> ChunkEncoder:
+    """One for each Python worker, so that chunks stay known from task to task."""
+    return ChunkEncoder(path)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_tail: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,14 +84,14 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), {}
+        encode, part, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
         for batch in batches:
             rows: list[tuple] = []
             held = 0
             names = batch.column(0).to_pylist()
             for lo in range(0, len(names), 64):
                 for name, t in zip(names[lo : lo + 64], batch.column(1).slice(lo, 64).to_pylist()):
-                    ids = encoder.encode(t or "") + b"\0\0\0\0"
+                    ids = encode(t or "") + b"\0\0\0\0"
                     n = len(ids) // 4
                     cuts = list(range(0, n, max_tokens)) + [n]
                     if max_tail and cuts[-1] - cuts[-2] < max_tokens:
