@@ -27,6 +27,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_next
+
+    found = compare_with_next(table(spark, sf_dir, "documents"))
+    hexed = [F.lower(F.hex(c)).alias(a) for c, a in (("hashes", "fingerprint"), ("edited_hashes", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *hexed, "near_edited", "near_next")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -36,7 +44,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_packing, op7_pii)}
+    return {f.__name__: f for f in (op2_language_id, op3_packing, op4_fingerprints, op7_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
