@@ -59,12 +59,15 @@ def runs_of_rows(offsets: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    x = np.array(x, np.uint64, ndmin=1)
+    t = x >> np.uint64(30)
+    x ^= t
     x *= MIX_1
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
     x *= MIX_2
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
     return x
 
 

@@ -43,8 +43,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .segmentations import sample_segmentations
+
+    found = sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "sample", F.expr("octet_length(ids) div 4").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_packing, op4_fingerprints, op7_pii)}
+    return {f.__name__: f for f in (op2_language_id, op3_packing, op4_fingerprints, op7_pii, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
