@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,39 +54,69 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.drop("hashes", "positions").withColumn("_w", udf(F.col(text))).select("*", "_w.*").drop("_w")
 
 
-def next_ids(docs: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, next_id): the next id in ascending order, the first after the last. Ids are ranged over partitions; only
-    each partition's first id meets in one place, as many rows as there are partitions."""
-    spark = docs.sparkSession
-    ids = settle(docs.select(F.col(id).cast("long").alias("id")).where("id is not null").distinct().repartitionByRange(parts(spark), "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
-    inside = ids.selectExpr("id", "part", "lead(id) over (partition by part order by id) as following")
-    heads = ids.groupBy("part").agg(F.min("id").alias("head"))
-    after = heads.selectExpr("part", "coalesce(lead(head) over (order by part), min(head) over ()) as first_after")
-    return inside.join(F.broadcast(after), "part").select(F.col("id").alias(id), F.coalesce("following", "first_after").alias("next_id"))
-
-
-REPORT = "n_chars long, edited_text string, hashes binary, edited_hashes binary, near_edited double, near_next double"
+REPORT = "doc_id long, n_chars long, edited_text string, hashes binary, edited_hashes binary, near_edited double, near_next double"
 
 
 def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text and REPORT): each text's fingerprint beside that of its edited form and of the next document.
+    """Each text's fingerprint beside that of its edited form and of the next document; columns: see REPORT.
 
     The edited form has the last floor(n/2) code points replaced by the first as many of the next document, in
-    ascending id (after the last: the first). Null texts are empty. Of rows with the same id each is compared;
-    as the next document the least of their texts counts. Hashes are big-endian 32-bit numbers, end to end."""
-    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    following = own.groupBy("doc_id").agg(F.min("text").alias("next_text")).withColumnRenamed("doc_id", "next_id")
-    paired = own.join(next_ids(own), "doc_id").join(following, "next_id")
-
-    def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, nexts in frames:
-            rows = []
-            for t, x in zip(texts, nexts):
-                half = len(t) // 2
-                edited = t[: len(t) - half] + x[:half]
-                h, e = winnow(t)[0], winnow(edited)[0]
-                rows.append((len(t), edited, h.astype(">u4").tobytes(), e.astype(">u4").tobytes(), likeness(h, e), likeness(h, winnow(x)[0])))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in REPORT.split(", ")])
+    ascending id (after the last: the first). Null texts are empty; rows without an id are left out. Of rows with the
+    same id each is compared, and the least of their texts is the next document's. Hashes are big-endian 32-bit numbers end to end.
 
-    udf = F.pandas_udf(run, REPORT)
-    return paired.withColumn("_f", udf("text", "next_text")).select("doc_id", "text", "_f.*")
+    Texts move once: to ranges of ids, whose bounds are as many numbers as there are partitions. The first document of a
+    range goes to the range before it as well, so each range is read in order with the next document at hand.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
+    n = parts(spark)
+    ids = own.select("doc_id")
+    bounds = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    bounds = sorted(set(bounds))
+    place = F.expr("0") if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id")))
+    heads = settle(ids.groupBy(place.alias("range")).agg(F.min("doc_id").alias("head")))
+    ahead = heads.selectExpr("head", "coalesce(lag(range) over (order by range), max(range) over ()) as earlier")  # a row for each range
+    marked = own.withColumn("range", place).join(F.broadcast(ahead), F.col("doc_id") == F.col("head"), "left")
+    both = F.when(F.col("earlier").isNull(), F.array(F.struct("range", F.lit(False).alias("ahead")))).otherwise(F.array(F.struct("range", F.lit(False).alias("ahead")), F.struct(F.col("earlier").alias("range"), F.lit(True).alias("ahead"))))
+    dealt = marked.select("doc_id", "text", F.explode(both).alias("to")).select("to.range", "to.ahead", "doc_id", "text")
+    ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        names = [c.split()[0] for c in REPORT.split(", ")]
+        held: list[str] = []
+        at: tuple | None = None  # range and id of the texts held
+        kept = None  # fingerprint of the document that was next a moment ago
+        out: list[tuple] = []
+
+        def close(following: str):
+            nonlocal kept
+            after = winnow(following)[0]
+            for k, t in enumerate(held):
+                half = len(t) // 2
+                edited = t[: len(t) - half] + following[:half]
+                h = kept if k == 0 and kept is not None else winnow(t)[0]
+                e = winnow(edited)[0]
+                out.append((at[1], len(t), edited, h.astype(">u4").tobytes(), e.astype(">u4").tobytes(), likeness(h, e), likeness(h, after)))
+            kept = after
+
+        for batch in batches:
+            columns = [batch.column(i) for i in range(4)]
+            for lo in range(0, batch.num_rows, 256):
+                for where, ahead, name, t in zip(*(c.slice(lo, 256).to_pylist() for c in columns)):
+                    if at is not None and at[0] == where and (ahead or at[1] != name):
+                        if held:
+                            close(t)
+                        held = []
+                    if not ahead:
+                        if at is None or at[0] != where:
+                            kept = None
+                        at = (where, name)
+                        held.append(t)
+                if sum(len(r[2]) for r in out) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return ordered.mapInArrow(run, REPORT)
