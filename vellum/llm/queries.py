@@ -52,8 +52,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "sample", F.expr("octet_length(ids) div 4").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_packing, op4_fingerprints, op7_pii, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_language_id, op3_packing, op4_fingerprints, op7_pii, op8_sentencepiece, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
