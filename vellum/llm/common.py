@@ -147,6 +147,14 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.where(x[b] <= x[a], b, a)
 
 
+def sample_by_hash(df: DataFrame, column: str, rows: int, seed: int = 0) -> DataFrame:
+    """About `rows` rows of df, all where it has no more: those whose hash of the column is below a bound that their number gives."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * (rows / n)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node reachable over edges. Nodes without an edge are not listed.
 

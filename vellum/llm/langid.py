@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_by_hash
+
 BUCKETS, DIM, GRAMS = 1 << 15, 12, (1, 2, 3, 4)
 
 
@@ -128,12 +130,13 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: i
 
 
 def train(docs: DataFrame, sample_rows: int = 4000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most sample_rows rows with a text and a language, taken by a hash of their id; of each three
+    """Fit on about sample_rows rows with a text and a language, taken by a hash of their id; of each three
     stretches of 600 signs. Rows without language are not used; an empty table gives a model that rejects all."""
     start = "least(greatest(length({0}) - 600, 0), length({0}) div 2) + 1".format(text)
     stretch = F.expr(f"concat(substring({text}, 1, 600), ' ', substring({text}, {start}, 600), ' ', right({text}, 600))")
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(F.col(id)).alias("k"), stretch.alias("t"), F.col(lang).alias("la"))
-    return fit([(r["t"], r["la"]) for r in rows.orderBy("k", "t", "la").limit(sample_rows).collect()])
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = sample_by_hash(known, id, sample_rows).select(F.xxhash64(F.col(id)).alias("k"), stretch.alias("t"), F.col(lang).alias("la"))
+    return fit([(r["t"], r["la"]) for r in sorted(rows.collect())])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
