@@ -134,17 +134,19 @@ def _power(r: np.uint64, n: int) -> np.uint64:
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Position of the smallest of each w consecutive values, rightmost on ties (len(x) - w + 1 of them)."""
-    if len(x) < w:
-        return np.empty(0, np.int64)
+    """Position of the smallest of each w consecutive values of x, by their upper 36 bits, rightmost on ties (len(x) - w + 1 of them)."""
     n = len(x) - w + 1
-    at, size = np.arange(len(x)), 1
-    while size * 2 <= w:
-        a, b = at[: len(at) - size], at[size:]
-        at = np.where(x[b] <= x[a], b, a)
-        size *= 2
-    a, b = at[:n], at[w - size : w - size + n]
-    return np.where(x[b] <= x[a], b, a)
+    if n <= 0:
+        return np.empty(0, np.int64)
+    low = np.uint64((1 << 28) - 1)
+    packed = np.full(-(-len(x) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+    packed[: len(x)] = (x & ~low) | (low - (np.arange(len(x), dtype=np.uint64) & low))
+    by_block = packed.reshape(-1, w)
+    left = np.minimum.accumulate(by_block, 1).ravel()
+    right = np.minimum.accumulate(by_block[:, ::-1], 1)[:, ::-1].ravel()
+    code = low - (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & low)
+    at = np.arange(n, dtype=np.uint64)
+    return (at + ((code - at) & low)).astype(np.int64)
 
 
 def sample_by_hash(df: DataFrame, column: str, rows: int, seed: int = 0) -> DataFrame:

@@ -24,10 +24,10 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     if not len(c):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     code = mix(c.astype(np.uint64) + np.uint64(1))
-    h = (windows(code, min(gram, len(c))) >> np.uint64(32)).astype(np.uint32)
+    h = windows(code, min(gram, len(c)))
     at = window_min(h, min(window, len(h)))
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return h[at], at
+    return (h[at] >> np.uint64(32)).astype(np.uint32), at
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
