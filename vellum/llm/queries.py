@@ -72,8 +72,14 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op7_pii, op8_sentencepiece, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
