@@ -24,7 +24,7 @@ from .common import mix
 
 #: No piece holds a blank after another sign, so units never share a piece. A unit of more signs than this is cut.
 UNIT = re.compile("▁*[^▁]{1,256}|▁{1,256}")
-PASS_CHARS, BLOCK, SCALE = 4_000_000, 24, 2.5
+PASS_CHARS, BLOCK, SCALE = 800_000, 24, 2.5
 
 
 class Pieces:
@@ -374,8 +374,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, seed: int = 1,
                     hi += 1
                 keys = mix(np.array([x or 0 for x in names[lo:hi]], np.int64).astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
                 rows = [(n, j, *s) for n, f in zip(names[lo:hi], sample_texts(keys, texts[lo:hi], p, k)) for j, s in enumerate(f)]
-                for a in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), kinds)], [c.split()[0] for c in SAMPLES.split(", ")])
+                for a in range(0, len(rows), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 1024]), kinds)], [c.split()[0] for c in SAMPLES.split(", ")])
                 lo = hi
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SAMPLES)
