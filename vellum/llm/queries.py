@@ -49,6 +49,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -79,7 +85,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_license_scan, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

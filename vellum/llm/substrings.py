@@ -43,12 +43,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     return spans.select("doc_id", "span.start", "span.end")
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), same_if_whole: bool = False) -> DataFrame:
     """Each row of docs with n_units (words), n_removed, n_spans and kept_text: its words without those that repeat_spans covers.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text, unchanged; kept ones are joined by one space. Null and empty texts, and texts of
-    fewer words than the window, keep all their words. Of rows with the same id none counts as smaller than another. Other columns of docs stay.
+    fewer words than the window, keep all their words. Of rows with the same id none counts as smaller than another. The columns named in
+    extra stay; with same_if_whole a text that loses nothing keeps its white space.
     """
-    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = remove_spans(own, repeated_spans(own, window), as_words, b" ")
+    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), *extra)
+    cut = remove_spans(own, repeated_spans(own.select("doc_id", "text"), window), as_words, b" ", list(extra), same_if_whole)
     return cut.withColumn("kept_text", F.col("kept").cast("string")).drop("kept")

@@ -116,10 +116,10 @@ def single_windows(joined: DataFrame, units: Callable, window: int) -> DataFrame
     return joined.select("text", "wanted").mapInArrow(run, schema)
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, units: Callable, joiner: bytes, extra: list[str] = ()) -> DataFrame:
+def remove_spans(docs: DataFrame, spans: DataFrame, units: Callable, joiner: bytes, extra: list[str] = (), same_if_whole: bool = False) -> DataFrame:
     """docs without the units covered by spans (doc_id, start, end): n_units, n_removed, n_spans (maximal removed runs), kept.
 
-    Kept units stand end to end with joiner between them. Null texts are empty; repeated ids share their spans."""
+    Kept units stand end to end with joiner between them; with same_if_whole a text that loses nothing stays as it is. Null texts are empty; repeated ids share their spans."""
     schema = "n_units long, n_removed long, n_spans long, kept binary"
     # touching spans are joined first, so a document's list is short
     lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
@@ -150,8 +150,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame, units: Callable, joiner: byt
                 data = part.tobytes()
                 for i in range(hi - lo):
                     a, z = int(begin[i]), int(begin[i + 1])
-                    if joiner == b"":
-                        kept.append(data[o[i] : o[i + 1]] if not removed[i] else part[o[i] : o[i + 1]][~gone[a:z]].tobytes())
+                    if not removed[i] and (same_if_whole or joiner == b""):
+                        kept.append(data[o[i] : o[i + 1]])
+                    elif joiner == b"":
+                        kept.append(part[o[i] : o[i + 1]][~gone[a:z]].tobytes())
                     else:
                         at = np.flatnonzero(~gone[a:z]) + a
                         kept.append(joiner.join([data[p:q] for p, q in zip(first[at].tolist(), last[at].tolist())]))
