@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .superwindows import as_words, at_documents, occurrences, remove_spans, single_windows
-
-SEG = ["anchor", "seg_a", "seg_b"]
+from .superwindows import SEG, as_words, at_documents, occurrences, remove_spans, single_windows
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -26,11 +24,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     segs = settle(found.groupBy(*SEG).agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "start", "n_windows")).alias("one")))
     several = segs.groupBy("anchor").agg(F.count("*").alias("forms")).where("forms > 1").select("anchor")
     ours = segs.join(several, "anchor")
-    wanted = ours.select("one.doc_id", *SEG, "one.start", "one.n_windows")
-    each = single_windows(at_documents(docs, wanted), as_words, window).join(ours.select(*SEG, "least"), SEG)
-    each = each.withColumn("hash", F.xxhash64("anchor", "hash_a", "hash_b"))
-    first = each.groupBy("anchor", "hash_a", "hash_b").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
-    early = each.join(first, ["anchor", "hash_a", "hash_b"]).where("first < least").groupBy(*SEG).agg(F.collect_set("place").alias("places"))
+    wanted = ours.select("one.doc_id", *SEG, "one.start", "one.n_windows", F.col("least").alias("weight"))
+    each = single_windows(at_documents(docs, wanted), as_words, window)
+    first = each.groupBy("anchor", "hash").agg(F.min("weight").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    early = each.join(first, ["anchor", "hash"]).where("first < weight").groupBy(*SEG).agg(F.collect_set("place").alias("places"))
     whole = found.join(segs.select(*SEG, "least"), SEG).join(early, SEG, "left")
     spans = whole.select(
         "doc_id",

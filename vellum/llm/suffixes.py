@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .superwindows import as_bytes, at_documents, occurrences, remove_spans, single_windows
+from .superwindows import SEG, as_bytes, at_documents, occurrences, remove_spans, single_windows
 
-SEG = ["anchor", "seg_a", "seg_b"]
 #: Bytes that one index covers, and super-windows that an anchor may have to be indexed in one place.
 INDEX_BYTES, INDEX_FORMS = 1_500_000, 3000
 
@@ -105,7 +104,7 @@ def matching_places(strings: list[bytes], window: int) -> list[list[tuple[int, i
 
 def _cut_out(joined: DataFrame, window: int) -> DataFrame:
     """The bytes of the wanted super-windows."""
-    schema = "anchor long, seg_a long, seg_b long, body binary"
+    schema = "anchor long, seg long, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,13 +112,13 @@ def _cut_out(joined: DataFrame, window: int) -> DataFrame:
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 data = (text.as_py() or "").encode()
                 for w in wanted.as_py():
-                    rows.append((w["anchor"], w["seg_a"], w["seg_b"], data[w["start"] : w["start"] + w["n_windows"] + window - 1]))
+                    rows.append((w["anchor"], w["seg"], data[w["start"] : w["start"] + w["n_windows"] + window - 1]))
                     held += w["n_windows"] + window
                 if held > 4_000_000:
-                    yield _batch(rows, schema, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+                    yield _batch(rows, schema, (pa.int64(), pa.int64(), pa.binary()))
                     rows, held = [], 0
             if rows:
-                yield _batch(rows, schema, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+                yield _batch(rows, schema, (pa.int64(), pa.int64(), pa.binary()))
 
     return joined.select("text", "wanted").mapInArrow(run, schema)
 
@@ -130,12 +129,12 @@ def _batch(rows: list[tuple], schema: str, kinds: tuple) -> pa.RecordBatch:
 
 def _indexed(bodies: DataFrame, window: int) -> DataFrame:
     """Ranges of starts that match elsewhere, for super-windows sorted by anchor: whole anchors go into one index until it is full."""
-    schema = "anchor long, seg_a long, seg_b long, places array<struct<a int, b int>>"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    schema = "anchor long, seg long, places array<struct<a int, b int>>"
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
     def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = matching_places([r[3] for r in rows], window)
-        out = [(*r[:3], [{"a": a, "b": b} for a, b in p]) for r, p in zip(rows, found) if p]
+        found = matching_places([r[2] for r in rows], window)
+        out = [(*r[:2], [{"a": a, "b": b} for a, b in p]) for r, p in zip(rows, found) if p]
         if out:
             yield _batch(out, schema, kinds)
 
@@ -147,7 +146,7 @@ def _indexed(bodies: DataFrame, window: int) -> DataFrame:
                     yield from answer(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[3])
+                held += len(r[2])
         if rows:
             yield from answer(rows)
 
@@ -161,20 +160,19 @@ def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFr
     Super-windows route what can be equal to one place: those of one anchor. Equal ones are kept once with their number, which
     already repeats all their windows. Where an anchor has several forms they go, whole anchors together, into run-length
     indexes of about INDEX_BYTES, and matching statistics of at least `window` mark their windows. An anchor with more
-    than INDEX_FORMS forms would be one large group: its windows are counted one by one instead, by two hashes, which splits it.
+    than INDEX_FORMS forms would be one large group: its windows are counted one by one instead, by their hashes, which splits it.
     """
     found = settle(occurrences(docs, as_bytes, window, gram))
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     found = settle(found.join(shared, "anchor"))
     segs = settle(found.groupBy(*SEG).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "n_windows")).alias("one")))
     forms = segs.groupBy("anchor").agg(F.count("*").alias("forms")).where("forms > 1")
-    ours = segs.join(forms, "anchor").select("one.doc_id", *SEG, "one.start", "one.n_windows", "copies", "forms")
-    bodies = _cut_out(at_documents(docs, ours.where(F.col("forms") <= INDEX_FORMS).select("doc_id", *SEG, "start", "n_windows")), window)
+    ours = segs.join(forms, "anchor").select("one.doc_id", *SEG, "one.start", "one.n_windows", F.col("copies").alias("weight"), "forms")
+    bodies = _cut_out(at_documents(docs, ours.where(F.col("forms") <= INDEX_FORMS).drop("forms")), window)
     some = _indexed(bodies, window)
-    each = single_windows(at_documents(docs, ours.where(F.col("forms") > INDEX_FORMS).select("doc_id", *SEG, "start", "n_windows")), as_bytes, window)
-    each = each.join(ours.select(*SEG, "copies"), SEG)
-    often = each.groupBy("anchor", "hash_a", "hash_b").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "hash_a", "hash_b")
-    more = each.join(often, ["anchor", "hash_a", "hash_b"]).groupBy(*SEG).agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("places"))
+    each = single_windows(at_documents(docs, ours.where(F.col("forms") > INDEX_FORMS).drop("forms")), as_bytes, window)
+    often = each.groupBy("anchor", "hash").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "hash")
+    more = each.join(often, ["anchor", "hash"]).groupBy(*SEG).agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("places"))
     marked = segs.select(*SEG, "copies").join(some.unionByName(more), SEG, "left")
     whole = found.join(marked, SEG)
     to_end = F.col("start") + F.col("n_windows") + window - 1

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE_CODE, mix, powers, runs_of_rows, text_bytes, window_min, windows, words
 
-OCCURRENCE = "anchor long, seg_a long, seg_b long, doc_id long, start int, n_windows int"
-_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+OCCURRENCE = "anchor long, seg long, doc_id long, start int, n_windows int"
+SEG = ["anchor", "seg"]
+_BASE = 0xA0761D6478BD642F
 
 
 def as_words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -29,17 +30,14 @@ def as_bytes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return _BYTE_CODE[b], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), at, at + 1
 
 
-def prefix_sums(code: np.ndarray) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers(r, len(code)), dtype=np.uint64)]) for r in _BASES]
+def prefix_sums(code: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers(_BASE, len(code)), dtype=np.uint64)])
 
 
-def stretch_hashes(sums: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the units a to b, wherever they stand."""
-    out = []
-    for s, r in zip(sums, _BASES):
-        back = powers(pow(r, -1, 1 << 64), int(a.max(initial=0)) + 1)
-        out.append(mix((s[b] - s[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64))
-    return tuple(out)
+def stretch_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the units a to b, wherever they stand. It is used beside the anchor's, so 128 bits tell stretches apart."""
+    back = powers(pow(_BASE, -1, 1 << 64), int(a.max(initial=0)) + 1)
+    return mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
 def super_windows(code: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +56,7 @@ def super_windows(code: np.ndarray, row: np.ndarray, window: int, gram: int) ->
 
 
 def occurrences(docs: DataFrame, units: Callable, window: int, gram: int) -> DataFrame:
-    """Every super-window of docs (doc_id, text), with two hashes of all its units; start counts units of its text."""
+    """Every super-window of docs (doc_id, text), with a hash of all its units; start counts units of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +68,9 @@ def occurrences(docs: DataFrame, units: Callable, window: int, gram: int) -> Dat
                 starts, n, anchor = super_windows(code, row, window, gram)
                 if not len(starts):
                     continue
-                x, y = stretch_hashes(prefix_sums(code), starts, starts + n + window - 1)
+                x = stretch_hash(prefix_sums(code), starts, starts + n + window - 1)
                 begin = np.searchsorted(row, row[starts])
-                columns = [anchor, x, y, ids[lo + row[starts]], (starts - begin).astype(np.int32), n.astype(np.int32)]
+                columns = [anchor, x, ids[lo + row[starts]], (starts - begin).astype(np.int32), n.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in OCCURRENCE.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, OCCURRENCE)
@@ -87,8 +85,8 @@ def at_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def single_windows(joined: DataFrame, units: Callable, window: int) -> DataFrame:
-    """Each window of the wanted super-windows: anchor, seg_a, seg_b, place in the super-window, and two hashes."""
-    schema = "anchor long, seg_a long, seg_b long, place int, hash_a long, hash_b long"
+    """Each window of the wanted super-windows (anchor, seg, start, n_windows, weight): its place there and its hash."""
+    schema = "anchor long, seg long, weight long, place int, hash long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +95,7 @@ def single_windows(joined: DataFrame, units: Callable, window: int) -> DataFrame
             flat = wanted.flatten()
             lens = wanted.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lens)
-            anchor, seg_a, seg_b, start, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            anchor, seg, start, n, weight = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             for lo, hi in runs_of_rows(offsets):
                 code, row, _, _ = units(b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 sums = prefix_sums(code)
@@ -109,8 +107,8 @@ def single_windows(joined: DataFrame, units: Callable, window: int) -> DataFrame
                     m = n[kk].astype(np.int64)
                     place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
                     a = np.repeat(begin[owner[part]] + start[kk], m) + place
-                    x, y = stretch_hashes(sums, a, a + window)
-                    columns = [np.repeat(anchor[kk], m), np.repeat(seg_a[kk], m), np.repeat(seg_b[kk], m), place.astype(np.int32), x, y]
+                    x = stretch_hash(sums, a, a + window)
+                    columns = [np.repeat(anchor[kk], m), np.repeat(seg[kk], m), np.repeat(weight[kk], m), place.astype(np.int32), x]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in schema.split(", ")])
 
     return joined.select("text", "wanted").mapInArrow(run, schema)
