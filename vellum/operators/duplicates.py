@@ -186,3 +186,21 @@ def pending_review(pairs: DataFrame, cards: DataFrame, n: int = 20) -> DataFrame
     from vellum.operators.listing import pair_sides
 
     return pair_sides(pairs.where("status = 'pending'"), cards, "a", "b").orderBy(F.desc("score"), "a", "b").limit(n)
+
+
+def containment_pairs(docs: DataFrame, least: float = 0.9, k: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, containment): pairs of texts that share at least `least` of the smaller shingle set, exactly.
+
+    Of the smaller set's rarest n - ceil(least n) + 1 shingles one is in the larger, so only those are looked up among all shingles that
+    occur twice or more."""
+    sets = settle(docs.select(F.col(id).alias("id"), F.transform(T.shingles(F.col(text), k), lambda s: F.xxhash64(s)).alias("members")).where(F.size("members") > 0))
+    each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("m"))
+    df = each.groupBy("m").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(df, "m", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "m"))).alias("s"))
+    percent = int(round(least * 100))
+    rare = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int"))).alias("p")).where("p.df > 1")
+    small = rare.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p.m").alias("m"))
+    large = each.join(df.select("m"), "m", "left_semi").select(F.col("id").alias("y"), F.col("n").alias("ny"), "m")
+    met = small.join(large, "m").where("x <> y and (nx < ny or nx = ny)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
+    return both.select("a", "b", T.containment_of(F.col("sa"), F.col("sb")).alias("containment")).where(F.col("containment") >= least)

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions import text as T
 from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_sort, rank_lists, top_n_per_group, topics_for
@@ -61,7 +62,7 @@ def porter(word: str) -> str:
     return w[:-1] if m(w) > 1 and double(w) and w.endswith("l") else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stem(words: pd.Series) -> pd.Series:
     return words.map(porter)
 
@@ -144,7 +145,7 @@ def trigrams(c: Column) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _word_similarity(query: pd.Series, title: pd.Series) -> pd.Series:
     """Greatest similarity of the query's trigrams with those of a contiguous extent of the title's."""
 

@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 # Names that a column of a sheet goes by.
-ALIASES = {"title": ("title", "name", "materialtitle"), "author": ("author", "writer", "by"), "summary": ("summary", "description", "blurb"), "url": ("drivelinkctrlclick", "drivelink", "link", "url", "drive"), "topics": ("topicstags", "topics", "tags", "topic", "categories")}
+ALIASES = {
+    "title": ("title", "name", "nametitle", "material", "materialtitle"),
+    "topics": ("topicstags", "topics", "topic", "tags", "tag", "category", "categories", "topictag"),
+    "url": ("drivelinkctrlclick", "drivelink", "googledrivelink", "link", "url", "drive", "file", "filelink"),
+    "author": ("author", "writer", "by"),
+    "summary": ("summary", "description", "about", "notes"),
+}
 
 
 def map_columns(header: Sequence[str | None], aliases: dict[str, Sequence[str]] = ALIASES) -> dict[str, int]:
