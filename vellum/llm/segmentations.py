@@ -208,6 +208,8 @@ class _Search:
         value, before = _maxima(np.array([prefix]), np.array([bound]), block, rest, self.uniforms(block.size + 1)[None, :])
         if inherit:
             mass = np.append(before[0] + _log_rest(block[0]), before[0, -1] + block[0, -1] + _log_rest(rest)[0])
+            if mass.max() < -1e6:  # the set's mass was no more than rounding
+                return
             w = np.exp(mass - mass.max())
             value[0, int(np.searchsorted(np.cumsum(w), self.uniform() * w.sum()))] = bound
         self.queue_up(path, first, value[0], before[0], float(before[0, -1] + block[0, -1]))
