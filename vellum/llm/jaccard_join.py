@@ -77,6 +77,35 @@ def _postings(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "shingle long, doc_id long")
 
 
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n) from postings sorted by shingle: how many of a document's shingles another document has too, summed batch by batch.
+
+    Of a run that goes on into the next batch only its shingle, one document, and whether it has been counted are held, however long it is."""
+    shingle = doc = None
+    counted = False
+    for batch in batches:
+        s, d = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(s):
+            continue
+        first = np.concatenate([[True], s[1:] != s[:-1]])
+        heads = np.flatnonzero(first)
+        run = np.cumsum(first) - 1
+        many = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
+        extra = []
+        if shingle is not None and s[0] == shingle:
+            begin = slice(0, heads[1] if len(heads) > 1 else len(s))
+            if counted or (d[begin] != doc).any():
+                many[0] = True
+                extra = [] if counted else [doc]
+        out = np.concatenate([d[many[run]], np.array(extra, np.int64)])
+        if len(heads) > 1 or s[0] != shingle:
+            doc = int(d[heads[-1]])
+        shingle, counted = int(s[-1]), bool(many[-1])
+        ids, n = np.unique(out, return_counts=True)
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["doc_id", "n"])
+
+
 def required(n: int, m: int, percent: int) -> int:
     """Least overlap of sets of n and m members whose Jaccard is percent / 100 or more."""
     return -(-percent * (n + m) // (100 + percent))
@@ -168,7 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id: str = "doc_id", text
     Documents link when 100 * shared >= percent * union. Null and blank texts have empty sets and link with nothing. Rows that repeat an id are one
     document if their sets are equal; if not, each keeps its row and what one links with counts for the id.
 
-    1. Equal sets become one. 2. Shingles are counted; a document of whose shingles fewer than percent occur in another set leaves. 3. Of
+    1. Equal sets become one. 2. Shingles are counted; a document of whose shingles fewer than percent occur in another one leaves. 3. Of
     each survivor the rarest n - ceil(percent n) + 1 shingles are its prefix: sets that link share one. Documents of one prefix shingle are
     tied to the least of them, and what ties connect is a cluster. 4. Clusters are searched, DivideSkip, in tasks of at most two parts of PART
     sets; in clusters of several parts the ties are verified first, so that parts are searched only for links between sets not yet connected.
@@ -180,10 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id: str = "doc_id", text
     named = filled.join(rep, ["set_a", "set_b"]).select("doc_id", "rep", "n_shingles")
     reps = named.where("doc_id = rep").select("doc_id", "n_shingles").distinct()
 
-    post = _postings(own)
-    often = post.groupBy("shingle").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("shingle")
-    often = settle(often)
-    shared = post.join(often, "shingle").groupBy("doc_id").agg(F.count("*").alias("n")).join(reps, "doc_id")
+    ordered = _postings(own).repartition("shingle").sortWithinPartitions("shingle")
+    shared = ordered.mapInArrow(_count_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n")).join(reps, "doc_id")
     alive = settle(shared.where(f"100 * n >= {percent} * n_shingles").select("doc_id", "n_shingles"))
     post = settle(_postings(own.join(alive.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")).distinct())
 
