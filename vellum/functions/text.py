@@ -11,6 +11,13 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+def let(c: Column, body) -> Column:
+    """body(c) with c worked out once, however often body reads it, also inside lambda functions."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 # ---- words, shingles, similarity ----------------------------------------------------------------------------------------
 
 
@@ -46,7 +53,7 @@ def shingles_of(w: Column, k: int = 3) -> Column:
 
 
 def shingles(c: Column, k: int = 3) -> Column:
-    return shingles_of(words(c), k)
+    return let(words(c), lambda w: shingles_of(w, k))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -93,9 +100,11 @@ def normalise_title(c: Column, fold_curly: bool = False) -> Column:
 
 
 def title_tokens(c: Column) -> Column:
-    every = F.filter(F.split(normalise_title(c), " "), lambda w: w != "")
-    kept = F.filter(every, lambda w: ~w.isin(*TITLE_NOISE))
-    return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(every))
+    def pick(every: Column) -> Column:
+        kept = F.filter(every, lambda w: ~w.isin(*TITLE_NOISE))
+        return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(every))
+
+    return let(F.filter(F.split(normalise_title(c), " "), lambda w: w != ""), pick)
 
 
 def title_overlap_of(na: Column, nb: Column, ta: Column, tb: Column) -> Column:
@@ -136,9 +145,10 @@ def clean_title(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Display case: first letters raised, spacing kept. Words with digits or inner capitals stay; so do all-capital
     words unless the whole title has no small letter; abbreviations are upper."""
-    t = F.trim(c)
-    shouted = ~t.rlike(r"\p{Ll}")
+    return let(F.struct(F.trim(c).alias("t"), (~c.rlike(r"\p{Ll}")).alias("shouted")), lambda x: _cased(x["t"], x["shouted"]))
+
 
+def _cased(t: Column, shouted: Column) -> Column:
     def word(w: Column) -> Column:
         letters = F.regexp_replace(w, r"[^\p{L}]", "")
         lead, first, rest = (F.regexp_extract(w, r"(?s)^([^\p{L}]*)(\p{L})(.*)$", i) for i in (1, 2, 3))
@@ -229,17 +239,14 @@ def surviving_share(before: Column, after: Column) -> Column:
 
 def score_text(c: Column) -> Column:
     """struct(score, notes, usable) of a recognised text."""
-    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    tokens = F.split(t, r"(?U)\s+")
-    n = F.size(tokens)
-    junk = lambda w: (
-        ~w.rlike("(?i)[a-z0-9]") | (w.rlike("(?i)^[a-z]+$") & (F.length(w) > 2) & ~w.rlike("(?i)[aeiouy]")) | (w.rlike("(?i)[a-z]") & w.rlike(r"\d") & (F.length(w) <= 6))
-    )
-    junk_share = F.size(F.filter(tokens, junk)) / n
-    single = F.size(F.filter(tokens, lambda w: w.rlike("(?i)^[a-z0-9]$"))) / n
-    letters = F.length(F.regexp_replace(t, "(?i)[^a-z]", "")) / F.length(t)
-    mean = F.length(F.array_join(tokens, "")) / n
-    parts = F.struct(n.alias("n"), junk_share.alias("junk"), single.alias("single"), letters.alias("letters"), mean.alias("mean"))
+    def shares(t: Column, tokens: Column) -> Column:
+        n = F.size(tokens)
+        junk = lambda w: (
+            ~w.rlike("(?i)[a-z0-9]") | (w.rlike("(?i)^[a-z]+$") & (F.length(w) > 2) & ~w.rlike("(?i)[aeiouy]")) | (w.rlike("(?i)[a-z]") & w.rlike(r"\d") & (F.length(w) <= 6))
+        )
+        letters = F.length(F.regexp_replace(t, "(?i)[^a-z]", "")) / F.length(t)
+        single = F.size(F.filter(tokens, lambda w: w.rlike("(?i)^[a-z0-9]$"))) / n
+        return F.struct(n.alias("n"), (F.size(F.filter(tokens, junk)) / n).alias("junk"), single.alias("single"), letters.alias("letters"), (F.length(F.array_join(tokens, "")) / n).alias("mean"))
 
     def verdict(x: Column) -> Column:
         score = F.lit(1.0) - F.least(F.lit(0.6), x.junk * 2) - F.least(F.lit(0.3), F.greatest(F.lit(0.0), x.single - 0.05) * 1.5) - F.least(F.lit(0.3), F.greatest(F.lit(0.0), F.lit(0.75) - x.letters)) - F.when(x.n < 20, 0.15).otherwise(0.0)
@@ -257,8 +264,8 @@ def score_text(c: Column) -> Column:
         return F.struct(F.round(score, 3).alias("score"), F.when(F.size(said) == 0, F.array(F.lit(NOTE_CLEAN))).otherwise(said).alias("notes"), (score >= USABLE).alias("usable"))
 
     empty = F.struct(F.lit(0.0).alias("score"), F.array(F.lit(NOTE_EMPTY)).alias("notes"), F.lit(False).alias("usable"))
-    # a one-element array, so that the shares are worked out once
-    return F.when(t == "", empty).otherwise(F.element_at(F.transform(F.array(parts), verdict), 1))
+    filled = lambda t: let(let(F.split(t, r"(?U)\s+"), lambda k: shares(t, k)), verdict)
+    return let(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), lambda t: F.when(t == "", empty).otherwise(filled(t)))
 
 
 # ---- chunks ----------------------------------------------------------------------------------------------------------------
@@ -279,7 +286,7 @@ def plain_words(c: Column) -> Column:
 
 
 def chunk_page(c: Column, most: int = 350, overlap: int = 40) -> Column:
-    return chunk_words(plain_words(c), most, overlap)
+    return let(plain_words(c), lambda w: chunk_words(w, most, overlap))
 
 
 def document_text(c: Column, most: int = 1200) -> Column:

@@ -36,10 +36,11 @@ def first_line(c="text"):
 # ---- SQL pieces ------------------------------------------------------------------------------------------------------------
 
 WORDS = r"list_filter(string_split_regex(regexp_replace(strip_accents(lower({0})), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
-SHINGLED = f"""w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s FROM w),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s WHERE len(s) > 0)"""
+SHINGLED = f"""kw AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM kw),
+g3 AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e0 AS (SELECT DISTINCT doc_id, g FROM g3 WHERE g IS NOT NULL UNION SELECT doc_id, array_to_string(w, ' ') FROM kw WHERE len(w) BETWEEN 1 AND 2),
+e AS (SELECT doc_id, hash(g) AS g, count(*) OVER (PARTITION BY doc_id) AS n FROM e0)"""
 SHARED = f"""{SHINGLED},
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)"""
 SHARED = SHARED.replace("GROUP BY ALL", "GROUP BY x.doc_id, y.doc_id")
