@@ -203,7 +203,7 @@ NOTE_CLEAN = "The text reads cleanly."
 
 def dehyphenate(c: Column) -> Column:
     """Join words split over lines; a hyphen that belongs to the word stays. A fold over the lines, as each looks at what is joined so far."""
-    last_word = lambda s: F.regexp_extract(s, r"(\S*)$", 1)
+    last_word = lambda s: F.substring_index(F.translate(s, "\t\r\u00a0", "   "), " ", -1)
 
     def join(done: Column, line: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
@@ -211,7 +211,7 @@ def dehyphenate(c: Column) -> Column:
         w = last_word(stem)
         stays = F.lower(w).isin(*KEEPS_HYPHEN) | w.rlike("[/:]") | w.rlike(r"(?i)\.[a-z]{2,}$") | w.contains("-") | w.rlike(r"\d")
         joined = F.concat(stem, F.when(stays, "-").otherwise(""), line)
-        return F.when((F.size(done) > 0) & last.rlike(r"\w[-–]$") & line.rlike("^[a-z]"), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
+        return F.when((F.size(done) > 0) & F.right(last, F.lit(2)).rlike(r"^\w[-–]$") & line.rlike("^[a-z]"), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
 
     return F.array_join(F.aggregate(F.split(c, "\n"), F.array().cast("array<string>"), join), "\n")
 

@@ -163,7 +163,8 @@ def contains_join(terms: DataFrame, pages: DataFrame, most: int | None = None) -
     A term is looked up by its rarest trigram and then verified, so rows meet on a key; terms under 3 signs, which have none, meet
     every page, and are to be few."""
     clean = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    # three passes at three offsets: substrings by position would each count from the start
+    grams = lambda c: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.substr(c, F.lit(k)), F.lit("(?s)(.{3})"), F.lit(1)) for k in (1, 2, 3)])))
     t = terms.select("query_id", clean(F.col("term")).alias("term")).where("term <> ''")
     p = pages.select("material_id", "page_number", clean(F.col("text")).alias("body"))
     long = t.where(F.length("term") >= 3)
