@@ -114,8 +114,9 @@ def resolve_pairs(pairs: DataFrame, materials: DataFrame, filings: DataFrame, de
     """
     p = pairs.join(decisions.select("id", "keep").dropDuplicates(["id"]), "id")
     p = p.withColumn("lose", F.when(F.col("keep") == F.col("material_a_id"), F.col("material_b_id")).when(F.col("keep") == F.col("material_b_id"), F.col("material_a_id")))
-    gone = materials.where("archived_at is not null").select(F.col("id").alias("g"))
-    dead = p.join(gone, p.material_a_id == gone.g, "left_semi").select("id").union(p.join(gone, p.material_b_id == gone.g, "left_semi").select("id"))
+    among = lambda df, side, ids: df.join(ids.select(F.col("id").alias(side)).distinct(), side, "left_semi").select("id")
+    either = lambda df, ids: among(df, "material_a_id", ids).union(among(df, "material_b_id", ids)).distinct()
+    dead = either(p, materials.where("archived_at is not null"))
     fine = p.where("status = 'pending' and lose is not null").join(dead, "id", "left_anti")
     once = fine.withColumn("_n", F.row_number().over(W.partitionBy("lose").orderBy("id"))).where("_n = 1").drop("_n")
     ok = once.join(once.select(F.col("lose").alias("keep")).distinct(), "keep", "left_anti")
@@ -141,8 +142,7 @@ def resolve_pairs(pairs: DataFrame, materials: DataFrame, filings: DataFrame, de
     kinds = dict(materials.dtypes)
     new_materials = m.select(*[change[c].cast(kinds[c]).alias(c) if c in change else F.col(c) for c in materials.columns])
 
-    touched = losers.select("id")
-    near = pairs.where("status = 'pending'").join(touched, pairs.material_a_id == touched.id, "left_semi").select("id").union(pairs.where("status = 'pending'").join(touched, pairs.material_b_id == touched.id, "left_semi").select("id")).distinct().withColumn("_near", F.lit(True))
+    near = either(pairs.where("status = 'pending'"), losers).withColumn("_near", F.lit(True))
     q = pairs.join(ok.select("id", F.lit(True).alias("_merged")), "id", "left").join(near, "id", "left")
     status = F.when(F.col("_merged"), "merged").when(F.col("_near"), "dismissed").otherwise(F.col("status"))
     new_pairs = q.withColumn("decided_at", F.when(status != F.col("status"), now).otherwise(F.col("decided_at"))).withColumn("status", status).select(*pairs.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions import text as T
+from vellum.operators.duplicates import settle
 from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_sort, rank_lists, top_n_per_group, topics_for
 
 # Weights of the lists and of the fields, the constant of reciprocal ranks, bounds.
@@ -123,7 +124,7 @@ def bm25(matched: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.
 
 def chunk_hits(queries: DataFrame, chunks: DataFrame, stem: bool = True) -> DataFrame:
     """(query_id, material_id, rank, page): each material's best chunk. chunks: (chunk_id, material_id, page_number, text)."""
-    post = analyze(chunks, "chunk_id", "text", stem)
+    post = settle(analyze(chunks, "chunk_id", "text", stem))  # stored once, read by every step
     hits = bm25(match_terms(queries, post, stem), post).join(chunks.select(F.col("chunk_id").alias("id"), "material_id", "page_number"), "id")
     return hits.groupBy("query_id", "material_id").agg(F.max("rank").alias("rank"), F.max_by("page_number", F.struct("rank", -F.coalesce("page_number", F.lit(0)))).alias("page"))
 
@@ -134,7 +135,7 @@ def meta_hits(queries: DataFrame, materials: DataFrame, stem: bool = True) -> Da
     for name, weight in FIELDS.items():
         p = analyze(materials, "id", name, stem).select("id", "term", (F.col("tf") * weight).alias("w"))
         fields = p if fields is None else fields.unionByName(p)
-    post = fields.groupBy("id", "term").agg(F.sum("w").alias("tf")).withColumn("doc_len", F.lit(1))
+    post = settle(fields.groupBy("id", "term").agg(F.sum("w").alias("tf")).withColumn("doc_len", F.lit(1)))
     met = match_terms(queries, post, stem)
     return met.groupBy("query_id", F.col("id").alias("material_id")).agg(F.sum(F.col("tf") / (F.col("tf") + 1)).alias("rank"))
 
@@ -161,6 +162,8 @@ def _word_similarity(query: pd.Series, title: pd.Series) -> pd.Series:
                         shared += x in q
                         if x in q:
                             best = max(best, shared / (len(q) + len(seen) - shared))
+                        elif len(q) <= len(seen) * max(best, WORD_SIMILARITY):
+                            break  # no longer extent is more similar
         return best
 
     return pd.Series([one(q, t) for q, t in zip(query, title)])
@@ -227,8 +230,8 @@ def ranked_search(queries: DataFrame, materials: DataFrame, chunks: DataFrame, t
     if semantic is not None:
         lists["semantic"], weights["semantic"] = semantic, 1.0
     hits = fuse_lists(lists)
-    hits = (hits if "page" in hits.columns else hits.withColumn("page", F.lit(None).cast("int"))).join(mine, "material_id", "left_semi")
-    return substring_fallback(q, rrf(hits, weights), pages.join(mine, "material_id", "left_semi"))
+    hits = settle(hits if "page" in hits.columns else hits.withColumn("page", F.lit(None).cast("int"))).join(mine, "material_id", "left_semi")
+    return substring_fallback(q, settle(rrf(hits, weights)), pages.join(mine, "material_id", "left_semi"))
 
 
 def library(queries: DataFrame, hits: DataFrame, materials: DataFrame, filings: DataFrame, topics: DataFrame, topic: str | None = None, author: str | None = None, sort: str = "relevance", page: int = 1, size: int = 48) -> DataFrame:

@@ -20,6 +20,10 @@ ALIASES = {
 }
 
 
+#: Columns of a sheet that are looked at.
+SHEET_COLUMNS = 40
+
+
 def map_columns(header: Sequence[str | None], aliases: dict[str, Sequence[str]] = ALIASES) -> dict[str, int]:
     """Field to column position; case, blanks and punctuation do not matter."""
     plain = [re.sub("[^a-z0-9]", "", (h or "").lower()) for h in header]
@@ -30,7 +34,8 @@ def read_sheet(spark: SparkSession, path: str, aliases: dict[str, Sequence[str]]
     """(source_row, title, author, summary, url, topics): a CSV whose header, with a title and a link, is among its first ten rows.
 
     A sheet is one file with newlines in its cells, so one task reads it and its rows keep their order."""
-    raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"').withColumn("source_row", F.monotonically_increasing_id())
+    wide = ", ".join(f"_c{i} string" for i in range(SHEET_COLUMNS))  # rows above the header may be shorter
+    raw = spark.read.csv(path, schema=wide, header=False, multiLine=True, quote='"', escape='"').withColumn("source_row", F.monotonically_increasing_id())
     cells = [c for c in raw.columns if c != "source_row"]
     for r in raw.orderBy("source_row").limit(10).collect():
         at = map_columns([r[c] for c in cells], aliases)
