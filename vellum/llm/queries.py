@@ -88,5 +88,38 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_license_scan, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join)}
 
 
+# ---- the same in SQL, for what SQL can say -----------------------------------------------------------------------------------
+
+WORD_ROWS = r"""kw AS (SELECT doc_id, list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM kw)"""
+
+OP1 = f"""WITH {WORD_ROWS.format("coalesce(text, '')")},
+h1 AS (SELECT *, hash(x) AS a FROM u), h2 AS (SELECT *, hash(a, lead(a, 1) OVER o) AS b FROM h1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h4 AS (SELECT *, hash(b, lead(b, 2) OVER o) AS c FROM h2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)), h8 AS (SELECT *, hash(c, lead(c, 4) OVER o) AS d FROM h4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h16 AS (SELECT *, hash(d, lead(d, 8) OVER o) AS e FROM h8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)), h32 AS (SELECT *, hash(e, lead(e, 16) OVER o) AS f FROM h16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h50 AS (SELECT doc_id, i, x, CASE WHEN lead(i, 49) OVER o IS NOT NULL THEN hash(f, lead(e, 32) OVER o, lead(b, 48) OVER o) END AS g FROM h32 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+first AS (SELECT g, min(doc_id) AS least FROM h50 WHERE g IS NOT NULL GROUP BY g),
+flag AS (SELECT h50.doc_id, i, x, coalesce(least < h50.doc_id, false) AS hit FROM h50 LEFT JOIN first ON first.g = h50.g),
+gone AS (SELECT doc_id, i, x, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM flag),
+kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS k FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+CONNECT = """ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r(id, c) AS (SELECT a, a FROM ed UNION SELECT ed.b, r.c FROM r JOIN ed ON ed.a = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP10 = f"""WITH RECURSIVE {WORD_ROWS.format(LOWERED)},
+g5 AS (SELECT doc_id, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN hash(x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) END AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e0 AS (SELECT DISTINCT doc_id, g FROM g5 WHERE g IS NOT NULL UNION SELECT doc_id, hash(array_to_string(w, ' '), len(w)) FROM kw WHERE len(w) BETWEEN 1 AND 4),
+e AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM e0),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+pr AS (SELECT a, b FROM p WHERE 100 * k >= 75 * (na + nb - k)), {CONNECT}, n AS (SELECT doc_id, count(*) AS n FROM e0 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.id = d.doc_id"""
+
+OP9 = f"""WITH RECURSIVE pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95), {CONNECT},
+l AS (SELECT a, count(*) AS n FROM ed GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN l ON l.a = vec_id LEFT JOIN m ON m.id = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1, "op9_embedding_near_dedup": OP9, "op10_jaccard_join": OP10}
