@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one numpy pass takes at most, unless a single document is longer.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
