@@ -76,6 +76,14 @@ def test_components(spark):
     assert got[9] == got[7] == 3 and got[21] == 20 and got[99] == 49 and 5 not in got
 
 
+def test_components_of_a_long_path(spark):
+    """A path of 500 nodes whose least is at its far end, and one of shuffled ids, need no number of rounds that is set beforehand."""
+    path = [(i, i + 1) for i in range(1, 500)] + [(500, 0)]
+    ids = random.Random(3).sample(range(1000, 1500), 500)
+    got = components(spark.createDataFrame(path + list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(501)} | {(i, 1000) for i in range(1000, 1500)} and len(got) == 1001
+
+
 def test_substring_dedup(docs, empty):
     rows = plain(docs)
     first: dict = {}

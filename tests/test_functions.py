@@ -110,6 +110,12 @@ def test_candidates_lose_nothing(spark):
     assert found == want and found
 
 
+def test_clusters_of_a_long_path(spark):
+    path = [(i, i + 1) for i in range(1, 500)] + [(500, 0)]
+    got = duplicates.clusters(spark.createDataFrame(path, "a int, b int")).collect()
+    assert sorted((r.id, r.cluster) for r in got) == [(i, 0) for i in range(501)]
+
+
 def test_clusters_and_ledger(spark):
     got = {r.id: r.cluster for r in duplicates.clusters(spark.createDataFrame([(3, 9), (9, 12), (1, 3), (20, 21)], "a int, b int")).collect()}
     assert got == {1: 1, 3: 1, 9: 1, 12: 1, 20: 20, 21: 20}

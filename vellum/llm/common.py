@@ -157,22 +157,26 @@ def sample_by_hash(df: DataFrame, column: str, rows: int, seed: int = 0) -> Data
     return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * (rows / n)))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node reachable over edges. Nodes without an edge are not listed.
 
     Each round takes the smallest label among the neighbours (a partial aggregate, so a hub's rows are never
-    together) and then jumps to the label's own label. Labels only fall; rounds go on until none does.
+    together), hands it to the label held before (the old root, which learns it a round later), and then jumps to the
+    label's own label. Labels only fall; rounds go on until none does, whatever their number.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = settle(both.union(both.select(F.col("v"), F.col("u"))).distinct())
     label = settle(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        took = label.join(near, label.node == near.u).select("node", F.least("root", "r").alias("mid"), F.col("root").alias("old"))
+    met = None
+    while True:
+        seen = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").select("u", "r")
+        if met is not None:
+            seen = seen.union(met.where("r < old").select("old", "r"))
+        near = seen.groupBy("u").agg(F.min("r").alias("r"))
+        took = label.join(near, label.node == near.u).select("node", F.least("root", "r").alias("mid"), F.col("root").alias("old"), "r")
         up = label.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-        new = settle(took.join(up, "mid", "left").select("node", F.least("mid", "top").alias("root"), "old"))
-        moved = new.where("root <> old").limit(1).count()
-        label = new.select("node", "root")
+        met = settle(took.join(up, "mid").select("node", F.least("mid", "top").alias("root"), "old", "r"))
+        moved = met.where("root <> old").limit(1).count()
+        label = met.select("node", "root")
         if not moved:
             return label
-    raise RuntimeError("components did not settle")

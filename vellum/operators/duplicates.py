@@ -149,21 +149,24 @@ def settle_stuck(staged: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select(*staged.columns, F.col("b.twin").alias("twin"), outcome.alias("outcome"))
 
 
-def clusters(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(id, cluster): what pairs connect, named by its smallest id. Labels of neighbours are taken by a partial aggregate and then jump;
-    each round is checkpointed."""
+def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, cluster): what pairs connect, named by its smallest id. Labels of neighbours are taken by a partial aggregate, handed to
+    the label held before and then jump; each round is checkpointed, and rounds go on until no label falls."""
     both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = settle(both.union(both.select("v", "u")).distinct())
     label = both.select(F.col("u").alias("id")).distinct().withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("v"), F.col("cluster").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
-        mid = label.join(near, "id", "left").select("id", F.least("cluster", "c").alias("mid"), F.col("cluster").alias("old"))
-        jump = mid.select(F.col("id").alias("mid"), F.col("mid").alias("top"))
-        new = settle(mid.join(jump, "mid", "left").select("id", F.least("mid", "top").alias("cluster"), "old"))
-        label = new.select("id", "cluster")
-        if not new.where("cluster <> old").limit(1).count():
+    met = None
+    while True:
+        seen = both.join(label.select(F.col("id").alias("v"), F.col("cluster").alias("c")), "v").select("u", "c")
+        if met is not None:
+            seen = seen.union(met.where("c < old").select("old", "c"))
+        near = seen.groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
+        mid = label.join(near, "id").select("id", F.least("cluster", "c").alias("mid"), F.col("cluster").alias("old"), "c")
+        jump = label.select(F.col("id").alias("mid"), F.col("cluster").alias("top"))
+        met = settle(mid.join(jump, "mid").select("id", F.least("mid", "top").alias("cluster"), "old", "c"))
+        label = met.select("id", "cluster")
+        if not met.where("cluster <> old").limit(1).count():
             return label
-    raise RuntimeError("clusters did not settle")
 
 
 def corpus_near_duplicates(docs: DataFrame, least: float = 0.7, k: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
