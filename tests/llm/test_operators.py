@@ -269,6 +269,27 @@ def test_pii(spark, docs, empty):
     assert pii.find(docs, pii.train(empty)).count() == docs.count()
 
 
+def test_pii_without_digits(spark):
+    """'(at)' addresses in texts without a digit or @ sign; windows left undecoded hold nothing of what decoding all of them gives."""
+    r = random.Random(16)
+    name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    prose = lambda n: " ".join(r.choice(("lorem", "ipsum", "dolor", "(sit)", "amet")) for _ in range(n))
+    rows = [(i, f"{prose(20)} {name(6)}.{name(4)}@mail.{name(7)}.com {prose(20)} {r.randint(1, 9999)}", "x") for i in range(300)]
+    tagger = pii.train(spark.createDataFrame(rows, SCHEMA), sample_rows=300)
+    hidden = [f"{name(6)}.{name(4)}(at)mail.{name(7)}.com" for _ in range(60)]
+    texts = [f"{prose(30)} {x} {prose(30)}" for x in hidden]
+    found = pii.tagged_spans(texts, tagger)
+    assert sum(t[a:b] == x for t, x, f in zip(texts, hidden, found) for a, _, b in f) > 30
+    assert "[email]" in pii.mask(pii.find(spark.createDataFrame([(1, texts[next(i for i, f in enumerate(found) if f)], "x")], SCHEMA), tagger)).first().text
+    odd = texts + [x for _, x, _ in rows[:40]] + ["", "a" * 400 + "@" + "b" * 400 + ".com", name(300) + "(at)" + name(300) + ".com", "12 " * 300, "(at)"]
+    got, seed = pii.tagged_spans(odd, tagger), pii._SEED
+    try:
+        pii._SEED = re.compile("(?s).")  # every window
+        assert got == pii.tagged_spans(odd, tagger)
+    finally:
+        pii._SEED = seed
+
+
 def test_segmentations(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     p = segmentations.pieces(path)

@@ -66,6 +66,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _ANY_DIGIT = re.compile("[0-9]")
 _SIGNAL = re.compile("[0-9@]")
+#: One of these is in every span that _plausible lets pass.
+_SEED = re.compile(r"[0-9@]|\(at\)")
 
 # ---- the tagger -----------------------------------------------------------------------------------------------------
 
@@ -268,38 +270,45 @@ def train(docs: DataFrame, sample_rows: int = 1500, seed: int = 7, id: str = "do
 
 
 def tagged_spans(texts: list[str], tagger: Tagger, least: tuple[int, ...] = (6, 7, 13, 9)) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, kind, end) that the tagger finds in whole texts.
-
-    A span holds a digit or an @ sign, so the texts are read round those signs: overlapping windows of WINDOW signs
-    every STRIDE. Where windows overlap, each position takes its tag from the window in whose middle it stands; then
-    spans are read off the whole text, so none is cut at a window's edge. Spans shorter than least or without a
-    digit or @ are dropped."""
-    where: list[tuple[int, int]] = []
-    xs: list[np.ndarray] = []
-    coded: dict[int, np.ndarray] = {}
-    for i, text in enumerate(texts):
-        wanted: set[int] = set()
-        for m in _SIGNAL.finditer(text):
-            b = m.start() // STRIDE
-            wanted.update((b - 1, b, b + 1))
-        for b in sorted(wanted):
-            a = b * STRIDE - (WINDOW - STRIDE) // 2
-            if b >= 0 and b * STRIDE < len(text):
-                where.append((i, b))
-                piece = text[max(0, a) : a + WINDOW]
-                xs.append(signs((" " * max(0, -a) + piece).ljust(WINDOW)))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not xs:
-        return out
+    """Spans (start, kind, end) that the tagger finds in whole texts: what decoding every overlapping window gives.
+
+    Windows of WINDOW signs stand every STRIDE, and each position takes its tag from the window in whose middle it stands; then
+    spans are read off the whole text, so none is cut at a window's edge. Spans shorter than least or not plausible are
+    dropped. A plausible span holds a digit, an @ sign or '(at)', so the windows with those are decoded first, and then
+    those beside them for as long as a span may go on there: what is left undecoded holds no plausible span nor a part of one."""
     edge = (WINDOW - STRIDE) // 2
-    tags = np.concatenate([tagger.decode(np.array(xs[k : k + 4096])) for k in range(0, len(xs), 4096)])[:, edge : edge + STRIDE]
+    done: dict[tuple[int, int], np.ndarray] = {}
+
+    def decode(blocks: list[tuple[int, int]]) -> None:
+        for lo in range(0, len(blocks), 4096):
+            xs = []
+            for i, b in blocks[lo : lo + 4096]:
+                a = b * STRIDE - edge
+                xs.append(signs((" " * max(0, -a) + texts[i][max(0, a) : a + WINDOW]).ljust(WINDOW)))
+            done.update(zip(blocks[lo : lo + 4096], tagger.decode(np.array(xs))[:, edge : edge + STRIDE]))
+
+    fresh = sorted({(i, m.start() // STRIDE) for i, text in enumerate(texts) for m in _SEED.finditer(text)})
+    reach = 1
+    while fresh:
+        decode(fresh)
+        more: set[tuple[int, int]] = set()
+        for i, b in fresh:
+            line = done[i, b]
+            if line[0] and line[0] % 2 == 0:  # inside a span that began before
+                more.update((i, k) for k in range(max(0, b - reach), b))
+            if line[-1]:
+                more.update((i, k) for k in range(b + 1, min(b + reach, (len(texts[i]) - 1) // STRIDE) + 1))
+        fresh = sorted(more - done.keys())
+        reach *= 2
+    where = sorted(done)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     at = 0
     while at < len(where):
         end = at + 1  # consecutive blocks of one text
         while end < len(where) and where[end] == (where[end - 1][0], where[end - 1][1] + 1):
             end += 1
         i, b = where[at]
-        line, text, first = tags[at:end].ravel(), texts[i], b * STRIDE
+        line, text, first = np.concatenate([done[w] for w in where[at:end]]), texts[i], b * STRIDE
         k = 0
         for p in np.flatnonzero(line % 2 == 1):
             kind, q = int(line[p]) // 2, p + 1
