@@ -309,6 +309,24 @@ def test_segmentations(docs, empty):
     assert segmentations.sample_segmentations(empty, path).count() == 0
 
 
+def test_segmentations_decoded_on_tables(spark, docs, empty):
+    """Every sample of a table decodes to its text, and the query says so by a checksum of each."""
+    from vellum.llm import queries
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    samples = segmentations.sample_segmentations(docs.where("doc_id <> 204"), path, 3)
+    text = dict(plain(docs))
+    got = segmentations.decode_segmentations(samples.withColumn("tag", F.lit("x")), path).collect()
+    assert len(got) == samples.count() and all(r.decoded == text[r.doc_id] and r.tag == "x" for r in got)
+    odd = spark.createDataFrame([(1, None), (2, bytearray())], "doc_id int, ids binary")
+    assert {r.doc_id: r.decoded for r in segmentations.decode_segmentations(odd, path).collect()} == {1: None, 2: ""}
+    assert segmentations.decode_segmentations(segmentations.sample_segmentations(empty, path), path).count() == 0
+    d = "/root/testdata/sf0.001"
+    whole = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = queries.op8_sentencepiece(spark, d).collect()
+    assert {r.doc_id for r in rows} == set(whole) and all(r.decoded_sha256 == whole[r.doc_id] for r in rows)
+
+
 def test_segmentation_law():
     """First and second draws follow the law without replacement, and inclusion scores give unbiased totals."""
     p = segmentations.pieces(public_tokenizers.path("piece_bpe_32k.model"))

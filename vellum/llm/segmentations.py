@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import mix
 
@@ -354,14 +355,35 @@ def decode(ids: bytes, p: Pieces) -> str:
     return p.model.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+def _decode_all(ids: pa.Array, p: Pieces) -> pa.Array:
+    return pa.array([None if x is None else decode(x, p) for x in ids.to_pylist()], pa.string())
+
+
+def decode_segmentations(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add the text that the ids column decodes to, over Arrow batches. Null ids give null; rows keep all their columns, and one named
+    like that added is replaced."""
+    held = df.drop(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decode_all(part.column(ids), p)], [*part.schema.names, text])
+
+    return held.mapInArrow(run, StructType([*held.schema.fields, StructField(text, StringType())]))
+
+
 SAMPLES = "doc_id long, sample int, ids binary, log_prob double, perturbed double, inclusion double"
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = 3, seed: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, k: int = 3, seed: int = 1, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """At most k distinct segmentations of every whole text, numbered from 0 in falling perturbed value.
 
     Draws depend on the seed, the row's id and the text's units only, not on how rows are grouped. Null and empty texts have one, empty,
-    segmentation; a text with fewer than k segmentations gets them all. Rows with the same id and text get the same answer."""
+    segmentation; a text with fewer than k segmentations gets them all. Rows with the same id and text get the same answer.
+    decoded: add what decode_segmentations adds, by the same Python worker, so that a task needs no second one."""
+    schema = SAMPLES + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -377,7 +399,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, seed: int = 1,
                 keys = mix(np.array([x or 0 for x in names[lo:hi]], np.int64).astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
                 rows = [(n, j, *s) for n, f in zip(names[lo:hi], sample_texts(keys, texts[lo:hi], p, k)) for j, s in enumerate(f)]
                 for a in range(0, len(rows), 1024):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 1024]), kinds)], [c.split()[0] for c in SAMPLES.split(", ")])
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 1024]), kinds)]
+                    yield pa.RecordBatch.from_arrays(columns + ([_decode_all(columns[2], p)] if decoded else []), [c.split()[0] for c in schema.split(", ")])
                 lo = hi
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SAMPLES)
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
