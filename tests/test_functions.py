@@ -110,6 +110,17 @@ def test_candidates_lose_nothing(spark):
     assert found == want and found
 
 
+def test_chunks_of_a_very_long_text(spark):
+    """More than 1,000 chunks of one document stay apart from the next document's."""
+    from vellum.plans import queries
+
+    long = " ".join(f"word{i % 977}" for i in range(420_000))
+    chunks = queries._chunks(spark.createDataFrame([(1, long), (2, "a quiet harbour")], "doc_id long, text string"))
+    assert chunks.where("material_id = 1").count() > 1000 and chunks.count() == chunks.select("chunk_id").distinct().count()
+    asked = spark.createDataFrame([(7, ["harbour"])], "query_id int, must array<string>")
+    assert [(r.query_id, r.material_id, r.page) for r in search.chunk_hits(asked, chunks).collect()] == [(7, 2, 0)]
+
+
 def test_clusters_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(1, 500)] + [(500, 0)]
     got = duplicates.clusters(spark.createDataFrame(path, "a int, b int")).collect()

@@ -451,11 +451,17 @@ def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(chunk_id, material_id, page_number, text): a chunk is named by its document and its number there, however many there are."""
+    parts = docs.select("doc_id", F.posexplode(T.chunk_page(F.col("text"))).alias("n", "text"))
+    return parts.select(F.struct("doc_id", "n").alias("chunk_id"), F.col("doc_id").alias("material_id"), F.col("n").alias("page_number"), "text")
+
+
 @query()
 def search_rrf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     m = docs.select(F.col("doc_id").alias("id"), first_line().alias("title"), F.col("source").alias("author"), F.col("lang").alias("summary"), F.lit("published").alias("status"))
-    parts = docs.select("doc_id", F.posexplode(T.chunk_page(F.col("text"))).alias("n", "text")).select((F.col("doc_id") * 1000 + F.col("n")).alias("chunk_id"), F.col("doc_id").alias("material_id"), F.col("n").alias("page_number"), "text")
+    parts = _chunks(docs)
     filings = docs.select(F.col("doc_id").alias("material_id"), F.col("source").alias("category_id"))
     pages = docs.select(F.col("doc_id").alias("material_id"), F.lit(1).alias("page_number"), "text")
     out = search.ranked_search(_queries(spark, d), m, parts, _topics(spark, d), filings, pages)
