@@ -27,10 +27,23 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/vellum-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    store, where = _store(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def _store(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables whose last reader has itself been settled."""
+    for df in tables:
+        store, where = _store(df.sparkSession, df._settled)
+        store.delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:

@@ -12,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, runs_of_rows, settle, text_bytes, windows, words
+from .common import components, mix, release, runs_of_rows, settle, text_bytes, windows, words
 
 NGRAM = 5
-#: Distinct sets that one search task holds; larger clusters are cut to parts of this size, searched part by part.
-PART = 400
+#: Shingles that one side of a search holds, unless a single document has more; a larger group is searched part by part.
+PART_ITEMS = 60_000
+#: Of a set's shingles so many in a hundred, beyond the first that a link must share, are looked at before whole sets are.
+LEAD = 10
+#: Ids of sets that pass are broadcast up to this number (32 MB), and joined by a shuffle of the texts beyond it.
+BROADCAST_IDS = 4_000_000
 
 
 def shingle_sets(b: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -39,71 +43,46 @@ def shingle_sets(b: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np
     return r[new], x[new]
 
 
-def _per_pass(batch: pa.RecordBatch) -> Iterator[tuple]:
-    b, offsets = text_bytes(batch.column(1))
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    for lo, hi in runs_of_rows(offsets):
-        r, x = shingle_sets(b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        yield ids[lo:hi], r, x
+def lead_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first shingles of a set of n, in one order for all sets, are looked at: two sets that link share at least
+    lead_shared of theirs."""
+    return np.minimum(n, n + percent * n // -100 + np.maximum(1, -(n * LEAD // -100)))
 
 
-def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and two hashes of the whole set (equal sets, equal hashes)."""
+def lead_shared(n: str, percent: int) -> str:
+    """The same least number as SQL, for a column n."""
+    return f"greatest(1, ceil({LEAD} * ceil({percent} * {n} / 100) / 100))"
+
+
+SETS = "doc_id long, n_shingles long, set_a long, set_b long, s array<long>"
+
+
+def sets_of(docs: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """doc_id, n_shingles, two hashes of the whole set (equal sets, equal hashes) and s: the set, or its lead, ascending by unsigned hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, r, x in _per_pass(batch):
-                n = np.bincount(r, minlength=len(ids))
-                a, c = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+            b, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0)
+            for lo, hi in runs_of_rows(offsets):
+                r, x = shingle_sets(b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                n = np.bincount(r, minlength=hi - lo)
+                a, c = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 at = np.flatnonzero(n)
                 if len(at):
                     heads = np.searchsorted(r, at)
                     a[at] = np.add.reduceat(mix(x), heads)
                     c[at] = np.add.reduceat(mix(x ^ np.uint64(0x9E3779B97F4A7C15)), heads)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["doc_id", "n_shingles", "set_a", "set_b"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
-
-
-def _postings(docs: DataFrame) -> DataFrame:
-    """(shingle, doc_id), a row for each member of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, r, x in _per_pass(batch):
-                for a in range(0, len(r), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000].view(np.int64)), pa.array(ids[r[a : a + 200_000]])], ["shingle", "doc_id"])
-
-    return docs.mapInArrow(run, "shingle long, doc_id long")
-
+                take = n
+                if not whole:
+                    take = lead_length(n, percent)
+                    x = x[np.arange(len(x)) - (np.cumsum(n) - n)[r] < take[r]]
+                ends = np.concatenate([[0], np.cumsum(take)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.view(np.int64)))
+                columns = [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "s"])
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n) from postings sorted by shingle: how many of a document's shingles another document has too, summed batch by batch.
-
-    Of a run that goes on into the next batch only its shingle, one document, and whether it has been counted are held, however long it is."""
-    shingle = doc = None
-    counted = False
-    for batch in batches:
-        s, d = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if not len(s):
-            continue
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        heads = np.flatnonzero(first)
-        run = np.cumsum(first) - 1
-        many = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
-        extra = []
-        if shingle is not None and s[0] == shingle:
-            begin = slice(0, heads[1] if len(heads) > 1 else len(s))
-            if counted or (d[begin] != doc).any():
-                many[0] = True
-                extra = [] if counted else [doc]
-        out = np.concatenate([d[many[run]], np.array(extra, np.int64)])
-        if len(heads) > 1 or s[0] != shingle:
-            doc = int(d[heads[-1]])
-        shingle, counted = int(s[-1]), bool(many[-1])
-        ids, n = np.unique(out, return_counts=True)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["doc_id", "n"])
+    return docs.mapInArrow(run, SETS)
 
 
 def required(n: int, m: int, percent: int) -> int:
@@ -111,12 +90,13 @@ def required(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def t_occurrence(index: dict[int, list[int]], sizes: list[int], query: list[int], percent: int, skip) -> list[int]:
-    """Indexed sets (by their number) that share with the query what their sizes require.
+def t_occurrence(index: dict[int, list[int]], sizes: list[int], query: list[int], percent: int, skip, n: int | None = None) -> list[int]:
+    """Indexed sets (by their number) that share with the query what their sizes require. n: the size of the query's set, where shingles
+    that no other set has are left out of query.
 
     index: shingle to ascending set numbers. The longest lists, fewer than the least overlap, are set aside; the short ones are merged by a
     heap, which skips sets that cannot reach the overlap, and the rest of a candidate's count comes from binary probes of the long ones."""
-    n = len(query)
+    n = len(query) if n is None else n
     least = required(n, -(-percent * n // 100), percent)
     lists = sorted((index[s] for s in query if s in index), key=len)
     if len(lists) < least:
@@ -160,9 +140,23 @@ def t_occurrence(index: dict[int, list[int]], sizes: list[int], query: list[int]
     return out
 
 
-def links_between(left: list[tuple[int, list[int]]], right: list[tuple[int, list[int]]] | None, percent: int, known: dict[int, int]) -> list[tuple[int, int]]:
-    """A forest of links among left (or between left and right): pairs (id, id), one for each union of two groups. known: id to a label
-    that already linked sets share; such pairs need no search."""
+class Sets:
+    """Sets of one search: ids, sizes and, in place of shingles, their numbers among those met here."""
+
+    def __init__(self, ids: list[int], sizes: list[int], labels: list[int], s: list[np.ndarray]):
+        self.ids, self.sizes, self.labels, self.s = ids, sizes, labels, s
+
+    def index(self) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for k, s in enumerate(self.s):
+            for x in s.tolist():
+                found.setdefault(x, []).append(k)
+        return found
+
+
+def links_between(left: Sets, right: Sets | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of links among left (or between left and right): pairs (id, id), one for each union of two groups. Sets with
+    one label are linked already; such pairs need no search."""
     parent: dict[int, int] = {}
 
     def find(x):
@@ -171,101 +165,146 @@ def links_between(left: list[tuple[int, list[int]]], right: list[tuple[int, list
             x = parent[x]
         return x
 
-    out = []
-    ids, sizes, index = [i for i, _ in left], [len(s) for _, s in left], {}
-    for k, (_, s) in enumerate(left):
-        for x in s:
-            index.setdefault(x, []).append(k)
-    for q, (i, s) in enumerate(left if right is None else right):
-        mine = ("k", known[i])
+    out, index, asked = [], left.index(), left if right is None else right
+    for q, s in enumerate(asked.s):
+        mine = asked.labels[q]
 
         def skip(k):
-            return (right is None and k >= q) or find(("k", known[ids[k]])) == find(mine)  # noqa: B023
+            return (right is None and k >= q) or find(left.labels[k]) == find(mine)  # noqa: B023
 
-        for k in t_occurrence(index, sizes, s, percent, skip):
-            a, b = find(mine), find(("k", known[ids[k]]))
+        for k in t_occurrence(index, left.sizes, s.tolist(), percent, skip, asked.sizes[q]):
+            a, b = find(mine), find(left.labels[k])
             if a != b:
                 parent[a] = b
-                out.append((i, ids[k]))
+                out.append((asked.ids[q], left.ids[k]))
     return out
 
 
+def _search(percent: int):
+    """Over rows (group, lo, hi, side, node, label, n, s), sorted so that those of a (group, lo, hi) stand together: links between the
+    rows of side 0 and those of side 1, or among those of side 0 where no other side is there."""
+
+    def answer(rows: list[tuple]) -> pa.RecordBatch | None:
+        codes = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)[1]
+        ends = np.cumsum([len(r[4]) for r in rows])
+        sides: tuple[list, list] = ([], [])
+        for r, e in zip(rows, ends.tolist()):
+            sides[r[0]].append((r[1], r[3], r[2], codes[e - len(r[4]) : e]))
+        left, right = (Sets(*map(list, zip(*x))) if x else None for x in sides)
+        out = links_between(left, right, percent) if left else []
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], ["a", "b"]) if out else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            side, node, label, n = (batch.column(k).to_pylist() for k in range(3, 7))
+            lists = batch.column(7)
+            o, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, key in enumerate(keys):
+                if key != at:
+                    if rows and (found := answer(rows)) is not None:
+                        yield found
+                    at, rows = key, []
+                rows.append((side[i], node[i], label[i], n[i], flat[o[i] : o[i + 1]].copy()))
+        if rows and (found := answer(rows)) is not None:
+            yield found
+
+    return run
+
+
+def _dealt(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Search rows (group, lo, hi, side, node, label), with the sets of their nodes: links (a, b)."""
+    held = rows.join(sets.select("node", "n", "s"), "node").select("group", "lo", "hi", "side", "node", "label", "n", "s")
+    return held.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi").mapInArrow(_search(percent), "a long, b long")
+
+
+def _links(sets: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what links connect. sets: node, n, s; prefix: node, shingle.
+
+    A group is a node and those it is the least of for a prefix shingle: sets that link share such a shingle, so they meet in a group. In
+    every group, whatever its size, the least node is searched for among the others, in parts; then, where that leaves a group with
+    several labels, its nodes outside the label of the least are searched for among all of it, part by part. Parts hold PART_ITEMS
+    shingles, so those with the label of the least, however many, go each to as many searches as the rest has parts."""
+    least = settle(prefix.groupBy("shingle").agg(F.min("node").alias("group"), F.count("*").alias("n")).where("n > 1").select("shingle", "group"))
+    member = settle(prefix.join(least, "shingle").where("node <> group").select("group", "node").distinct())
+    items = sets.select("node", F.size("s").alias("items"))
+    sized = member.join(items, "node")
+    parts = settle(sized.groupBy("group").agg(F.ceil(F.sum("items") / PART_ITEMS).cast("int").alias("cut")))
+    own = member.join(parts, "group").select("group", F.expr("cast(pmod(xxhash64(node), cut) as int)").alias("lo"), F.lit(0).alias("side"), "node")
+    asked = parts.select("group", F.explode(F.expr("sequence(0, cut - 1)")).alias("lo"), F.lit(1).alias("side"), F.col("group").alias("node"))
+    first = own.unionByName(asked).withColumn("hi", F.lit(0)).withColumn("label", F.col("node"))
+    star = settle(_dealt(first, sets, percent))
+    label = components(star).withColumnRenamed("root", "label")
+
+    every = member.unionByName(parts.select("group", F.col("group").alias("node"))).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    every = settle(every)
+    open_ = every.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
+    main = every.where("group = node").select("group", F.col("label").alias("main")).join(open_, "group")
+    ours = every.join(main, "group").withColumn("rest", F.expr("label <> main"))
+    cuts = ours.join(items, "node").groupBy("group").agg(*(F.ceil(F.sum(F.when(F.col("rest") == of, F.col("items")).otherwise(0)) / PART_ITEMS).cast("int").alias(name) for of, name in ((False, "m"), (True, "r"))))
+    cuts = settle(cuts)
+    placed = ours.join(cuts, "group").withColumn("at", F.expr("cast(pmod(xxhash64(node), if(rest, r, m)) as int)"))
+    to = F.expr("""if(rest,
+        concat(transform(sequence(0, m - 1), i -> struct(i as lo, -1 - at as hi, 1 as side)),
+               transform(sequence(0, r - 1), j -> struct(least(at, j) as lo, greatest(at, j) as hi, if(at <= j, 0, 1) as side))),
+        transform(sequence(0, r - 1), j -> struct(at as lo, -1 - j as hi, 0 as side)))""")
+    second = placed.select("group", "node", "label", F.explode(to).alias("to")).select("group", "to.lo", "to.hi", "to.side", "node", "label")
+    found = settle(star.unionByName(_dealt(second, sets, percent)))
+    release(least, member, parts, star, every, cuts)
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, rep): the size of each document's shingle set, the smallest id that links reach, and the
     smallest id with an equal set.
 
     Documents link when 100 * shared >= percent * union. Null and blank texts have empty sets and link with nothing. Rows that repeat an id are one
-    document if their sets are equal; if not, each keeps its row and what one links with counts for the id.
+    document: each keeps its size, and what one links with counts for the id.
 
-    1. Equal sets become one. 2. Shingles are counted; a document of whose shingles fewer than percent occur in another one leaves. 3. Of
-    each survivor the rarest n - ceil(percent n) + 1 shingles are its prefix: sets that link share one. Documents of one prefix shingle are
-    tied to the least of them, and what ties connect is a cluster. 4. Clusters are searched, DivideSkip, in tasks of at most two parts of PART
-    sets; in clusters of several parts the ties are verified first, so that parts are searched only for links between sets not yet connected.
+    1. Of each set its lead, the shingles with the smallest hashes, is counted over the corpus; sets that share too little of it with others leave,
+    which most do, so whole sets move only for the rest. 2. Equal sets become one. 3. Shingles of whole sets are counted; a set of which less
+    than percent occurs in another one leaves. 4. Of each survivor the rarest n - ceil(percent n) + 1 shingles are its prefix: sets that link
+    share one. 5. Groups of prefix shingles are searched, DivideSkip (see _links). Counts are partial aggregates, joins leave hot shingles to be split.
     """
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = settle(set_digests(own))
+    leads = settle(sets_of(own, percent, whole=False).withColumn("row", F.monotonically_increasing_id()))
+    sets = settle(leads.drop("s"))
     filled = sets.where("n_shingles > 0")
-    rep = settle(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    named = filled.join(rep, ["set_a", "set_b"]).select("doc_id", "rep", "n_shingles")
-    reps = named.where("doc_id = rep").select("doc_id", "n_shingles").distinct()
-
-    ordered = _postings(own).repartition("shingle").sortWithinPartitions("shingle")
-    shared = ordered.mapInArrow(_count_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n")).join(reps, "doc_id")
-    alive = settle(shared.where(f"100 * n >= {percent} * n_shingles").select("doc_id", "n_shingles"))
-    post = settle(_postings(own.join(alive.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")).distinct())
-
-    df = post.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = post.join(df, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    keep = F.expr(f"slice(s, 1, size(s) - cast(ceil({percent} * size(s) / 100) as int) + 1)")
-    prefix = ranked.select("doc_id", F.explode(keep).alias("p")).where("p.df > 1").select("doc_id", F.col("p.shingle").alias("shingle"))
-    prefix = settle(prefix)
-    least = prefix.groupBy("shingle").agg(F.min("doc_id").alias("least"))
-    ties = settle(prefix.join(least, "shingle").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
-    cluster = components(ties).withColumnRenamed("node", "doc_id").withColumnRenamed("root", "cluster")
-    big = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = settle(cluster.join(big, "cluster"))
-
-    whole = post.groupBy("doc_id").agg(F.sort_array(F.collect_list("shingle")).alias("s"))
-    held = settle(members.join(whole, "doc_id"))
-    # ties of large clusters, verified pair by pair
-    large = held.where(F.col("n") > PART)
-    pair = ties.join(large.selectExpr("doc_id as a", "s as sa"), "a").join(large.selectExpr("doc_id as b", "s as sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    tied = pair.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    label = components(tied).withColumnRenamed("node", "doc_id")
-    held = held.join(label, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
-    open_ = held.groupBy("cluster").agg(F.countDistinct("label").alias("labels")).where("labels > 1").select("cluster")
-    held = held.join(open_, "cluster")
-    cut = F.ceil(F.col("n") / PART).cast("int")
-    part = F.pmod(F.xxhash64("doc_id"), cut).cast("int")
-    dealt = held.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
-    dealt = dealt.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "label", "s")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-
-        def close():
-            (_, lo, hi), known = at, {r[1]: r[2] for r in rows}
-            if lo == hi:
-                return links_between([(r[1], r[3]) for r in rows], None, percent, known)
-            return links_between([(r[1], r[3]) for r in rows if r[0] == lo], [(r[1], r[3]) for r in rows if r[0] == hi], percent, known)
-
-        for batch in batches:
-            out = []
-            for cluster, lo, hi, *r in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (cluster, lo, hi):
-                    if rows:
-                        out += close()
-                    at, rows = (cluster, lo, hi), []
-                rows.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], ["a", "b"])
-        if rows and (out := close()):
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], ["a", "b"])
-
-    found = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id").mapInArrow(run, "a long, b long")
-    root = components(settle(found).unionByName(tied))
-    linked = named.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("component_id"))
-    linked = linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.min("rep").alias("rep"))
-    out = sets.join(linked, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"))
+    # 48 bits of a hash will do here: two shingles that share them only let a set pass that leaves later
+    lead = leads.select("row", F.explode("s").alias("s")).select("row", F.expr("s & 281474976710655").alias("shingle"))
+    common = settle(lead.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"))
+    seen = lead.join(common, "shingle").groupBy("row").agg(F.count("*").alias("shared"))
+    alive = filled.join(seen, "row").where(f"shared >= {lead_shared('n_shingles', percent)}")
+    alive = settle(alive.groupBy("set_a", "set_b").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row"), F.min("doc_id").alias("doc_id")))
+    release(leads, common)
+
+    names = alive.select("doc_id").distinct()
+    if alive.count() <= BROADCAST_IDS:
+        names = F.broadcast(names)
+    again = sets_of(own.join(names, "doc_id", "left_semi").select("doc_id", "text"), percent, whole=True)
+    again = again.join(alive.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
+    if not filled.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id with its text
+        again = again.dropDuplicates(["set_a", "set_b"])
+    whole = settle(again.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", F.col("n_shingles").alias("n"), "s"))
+    post = whole.select("node", F.explode("s").alias("shingle"))
+    df = settle(post.groupBy("shingle").agg(F.count("*").cast("int").alias("df")).where("df > 1"))
+    ranked = post.join(df, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("p")).join(whole.select("node", "n"), "node")
+    ranked = settle(ranked.where(f"100 * size(p) >= {percent} * n"))
+    release(df)
+    prefix = ranked.select("node", F.explode(F.expr(f"slice(p, 1, size(p) - cast(ceil({percent} * n / 100) as int) + 1)")).alias("p")).select("node", F.col("p.shingle").alias("shingle"))
+    links = _links(ranked.select("node", "n", F.col("p.shingle").alias("s")), prefix, percent)
+    root = components(links)
+
+    known = whole.select("node", "set_a", "set_b").join(root, "node").select("set_a", "set_b", "root")
+    rep = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")).join(known, ["set_a", "set_b"], "left")
+    head = rep.where("root is not null").groupBy("root").agg(F.min("rep").alias("head"))
+    rep = rep.join(head, "root", "left").select("set_a", "set_b", "rep", F.coalesce("head", "rep").alias("component_id"))
+    out = settle(sets.select("doc_id", "n_shingles", "set_a", "set_b").join(rep, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep")))
+    release(sets, alive, whole, ranked, links)
+    # an id with several sets joins what they belong to
+    several = out.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("doc_id", "a")
+    if several.isEmpty():
+        return out
+    ties = components(out.join(several, "doc_id").select("a", F.col("component_id").alias("b"))).select(F.col("node").alias("component_id"), "root")
+    return out.join(ties, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"), "rep")
