@@ -1,7 +1,8 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The tagger is trained in numpy from labelled spans: what the base patterns find in a bounded sample of rows, with the
-rendering varied (separators left out or changed, prefixes dropped), so that it learns to find forms that the patterns miss.
+The tagger is trained in numpy from labelled spans: what the base patterns find in a bounded sample of rows, with the rendering varied
+(separators left out or changed, prefixes dropped) and spans and numbers set side by side, so that it learns to find what the patterns
+miss: other renderings, and the parts of a run that a pattern takes as one match and then drops.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
-
 # The kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -171,7 +170,7 @@ class Tagger:
         np.add.at(g["E"], x.ravel(), ge.reshape(-1, e.shape[2]))
         return float((z - gold).mean()), {k2: v / n for k2, v in g.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, seed: int = 11) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 32, rate: float = 0.02, seed: int = 11) -> Tagger:
         r, first, second, n = np.random.default_rng(seed), {}, {}, 0
         for _ in range(max(1, steps * batch // max(1, len(x)))):
             for at in np.array_split(r.permutation(len(x)), max(1, len(x) // batch)):
@@ -210,58 +209,97 @@ def _vary(piece: str, kind: int, r: np.random.Generator) -> str:
         return piece
     if kind == 2:
         digits = re.sub("[^0-9]", "", piece)
-        joint = ("", " ", "-", ".")[how]
+        joint = ("", "", "", " ", "-", ".")[r.integers(6)]
         return joint.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     return (piece, piece.lstrip("+"), re.sub(r"[ ()]+", "-", piece).strip("-"), re.sub("^[+][0-9]+ ?", "", piece))[how]
 
 
-def examples(texts: list[str], seed: int = 5, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of signs and tags round the base spans of the texts, renderings varied, and windows without spans."""
+def _beside(pool: list[tuple[str, int]], own: int, r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """What may stand next to a span of kind `own`: one of its kind, any span or, unlabelled, a number."""
+    how = r.integers(4)
+    if how:
+        same = [x for x in pool if x[1] == own]
+        piece, kind = same[r.integers(len(same))] if how == 1 else pool[r.integers(len(pool))]
+        piece = _vary(piece, kind, r)
+        return piece, [(0, kind, len(piece))]
+    return "".join(map(str, r.integers(0, 10, int(r.choice((1, 2, 4, 6)))))), []
+
+
+def examples(texts: list[str], seed: int = 5, most: int = 6000, per_row: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` windows of signs and tags: for each base span of the texts (per_row of a text, drawn) 3 to 16 that hold it,
+    as most allows, its rendering varied and in half of them something set beside it, and as many windows without spans at digits or @ signs."""
     r = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for a, kind, b in spans[:20]:
-            if b - a > WINDOW - 20:
+    found = [base_spans(t) for t in texts]
+    pool = [(t[a:b], kind) for t, spans in zip(texts, found) for a, kind, b in spans if b - a <= WINDOW - 30]
+    copies = min(16, max(3, most // (2 * max(1, len(pool)))))
+    xs, ys, blank = [], [], []
+    for text, spans in zip(texts, found):
+        for i in r.permutation(len(spans))[:per_row].tolist():
+            a, kind, b = spans[i]
+            if b - a > WINDOW - 30:
                 continue
-            piece = _vary(text[a:b], kind, r)
-            lead = int(r.integers(4, WINDOW - len(piece) - 3)) if len(piece) < WINDOW - 8 else 2
-            left = text[max(0, a - lead) : a].rjust(lead)
-            right = text[b : b + WINDOW]
-            window = (left + piece + right).ljust(WINDOW)[:WINDOW]
-            tags = np.zeros(WINDOW, np.int64)
-            tags[lead] = 1 + 2 * kind
-            tags[lead + 1 : lead + len(piece)] = 2 + 2 * kind
-            # a neighbour in the same window keeps its own label
-            shift = lead + len(piece) - b
-            for a2, k2, b2 in spans:
-                if a2 >= b and a2 + shift < WINDOW:
-                    tags[a2 + shift] = 1 + 2 * k2
-                    tags[a2 + shift + 1 : b2 + shift] = 2 + 2 * k2
-                elif b2 <= a and a2 >= a - lead:
-                    tags[lead - (a - a2)] = 1 + 2 * k2
-                    tags[lead - (a - a2) + 1 : lead - (a - b2)] = 2 + 2 * k2
-            xs.append(signs(window))
-            ys.append(tags)
-        taken = [(a, b) for a, _, b in spans]
-        for m in list(_SIGNAL.finditer(text))[:200:17]:
-            a = max(0, m.start() - int(r.integers(10, 80)))
-            if not any(p < a + WINDOW and q > a for p, q in taken):
-                xs.append(signs(text[a : a + WINDOW].ljust(WINDOW)))
-                ys.append(np.zeros(WINDOW, np.int64))
+            for _ in range(copies):
+                piece = _vary(text[a:b], kind, r)
+                parts, labels = [piece], [(0, kind, len(piece))]
+                if r.integers(2):
+                    more, marks = _beside(pool, kind, r)
+                    joint = (" ", " ", ", ", "\n")[r.integers(4)]
+                    if r.integers(2):
+                        parts, shift = [piece, joint, more], len(piece) + len(joint)
+                        labels += [(p + shift, k, q + shift) for p, k, q in marks]
+                    else:
+                        parts, shift = [more, joint, piece], len(more) + len(joint)
+                        labels = [*marks, *((p + shift, k, q + shift) for p, k, q in labels)]
+                body = "".join(parts)
+                lead = int(r.integers(2, max(3, WINDOW - len(piece) - 3)))
+                # neighbours in the same text keep their labels
+                near = [(p - a + lead, k, q - a + lead) for p, k, q in spans if q <= a]
+                near += [(p + lead, k, q + lead) for p, k, q in labels]
+                near += [(p - b + lead + len(body), k, q - b + lead + len(body)) for p, k, q in spans if p >= b]
+                window = (text[max(0, a - lead) : a].rjust(lead) + body + text[b : b + WINDOW]).ljust(WINDOW)[:WINDOW]
+                tags = np.zeros(WINDOW, np.int64)
+                for p, k, q in near:
+                    if q > 0 and p < WINDOW:
+                        tags[max(0, p) : q] = 2 + 2 * k
+                        if p >= 0:
+                            tags[p] = 1 + 2 * k
+                xs.append(signs(window))
+                ys.append(tags)
+        signals = [m.start() for m in _SIGNAL.finditer(text)]
+        for m in r.permutation(len(signals))[:3].tolist():
+            a = max(0, signals[m] - int(r.integers(10, 80)))
+            if not any(p < a + WINDOW and q > a for p, _, q in spans):
+                blank.append(signs(text[a : a + WINDOW].ljust(WINDOW)))
     if not xs:
         return np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
+    for i in r.permutation(len(blank))[: len(xs)].tolist():
+        xs.append(blank[i])
+        ys.append(np.zeros(WINDOW, np.int64))
     pick = r.permutation(len(xs))[:most]
     return np.array(xs)[pick], np.array(ys)[pick]
 
 
-def train(docs: DataFrame, sample_rows: int = 1500, seed: int = 7, id: str = "doc_id", text: str = "text") -> Tagger:
-    """Fit the tagger on about sample_rows rows that hold a digit or an @ sign, taken by a hash of their id; of each,
-    the stretches round those signs. With no such row the tagger stays untrained and tags nothing."""
-    signal = sample_by_hash(docs.where(F.col(text).rlike("[0-9@]")), id, sample_rows, seed)
-    near = F.expr(f"array_join(slice(regexp_extract_all({text}, '(?s)(.{{0,60}}[0-9@].{{0,90}})', 1), 1, 12), ' ')")
-    texts = [t for _, t in sorted((r["k"], r["t"]) for r in signal.select(F.xxhash64(F.col(id)).alias("k"), near.alias("t")).collect())]
-    x, y = examples(texts)
+#: Rows that may hold a base span, as a filter.
+LIKELY = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}|\+[0-9][ ().0-9-]{8}"
+
+
+def training_texts(docs: DataFrame, sample_rows: int, stretches: int, seed: int = 7, id: str = "doc_id", text: str = "text") -> list[str]:
+    """Of about sample_rows rows that may hold a base span, and a quarter as many others with a digit or an @ sign, taken by a hash of their id, the
+    first `stretches` stretches round those signs, joined."""
+    t = F.col(text)
+    kind = F.when(t.rlike(LIKELY), 0).when(t.rlike("[0-9@]"), 1)
+    n = docs.select(kind.alias("k")).agg(*(F.count_if(F.col("k") == k).alias(f"n{k}") for k in (0, 1))).first()
+    place = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 40))
+    bound = [int((1 << 40) * min(1.0, rows / max(1, have))) for rows, have in ((sample_rows, n.n0), (sample_rows // 4, n.n1))]
+    taken = docs.where(place < max(bound)).withColumn("_k", kind).where(((F.col("_k") == 0) & (place < bound[0])) | ((F.col("_k") == 1) & (place < bound[1])))
+    near = F.expr(f"array_join(slice(regexp_extract_all(`{text}`, '(?s)(.{{0,60}}[0-9@].{{0,90}})', 1), 1, {stretches}), ' ')")
+    return [t for _, t in sorted((r["k"], r["t"]) for r in taken.select(F.xxhash64(F.col(id)).alias("k"), near.alias("t")).collect())]
+
+
+def train(docs: DataFrame, sample_rows: int = 1500, stretches: int = 12, seed: int = 7, id: str = "doc_id", text: str = "text") -> Tagger:
+    """Fit the tagger on a bounded sample of labelled rows: see training_texts for sample_rows and stretches. With fewer than 20
+    windows to learn from the tagger stays untrained and tags nothing."""
+    x, y = examples(training_texts(docs, sample_rows, stretches, seed, id, text))
     tagger = Tagger(seed=seed)
     if len(x) < 20:
         tagger.p["c"][0] = 1e3
