@@ -3,6 +3,8 @@
 Every window of W units holds a gram of G units with the smallest hash: its anchor. Consecutive windows with the same
 anchor are one super-window. Equal windows have equal anchors at equal places, so windows need comparing only between super-windows of
 one anchor, and an anchor that occurs once rules its windows out.
+
+Rows of a table are named by a key of their own: their id where ids are unique, else a hash of id and text.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import _BYTE_CODE, mix, powers, runs_of_rows, text_bytes, window_min, windows, words
 
-OCCURRENCE = "anchor long, seg long, doc_id long, start int, n_windows int"
+OCCURRENCE = "first long, anchor long, seg long, row long, start int, n_windows int, lead int"
 SEG = ["anchor", "seg"]
 _BASE = 0xA0761D6478BD642F
 
@@ -30,6 +33,12 @@ def as_bytes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return _BYTE_CODE[b], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), at, at + 1
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row. Rows that repeat an id with its text share theirs, as they share what they lose."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    return docs.withColumn("row", F.col("doc_id") if odd.isEmpty() else F.xxhash64("doc_id", "text"))
+
+
 def prefix_sums(code: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers(_BASE, len(code)), dtype=np.uint64)])
 
@@ -40,48 +49,85 @@ def stretch_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
-def super_windows(code: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First unit, number of windows and anchor hash of each super-window."""
+def super_windows(code: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, number of windows, anchor hash and anchor's place of each super-window."""
     none = np.empty(0, np.int64)
     if len(code) < window:
-        return none, none, none
+        return none, none, none, none
     g = windows(code, gram)
     at = window_min(g, window - gram + 1)
     inside = row[: len(at)] == row[window - 1 : window - 1 + len(at)]
     first = inside.copy()
     first[1:] &= ~inside[:-1] | (at[1:] != at[:-1]) | (row[1 : len(at)] != row[: len(at) - 1])
     starts = np.flatnonzero(first)
-    n = np.add.reduceat(inside.astype(np.int64), starts) if len(starts) else none
-    return starts, n, g[at[starts]].view(np.int64) if len(starts) else none
+    if not len(starts):
+        return none, none, none, none
+    n = np.add.reduceat(inside.astype(np.int64), starts)
+    return starts, n, g[at[starts]].view(np.int64), at[starts]
+
 
+def doubled(sums: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-windows cut in two where the anchor's double changes sides: (which, first window, windows) and the hash of the double.
 
-def occurrences(docs: DataFrame, units: Callable, window: int, gram: int) -> DataFrame:
-    """Every super-window of docs (doc_id, text), with a hash of all its units; start counts units of its text."""
+    The double is the anchor with the gram after it, where the window holds that, else with the gram before it; so equal windows have
+    equal doubles too."""
+    border = at - (window - 2 * gram)  # from here on windows hold the gram after the anchor
+    ends = starts + n
+    left, right = np.flatnonzero(starts < border), np.flatnonzero(ends > border)
+    which = np.concatenate([left, right])
+    begin = np.concatenate([starts[left], np.maximum(starts[right], border[right])])
+    count = np.concatenate([np.minimum(ends[left], border[left]), ends[right]]) - begin
+    a = np.concatenate([at[left] - gram, at[right]])
+    side = np.repeat(np.array([0x2545F4914F6CDD1D, 0], np.uint64), [len(left), len(right)])
+    return which, np.stack([begin, count]), mix(stretch_hash(sums, a, a + 2 * gram).view(np.uint64) ^ side).view(np.int64)
+
+
+def occurrences(docs: DataFrame, units: Callable, window: int, gram: int, double: bool = False) -> DataFrame:
+    """Every super-window of docs (row, text), with a hash of all its units; start counts units of its text, lead is the anchor's place from there.
+
+    double: each is cut where the anchor's double changes sides; anchor is then the hash of the double and first that of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, offsets = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in runs_of_rows(offsets):
                 o = offsets[lo : hi + 1] - offsets[lo]
                 code, row, _, _ = units(b[offsets[lo] : offsets[hi]], o)
-                starts, n, anchor = super_windows(code, row, window, gram)
+                starts, n, anchor, at = super_windows(code, row, window, gram)
                 if not len(starts):
                     continue
-                x = stretch_hash(prefix_sums(code), starts, starts + n + window - 1)
+                sums, first = prefix_sums(code), anchor
+                if double:
+                    which, (starts, n), anchor = doubled(sums, starts, n, at, window, gram)
+                    first, at = first[which], at[which]
+                x = stretch_hash(sums, starts, starts + n + window - 1)
                 begin = np.searchsorted(row, row[starts])
-                columns = [anchor, x, ids[lo + row[starts]], (starts - begin).astype(np.int32), n.astype(np.int32)]
+                columns = [first, anchor, x, rows[lo + row[starts]], (starts - begin).astype(np.int32), n.astype(np.int32), (at - starts).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in OCCURRENCE.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, OCCURRENCE)
+    return docs.select("row", "text").mapInArrow(run, OCCURRENCE)
 
 
 def at_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the list `wanted` of the rows of wanted that name them; documents without are left out.
+    """docs (row, text) with the list `wanted` of the rows of wanted that name them; documents without are left out.
 
     A list is as long as its document has super-windows. The side of docs is the same plan in every call, so its exchange is used again."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "doc_id"])).alias("wanted"))
-    return docs.hint("merge").join(lists, "doc_id")
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "row"])).alias("wanted"))
+    return docs.select("row", "text").hint("merge").join(lists, "row")
+
+
+def wanted_stretches(batch: pa.RecordBatch, units: Callable, fields: int) -> Iterator[tuple]:
+    """For each pass over the texts of a batch (text, wanted): the sums of its units, and of each wanted struct the first unit of its text and its fields."""
+    b, offsets = text_bytes(batch.column(0))
+    flat, lens = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lens)
+    columns = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(fields)]
+    for lo, hi in runs_of_rows(offsets):
+        code, row, _, _ = units(b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        begin = np.searchsorted(row, np.arange(hi - lo))
+        k = slice(int(ends[lo] - lens[lo]), int(ends[hi - 1]))
+        yield prefix_sums(code), np.repeat(begin, lens[lo:hi]), [c[k] for c in columns]
 
 
 def single_windows(joined: DataFrame, units: Callable, window: int) -> DataFrame:
@@ -90,38 +136,32 @@ def single_windows(joined: DataFrame, units: Callable, window: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, offsets = text_bytes(batch.column(0))
-            wanted = batch.column(1)
-            flat = wanted.flatten()
-            lens = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lens)
-            anchor, seg, start, n, weight = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-            for lo, hi in runs_of_rows(offsets):
-                code, row, _, _ = units(b[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                sums = prefix_sums(code)
-                begin = np.searchsorted(row, np.arange(hi - lo))
-                k = np.arange(ends[lo] - lens[lo], ends[hi - 1])
-                owner = np.repeat(np.arange(hi - lo), lens[lo:hi])
-                for part in np.array_split(np.arange(len(k)), max(1, len(k) // 2000)):
-                    kk = k[part]
-                    m = n[kk].astype(np.int64)
+            for sums, base, (anchor, seg, start, n, weight) in wanted_stretches(batch, units, 5):
+                for part in np.array_split(np.arange(len(base)), max(1, len(base) // 2000)):
+                    m = n[part].astype(np.int64)
                     place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                    a = np.repeat(begin[owner[part]] + start[kk], m) + place
+                    a = np.repeat(base[part] + start[part], m) + place
                     x = stretch_hash(sums, a, a + window)
-                    columns = [np.repeat(anchor[kk], m), np.repeat(seg[kk], m), np.repeat(weight[kk], m), place.astype(np.int32), x]
+                    columns = [np.repeat(anchor[part], m), np.repeat(seg[part], m), np.repeat(weight[part], m), place.astype(np.int32), x]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in schema.split(", ")])
 
     return joined.select("text", "wanted").mapInArrow(run, schema)
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, units: Callable, joiner: bytes, extra: list[str] = (), same_if_whole: bool = False) -> DataFrame:
-    """docs without the units covered by spans (doc_id, start, end): n_units, n_removed, n_spans (maximal removed runs), kept.
+ADDED = ("n_units", "n_removed", "n_spans", "kept")
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame, units: Callable, joiner: bytes, same_if_whole: bool = False) -> DataFrame:
+    """docs (row, text and others) without the units covered by spans (row, start, end): n_units, n_removed, n_spans (maximal removed runs) and kept
+    in place of row and text. Other columns stay; those named like one added are replaced.
 
-    Kept units stand end to end with joiner between them; with same_if_whole a text that loses nothing stays as it is. Null texts are empty; repeated ids share their spans."""
-    schema = "n_units long, n_removed long, n_spans long, kept binary"
-    # touching spans are joined first, so a document's list is short
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
-    joined = docs.hint("merge").join(lists, "doc_id", "left")
+    Kept units stand end to end with joiner between them; with same_if_whole a text that loses nothing stays as it is. Null texts are empty.
+    A document's list of spans is as long as it has super-windows at most."""
+    carry = [c for c in docs.columns if c not in ("row", "text", *ADDED)]
+    own = docs.select(F.col("row").alias("_row"), F.col("text").alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)))
+    lists = spans.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_s"))
+    joined = own.hint("merge").join(lists, "_row", "left").select("_text", "_s", *(f"_c{i}" for i in range(len(carry))))
+    schema = StructType([*joined.schema.fields[2:], *(StructField(c, LongType()) for c in ADDED[:3]), StructField(ADDED[3], BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +195,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame, units: Callable, joiner: byt
                     else:
                         at = np.flatnonzero(~gone[a:z]) + a
                         kept.append(joiner.join([data[p:q] for p, q in zip(first[at].tolist(), last[at].tolist())]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(2 + j).slice(lo, hi - lo) for j in range(len(carry))), pa.array(np.diff(begin)), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], [*carry, *(c.split()[0] for c in schema.split(", "))])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[2:]), pa.array(np.diff(begin)), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], schema.names)
 
-    carry = ["doc_id", *extra]
-    types = dict(joined.dtypes)
-    return joined.select("text", "s", *carry).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", " + schema)
+    return joined.mapInArrow(run, schema).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), *ADDED)
