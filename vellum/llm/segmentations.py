@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import mix
+from .common import MIX_1, MIX_2, mix
 
-#: No piece holds a blank after another sign, so units never share a piece. A unit of more signs than this is cut.
-UNIT = re.compile("▁*[^▁]{1,256}|▁{1,256}")
-PASS_CHARS, BLOCK, SCALE = 800_000, 24, 2.5
+#: No piece holds a blank after another sign, so units never share a piece.
+UNIT = re.compile("▁*[^▁]+|▁+")
+PASS_CHARS, BLOCK = 1_000_000, 24
+#: Arcs that a worker keeps from pass to pass, beyond those of the pass at hand.
+KEPT_ARCS = 4_000_000
 
 
 class Pieces:
-    """The pieces of a model as a trie over code points, with weights (rank + 2) ** -1 for a piece of that merge rank."""
+    """The pieces of a model as a trie over code points, with weights (rank + 2) ** -1 for a piece of that merge rank, and what each decodes to."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -42,6 +45,8 @@ class Pieces:
         self.byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_array, self.byte_weight = np.array(self.byte_ids), 1 / (n + 2)
         self.weight[self.byte_array] = self.byte_weight
+        self.log_weight = np.log(np.maximum(self.weight, 1e-300))
+        self.spelt = np.array([bytes([self.byte_ids.index(i)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(n)], object)
         nodes: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
         for i in usable:
@@ -61,11 +66,53 @@ class Pieces:
                 self.first[c] = t
 
 
+class _Numbers(dict):
+    """Numbers in the order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a normalized text, each without the one blank before it; units with more blanks are told by those."""
+    if "▁▁" not in text and text[:1] == "▁" and text[-1:] != "▁":
+        return text[1:].split("▁")
+    return [u[1:] if u[0] == "▁" else "\0" + u for u in UNIT.findall(text)]
+
+
+class Kept:
+    """Units met so far with their lattice. Both start afresh when they have grown beyond KEPT_ARCS."""
+
+    def __init__(self, p: Pieces):
+        self.p, self.known, self.lattice = p, _Numbers(), Lattice(p, [])
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The units of each text, by their numbers in the lattice."""
+        if len(self.lattice.ids) > KEPT_ARCS:
+            self.known, self.lattice = _Numbers(), Lattice(self.p, [])
+        had = len(self.known)
+        found = [list(map(self.known.__getitem__, units_of(t))) for t in self.p.model.normalize(texts)] if texts else []
+        fresh = [u[1:] if u[:1] == "\0" else "▁" + u for u in itertools.islice(self.known, had, None)]
+        if fresh:
+            self.lattice.add(Lattice(self.p, fresh))
+        return found
+
+
 @functools.cache
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@functools.cache
+def kept(p: Pieces) -> Kept:
+    return Kept(p)
+
+
+#: An arc: the probability, given its first sign, of it and those before it, its own, that of all others, and its signs (0: it ends its unit).
+ARC = np.dtype([("upto", "f8"), ("prob", "f8"), ("other", "f8"), ("size", "i8")])
+
+
 class Lattice:
     """Arcs of many units at once, by their first sign, with the probability of each given its start."""
 
@@ -104,69 +151,140 @@ class Lattice:
         ids.append(np.where(c[bare] < 128, p.byte_array[c[bare] & 127], -1 - c[bare]))
         src, size, ids = map(np.concatenate, (src, size, ids))
         n_bytes = 2 + (-1 - ids >= 0x800) + (-1 - ids >= 0x10000)
-        w = np.where(ids >= 0, p.weight[np.maximum(ids, 0)], p.byte_weight**n_bytes) * np.exp(SCALE * size)
-        order = np.lexsort((src, dist[src]))
+        w = np.where(ids >= 0, p.log_weight[np.maximum(ids, 0)], np.log(p.byte_weight) * n_bytes)
+        order = np.argsort((dist[src] * len(c) + src) * (p.longest + 1) + size)  # by distance to the unit's end, then by sign
         src, size, ids, w = src[order], size[order], ids[order], w[order]
-        beta = np.zeros(len(c) + 1)
+        beta = np.zeros(len(c) + 1)  # log of the mass of what begins at a sign, within its unit
         heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if len(src) else np.empty(0, np.int64)
         last = dist[src] == size  # the arc ends its unit
         level = np.searchsorted(dist[src], np.arange(1, int(dist.max(initial=0)) + 2))
-        mass = np.empty(len(src))
-        for lo, hi in zip(level[:-1], level[1:]):
-            mass[lo:hi] = w[lo:hi] * np.where(last[lo:hi], 1.0, beta[src[lo:hi] + size[lo:hi]])
-            h = heads[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)]
-            beta[src[h]] = np.add.reduceat(mass[lo:hi], h - lo)
-        self.ids, self.size, self.last = ids, size, last
-        self.prob = mass / beta[src]
-        self.log = np.log(self.prob)
-        total = np.cumsum(self.prob)
-        before = np.repeat(total[heads] - self.prob[heads], np.diff(np.append(heads, len(src))))
-        self.upto = total - before
-        self.upto[np.append(heads[1:], len(src)) - 1] = 2.0  # the last arc takes what is left
-        self.head = np.full(len(c), -1, np.int64)
-        self.head[src[heads]] = heads
+        bounds = np.searchsorted(heads, level)
+        many = np.diff(np.append(heads, len(src)))
+        prob = np.empty(len(src))
+        for lo, hi, h_lo, h_hi in zip(level[:-1].tolist(), level[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            mass = w[lo:hi] + np.where(last[lo:hi], 0.0, beta[src[lo:hi] + size[lo:hi]])
+            h, n = heads[h_lo:h_hi] - lo, many[h_lo:h_hi]
+            top = np.maximum.reduceat(mass, h)
+            share = np.exp(mass - np.repeat(top, n))
+            total = np.add.reduceat(share, h)
+            beta[src[h + lo]] = top + np.log(total)
+            prob[lo:hi] = share / np.repeat(total, n)
+        self.ids = ids.astype(np.int32)
+        # sums over the arcs before and after an arc at its sign; only what is there is added, so small sums are exact
+        before, after = np.zeros(len(src)), np.zeros(len(src))
+        for k in range(1, int(many.max(initial=0))):
+            at = heads[many > k] + k
+            before[at] = before[at - 1] + prob[at - 1]
+            at = heads[many > k] + many[many > k] - 1 - k
+            after[at] = after[at + 1] + prob[at + 1]
+        self.arcs = np.empty(len(src), ARC)
+        self.arcs["upto"], self.arcs["prob"], self.arcs["other"] = before + prob, prob, before + after
+        self.arcs["upto"][heads + many - 1] = 2.0  # the last arc takes what is left
+        self.arcs["size"] = np.where(last, 0, size)
+        self.head, self.many = np.full(len(c), -1, np.int64), np.zeros(len(c), np.int32)
+        self.head[src[heads]], self.many[src[heads]] = heads, many
+
+    def add(self, more: Lattice) -> None:
+        """Put the units of another lattice after these; arrays grow by half, so that few of them are copied."""
+        more.start = more.start + len(self.head)
+        more.head = more.head + np.where(more.head >= 0, len(self.ids), 0)
+        for name in ("start", "ids", "arcs", "head", "many"):
+            mine, new = getattr(self, name), getattr(more, name)
+            room = mine if mine.base is None else mine.base
+            n = len(mine) + len(new)
+            if len(room) < n:
+                room = np.empty(n + n // 2, mine.dtype)
+                room[: len(mine)] = mine
+            room[len(mine) : n] = new
+            setattr(self, name, room[:n])
 
     def draw(self, unit: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation for each unit: number of arcs, arcs end to end, log probability. uniform(step, rows) gives numbers in [0, 1)."""
         n = len(unit)
-        count, log = np.zeros(n, np.int64), np.zeros(n)
+        count, probs, rests = np.ones(n, np.int64), np.empty(n), np.empty(n)
         rows, at, steps = np.arange(n), self.start[unit], []
+        prob, rest = np.ones(n), np.zeros(n)
         while len(rows):
             u = uniform(len(steps), rows)
-            arc = self.head[at]
-            more = np.flatnonzero(self.upto[arc] <= u)
+            arc = self.head.take(at)
+            t = self.arcs.take(arc)
+            more = np.flatnonzero(t["upto"] <= u)
             while len(more):
                 arc[more] += 1
-                more = more[self.upto[arc[more]] <= u[more]]
+                t[more] = fresh = self.arcs.take(arc[more])
+                more = more[fresh["upto"] <= u[more]]
             steps.append((rows, arc))
-            count[rows] += 1
-            log[rows] += self.log[arc]
-            go = ~self.last[arc]
-            rows, at = rows[go], (at + self.size[arc])[go]
+            rest += prob * t["other"]
+            prob *= t["prob"]
+            size = t["size"]
+            end, go = np.flatnonzero(size == 0), np.flatnonzero(size)
+            done = rows[end]
+            count[done], probs[done], rests[done] = len(steps), prob[end], rest[end]
+            rows, at, prob, rest = rows[go], at[go] + size[go], prob[go], rest[go]
         first = np.cumsum(count) - count
         arcs = np.empty(int(count.sum()), np.int64)
         for k, (r, a) in enumerate(steps):
             arcs[first[r] + k] = a
+        log = np.log1p(-np.minimum(rests, 0.5))
+        far = np.flatnonzero(rests > 0.5)
+        log[far] = np.log(np.maximum(probs[far], 1e-300))
+        for i in far[probs[far] < 1e-290].tolist():
+            log[i] = np.log(self.arcs["prob"][arcs[first[i] : first[i] + count[i]]]).sum()
         return count, arcs, log
 
-    def all_of(self, unit: int, most: int = 4096) -> list[tuple[tuple[int, ...], float]] | None:
-        """Every segmentation of a unit with its probability; None if there are more than most."""
-        out, stack = [], [(int(self.start[unit]), (), 1.0)]
-        while stack:
-            at, path, prob = stack.pop()
-            arc = int(self.head[at])
-            while True:
-                q = (*path, arc)
-                if self.last[arc]:
-                    out.append((q, prob * float(self.prob[arc])))
-                    if len(out) > most:
-                        return None
-                else:
-                    stack.append((at + int(self.size[arc]), q, prob * float(self.prob[arc])))
-                if self.upto[arc] == 2.0:
-                    break
-                arc += 1
-        return out
+    def without(self, unit: int, out: tuple[tuple[int, ...], ...], uniform) -> tuple[tuple[int, ...], float, float]:
+        """A segmentation of the unit that is not in out (arc tuples), its log probability, and the mass of all that are in neither.
+
+        Masses are sums over the arcs that leave the paths of out, so none is a difference. uniform() gives numbers in [0, 1)."""
+        steps, masses = self._left(unit, out)
+        node, path, log = 0, [], 0.0
+        at = int(self.start[unit])
+        while True:
+            h = int(self.head[at])
+            prob = self.arcs["prob"][h : h + int(self.many[at])].tolist()
+            if node is not None:
+                kids = steps[node][1]
+                for arc, kid in kids.items():
+                    prob[arc - h] *= masses[kid] if kid is not None else 0.0
+            goal = uniform() * sum(prob)
+            pick = 0
+            for k, x in enumerate(prob):
+                if x > 0:
+                    pick = k
+                    if goal < x:
+                        break
+                    goal -= x
+            path.append(h + pick)
+            log += math.log(self.arcs["prob"][h + pick])
+            node = steps[node][1].get(h + pick) if node is not None else None
+            size = int(self.arcs["size"][h + pick])
+            if not size:
+                break
+            at += size
+        got = tuple(path)
+        return got, log, self._left(unit, (*out, got))[1][0]
+
+    def _left(self, unit: int, out: tuple[tuple[int, ...], ...]) -> tuple[list, list[float]]:
+        """A trie of the paths (sign, arc to child), and for each of its nodes the mass of what goes on from it and is no path of out."""
+        steps: list[tuple[int, dict]] = [(int(self.start[unit]), {})]
+        for path in out:
+            node = 0
+            for arc in path[:-1]:
+                kids = steps[node][1]
+                if arc not in kids:
+                    steps.append((steps[node][0] + int(self.arcs["size"][arc]), {}))
+                    kids[arc] = len(steps) - 1
+                node = kids[arc]
+            steps[node][1][path[-1]] = None
+        masses = [0.0] * len(steps)
+        for node in range(len(steps) - 1, -1, -1):
+            at, kids = steps[node]
+            h = int(self.head[at])
+            for k, x in enumerate(self.arcs["prob"][h : h + int(self.many[at])].tolist()):
+                kid = kids.get(h + k, -1)
+                if kid is not None:
+                    masses[node] += x if kid == -1 else x * masses[kid]
+        return steps, masses
 
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -194,11 +312,17 @@ class _Search:
         return _uniforms(np.uint64(self.key) + np.arange(self.drawn - n, self.drawn, dtype=np.uint64) * np.uint64(_ODD[0]))
 
     def uniform(self) -> float:
-        return float(self.uniforms(1)[0])
-
-    def below(self, bound: float, log_mass: np.ndarray) -> np.ndarray:
-        """Gumbels at log_mass, given that they are less than bound."""
-        return -np.logaddexp(-bound, np.log(-np.log(self.uniforms(len(log_mass)))) - log_mass)
+        """The next of the same numbers."""
+        x = (self.key + self.drawn * _ODD[0]) & _ALL
+        self.drawn += 1
+        x = (x ^ x >> 30) * int(MIX_1) & _ALL
+        x = (x ^ x >> 27) * int(MIX_2) & _ALL
+        return (((x ^ x >> 31) >> 11) + 0.5) * 2.0**-53
+
+    def below(self, bound: float, log_mass: float) -> float:
+        """A Gumbel at log_mass, given that it is less than bound."""
+        x, y = -bound, math.log(-math.log(self.uniform())) - log_mass
+        return -(max(x, y) + math.log1p(math.exp(-abs(x - y))))
 
     def put(self, value: float, *what) -> None:
         heapq.heappush(self.queue, (-value, self.drawn, what))
@@ -209,7 +333,7 @@ class _Search:
         value, before = _maxima(np.array([prefix]), np.array([bound]), block, rest, self.uniforms(block.size + 1)[None, :])
         if inherit:
             mass = np.append(before[0] + _log_rest(block[0]), before[0, -1] + block[0, -1] + _log_rest(rest)[0])
-            if mass.max() < -1e6:  # the set's mass was no more than rounding
+            if not np.isfinite(mass.max()):  # nothing is left to leave the path
                 return
             w = np.exp(mass - mass.max())
             value[0, int(np.searchsorted(np.cumsum(w), self.uniform() * w.sum()))] = bound
@@ -219,7 +343,7 @@ class _Search:
         # of sets queued together no more can come up than segmentations are still to be taken, and the bar
         for i in np.argsort(-value, kind="stable")[: self.most + 1].tolist():
             v = float(value[i])
-            if v > -600:
+            if v > -math.inf:
                 unit = i < BLOCK
                 self.put(v, "unit" if unit else "tail", path, first + i, float(before[i]) if unit else after, ())
 
@@ -233,9 +357,9 @@ class _Search:
 
 
 def _log_rest(log_p: np.ndarray) -> np.ndarray:
-    """log(1 - exp(log_p)); what rounding leaves of a certain event is nothing."""
-    rest = -np.expm1(np.minimum(log_p, 0.0))
-    return np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-12)), -1e9)
+    """log(1 - exp(log_p)), minus infinity for a certain event."""
+    with np.errstate(divide="ignore"):
+        return np.log(-np.expm1(np.minimum(log_p, 0.0)))
 
 
 def _blocks(logs: list[np.ndarray], first: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +385,8 @@ def _maxima(prefix: np.ndarray, bound: np.ndarray, block: np.ndarray, rest: np.n
 def sample_texts(keys: np.ndarray, texts: list[str], p: Pieces, k: int) -> list[list[tuple[bytes, float, float, float]]]:
     """For each text at most k distinct segmentations, best first: piece ids (little-endian unsigned 32-bit), log probability,
     perturbed value, and the inclusion score: the chance of a value above the best that was not taken."""
-    known: dict[str, int] = {}
-    per_doc = [[known.setdefault(u, len(known)) for u in UNIT.findall(t)] for t in p.model.normalize(texts)] if texts else []
-    lat = Lattice(p, list(known))
+    per_doc = kept(p).numbers(texts)
+    lat = kept(p).lattice
     sizes = np.array([len(x) for x in per_doc], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     unit = np.array([u for x in per_doc for u in x], np.int64)
@@ -286,7 +409,7 @@ def sample_texts(keys: np.ndarray, texts: list[str], p: Pieces, k: int) -> list[
                 value, j, before, base, mid, out = -math.log(-math.log(s.uniform())), -1, 0.0, None, None, ()
             else:
                 value, base, j, before, out = w
-                mid = _other(lat, int(unit[bounds[i] + j]), out, s)
+                mid, mid_log, left = lat.without(int(unit[bounds[i] + j]), out, s.uniform)
             m = n - 1 - j if w else n
             a, b = at, at + m
             at = b
@@ -295,17 +418,14 @@ def sample_texts(keys: np.ndarray, texts: list[str], p: Pieces, k: int) -> list[
                 path, logs, cuts = tail, log[a:b], first[a : b + 1] - first[a]
             else:
                 old, old_logs, old_cuts = s.paths[base]
-                mid_log = float(lat.log[list(mid)].sum())
                 path = np.concatenate([old[: old_cuts[j]], mid, tail])
                 logs = np.concatenate([old_logs[:j], [mid_log], log[a:b]])
                 cuts = np.concatenate([old_cuts[: j + 1], old_cuts[j] + len(mid) + first[a : b + 1] - first[a]])
             s.paths.append((path, logs, cuts))
             found[i].append((_ids(p, lat.ids[path]), float(logs.sum()), value))
             if mid is not None:
-                gone = (*out, mid)
-                left = 1 - sum(math.exp(float(lat.log[list(q)].sum())) for q in gone)
-                if left > 1e-9:
-                    s.put(float(s.below(value, np.array([before + math.log(left)]))[0]), "unit", base, j, before, gone)
+                if left > 0:
+                    s.put(s.below(value, before + math.log(left)), "unit", base, j, before, (*out, mid))
             shared.append(before + (mid_log if mid is not None else 0.0))
             values.append(value)
             firsts.append(j + 1)
@@ -328,23 +448,6 @@ def sample_texts(keys: np.ndarray, texts: list[str], p: Pieces, k: int) -> list[
     return [[(ids, lp, v, 1.0 if i not in bar else -math.expm1(-math.exp(min(50.0, lp - bar[i])))) for ids, lp, v in f] for i, f in enumerate(found)]
 
 
-def _other(lat: Lattice, unit: int, out: tuple, s: _Search) -> tuple[int, ...]:
-    """A segmentation of the unit that is not in out."""
-    one = np.array([unit])
-    for most in (1, 1, 1, 1024):
-        every = lat.all_of(unit, most)
-        if every is not None:
-            every = [(q, w) for q, w in every if q not in out]
-            total = np.cumsum([w for _, w in every])
-            return every[min(len(every) - 1, int(np.searchsorted(total, s.uniform() * total[-1])))][0]
-        got = tuple(lat.draw(one, lambda step, rows: s.uniforms(1))[1].tolist())
-        if got not in out:
-            return got
-    while got in out:
-        got = tuple(lat.draw(one, lambda step, rows: s.uniforms(1))[1].tolist())
-    return got
-
-
 def _ids(p: Pieces, ids: np.ndarray) -> bytes:
     if (ids < 0).any():
         ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [p.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "replace")])])
@@ -352,7 +455,9 @@ def _ids(p: Pieces, ids: np.ndarray) -> bytes:
 
 
 def decode(ids: bytes, p: Pieces) -> str:
-    return p.model.decode(np.frombuffer(ids, "<u4").tolist())
+    """The text of piece ids: pieces end to end, spelt bytes read as UTF-8, without the blank that encoding puts before the first."""
+    spelt = b"".join(p.spelt[np.frombuffer(ids, "<u4")].tolist())
+    return (spelt[1:] if spelt[:1] == b" " else spelt).decode("utf-8", "replace")
 
 
 def _decode_all(ids: pa.Array, p: Pieces) -> pa.Array:
