@@ -84,8 +84,8 @@ def test_components_of_a_long_path(spark):
     assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(501)} | {(i, 1000) for i in range(1000, 1500)} and len(got) == 1001
 
 
-def test_substring_dedup(docs, empty):
-    rows = plain(docs)
+def _words_left(rows):
+    """Brute force: (id, words, removed, kept) of rows (id, text) with 50-word windows."""
     first: dict = {}
     split = [(i, WS.findall(t)) for i, t in rows]
     for i, w in split:
@@ -99,48 +99,93 @@ def test_substring_dedup(docs, empty):
             if first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = [True] * 50
         want[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))] += 1
-    got = substrings.dedup_substrings(docs, extra=("lang",))
-    assert "lang" in got.columns
-    assert Counter((r.doc_id, r.n_units, r.n_removed, r.kept_text) for r in got.collect()) == want
-    assert substrings.dedup_substrings(empty).count() == 0
+    return want
 
 
-@pytest.mark.parametrize("forms", [3000, 0])
-def test_suffix_dedup(docs, empty, forms, monkeypatch):
-    """Both through the index and, with no forms allowed there, window by window."""
-    monkeypatch.setattr(suffixes, "INDEX_FORMS", forms)
-    rows = [(i, t.encode()) for i, t in plain(docs) if i != 204]
-    seen = Counter(b[k : k + 200] for _, b in rows for k in range(len(b) - 199))
+def _bytes_left(rows, window=200):
+    """Brute force: (id, bytes, removed, runs, kept) of rows (id, bytes)."""
+    seen = Counter(b[k : k + window] for _, b in rows for k in range(len(b) - window + 1))
     want = Counter()
     for i, b in rows:
         gone = bytearray(len(b))
-        for k in range(len(b) - 199):
-            if seen[b[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+        for k in range(len(b) - window + 1):
+            if seen[b[k : k + window]] > 1:
+                gone[k : k + window] = b"\1" * window
         want[(i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g))] += 1
-    got = suffixes.dedup_suffixes(docs.where("doc_id <> 204"))
-    assert Counter((r.doc_id, r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
+    return want
+
+
+def _one_id(spark):
+    """Rows of one id with different texts, longer and shorter, that share passages with others and with each other; and ids that are null."""
+    r = random.Random(21)
+    text = lambda k: " ".join(r.choice(VOCAB) + str(r.randint(0, 30)) for _ in range(k))
+    p, q = text(70), text(90)
+    rows = [(5, text(300) + " " + p, "a"), (5, p + " x", "a"), (5, text(10), "b"), (3, text(20) + " " + q, "a"), (9, p + " " + text(5) + " " + q, None), (9, None, "c"), (9, q, "c"), (2, text(60), "a")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(1)
+
+
+def test_substring_dedup(spark, docs, empty):
+    got = substrings.dedup_substrings(docs.withColumn("kept", F.lit(1)).withColumn("_s", F.lit(2)).withColumn("s", F.lit(3)), extra=("lang", "kept", "_s", "s"))
+    assert set(got.columns) == {"doc_id", "lang", "_s", "s", "n_units", "n_removed", "n_spans", "kept_text"}
+    assert Counter((r.doc_id, r.n_units, r.n_removed, r.kept_text) for r in got.collect()) == _words_left(plain(docs))
+    assert substrings.dedup_substrings(empty).count() == 0
+    same = _one_id(spark)
+    assert Counter((r.doc_id, r.n_units, r.n_removed, r.kept_text) for r in substrings.dedup_substrings(same).collect()) == _words_left(plain(same))
+    lost = same.union(spark.createDataFrame([(None, same.where("doc_id = 3").first().text, "z")], SCHEMA))
+    assert {r.n_removed for r in substrings.dedup_substrings(lost).where("doc_id is null").collect()} == {0}
+
+
+def test_substring_levels():
+    """Equal windows have equal anchors, doubles and places, wherever they stand."""
+    from vellum.llm import superwindows
+
+    r = random.Random(3)
+    passage = [r.randint(0, 40) for _ in range(90)]
+    seen: dict = {}
+    for _ in range(6):
+        code = mix(np.array([r.randint(0, 40) for _ in range(r.randint(0, 60))] + passage + [r.randint(0, 40) for _ in range(30)]))
+        starts, n, anchor, at = superwindows.super_windows(code, np.zeros(len(code), int), 50, 12)
+        which, (a, m), double = superwindows.doubled(superwindows.prefix_sums(code), starts, n, at, 50, 12)
+        assert m.sum() == n.sum() == len(code) - 49 and (m > 0).all()
+        for w, s, k, d in zip(which, a, m, double):
+            for x in range(s, s + k):
+                assert seen.setdefault(code[x : x + 50].tobytes(), (anchor[w], d, at[w] - x)) == (anchor[w], d, at[w] - x)
+
+
+@pytest.mark.parametrize("forms", [3000, 1])
+def test_suffix_dedup(spark, docs, empty, forms, monkeypatch):
+    """Whole anchors in an index, and, with one form allowed there, split as hot ones are."""
+    monkeypatch.setattr(suffixes, "INDEX_FORMS", forms)
+    for df in (docs, _one_id(spark)):
+        want = _bytes_left([(i, t.encode()) for i, t in plain(df)])
+        assert Counter((r.doc_id, r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup_suffixes(df).collect()) == want
     assert suffixes.dedup_suffixes(empty).count() == 0
 
 
 def test_run_index():
     r = random.Random(4)
     base = bytes(r.choice(b"ab") for _ in range(300))
-    strings = [base, base[40:260], bytes(r.choice(b"abc") for _ in range(150)), base[:100] + b"z" + base[100:], b"a" * 90, b""]
-    index = suffixes.RunIndex([s for s in strings if s])
-    text, starts = b"".join(strings), np.cumsum([0, *map(len, strings)])
-    ends = np.repeat(starts[1:], np.diff(starts))
+    strings = [base, base[40:260], bytes(r.choice(b"abc") for _ in range(150)), base[:100] + b"z" + base[100:], b"a" * 90, b"", b"\0\0\1\xff", base]
+    index = suffixes.RunIndex(strings)
     got = index.statistics()
-    for i in range(0, len(text), 7):
-        best = 0
-        for j in range(len(text)):
-            if j != i:
-                k = 0
-                while i + k < ends[i] and j + k < ends[j] and text[i + k] == text[j + k]:
-                    k += 1
-                best = max(best, k)
-        assert got[i] == best, i
-    assert index.runs < len(text) / 2
+    for w, s in enumerate(strings):
+        for i in range(len(s)):
+            best = 0
+            for v, t in enumerate(strings):
+                for j in range(len(t)):
+                    if (v, j) != (w, i):
+                        k = 0
+                        while i + k < len(s) and j + k < len(t) and s[i + k] == t[j + k]:
+                            k += 1
+                        best = max(best, k)
+            assert got[w][i] == best, (w, i)
+    assert len(index.head) < index.n / 2
+    text = b"\0".join([*strings, b""])
+    code, ends = np.frombuffer(text, np.uint8).astype(int) + 1, index.ends
+    code[ends] = 0
+    order = suffixes.suffix_order(code, np.repeat(ends, index.lens + 1) - np.arange(len(code)))
+    full = [[c if c else -len(text) + a for a, c in enumerate(code[i:].tolist(), i)] for i in range(len(code))]
+    assert order.tolist() == sorted(range(len(code)), key=full.__getitem__)
 
 
 def test_language_id(spark, docs, empty):
@@ -331,7 +376,16 @@ def test_segmentation_law():
     """First and second draws follow the law without replacement, and inclusion scores give unbiased totals."""
     p = segmentations.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     lat = segmentations.Lattice(p, ["▁thing"])
-    law = {segmentations._ids(p, lat.ids[list(q)]): w for q, w in lat.all_of(0)}
+    every, stack = [], [(0, (), 1.0)]
+    while stack:
+        at, path, w = stack.pop()
+        for arc in range(lat.head[at], lat.head[at] + lat.many[at]):
+            step = (*path, arc), w * lat.arcs["prob"][arc]
+            if not lat.arcs["size"][arc]:
+                every.append(step)
+            else:
+                stack.append((at + lat.arcs["size"][arc], *step))
+    law = {segmentations._ids(p, lat.ids[list(q)]): w for q, w in every}
     assert abs(sum(law.values()) - 1) < 1e-9
     n = 4000
     out = segmentations.sample_texts(mix(np.arange(n)), ["thing"] * n, p, 2)
@@ -341,6 +395,32 @@ def test_segmentation_law():
         assert abs(sum(o[1][0] == ids for o in out) / n - second) < 0.03
     total = sum(law[s[0]] / s[3] for o in out for s in o) / n
     assert abs(total - 1) < 0.05
+    assert all(abs(s[1] - np.log(law[s[0]])) < 1e-9 for o in out[:50] for s in o)
+
+
+def test_segmentations_are_complete():
+    """A text has k samples wherever it has k segmentations, near-certain ones and units of thousands of signs included."""
+    p = segmentations.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["\u0394" * 2, "a", "ab", "the", "x" * 3000, " ".join(["of"] * 3000), "zq" * 2000 + " the", "\x00 ▁ a"]
+    out = segmentations.sample_texts(mix(np.arange(len(texts))), texts, p, 6)
+    for text, found in zip(texts, out):
+        lat = segmentations.Lattice(p, segmentations.UNIT.findall(p.model.normalize([text])[0]))
+        ways, one = [1] * (len(lat.head) + 1), np.flatnonzero(lat.head >= 0)
+        for at in one[::-1].tolist():
+            arcs = range(lat.head[at], lat.head[at] + lat.many[at])
+            ways[at] = min(100, sum(ways[at + lat.arcs["size"][x]] if lat.arcs["size"][x] else 1 for x in arcs))
+        total = 1
+        for at in lat.start.tolist():
+            total = min(100, total * ways[at])
+        assert len(found) == len({f[0] for f in found}) == min(6, total), (text[:10], len(found), total)
+    # masses that a subtraction would lose
+    lat = segmentations.Lattice(p, ["▁the"])
+    lat.arcs["prob"] = np.where(lat.arcs["upto"] == 2.0, 1.0, 1e-30)
+    at, path = 0, []
+    while not path or lat.arcs["size"][path[-1]]:
+        path.append(int(lat.head[at] + lat.many[at]) - 1)
+        at += int(lat.arcs["size"][path[-1]])
+    assert 0 < lat._left(0, (tuple(path),))[1][0] < 1e-25
 
 
 def test_embeddings(spark):
@@ -396,15 +476,42 @@ def _jaccard_truth(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("part", [400, 5])
-def test_jaccard_join(docs, empty, part, monkeypatch):
-    """Whole clusters in one task, and cut to parts with their ties verified first."""
-    monkeypatch.setattr(jaccard_join, "PART", part)
+@pytest.mark.parametrize("items", [120_000, 500])
+def test_jaccard_join(docs, empty, items, monkeypatch):
+    """Groups in one search, and cut to parts."""
+    monkeypatch.setattr(jaccard_join, "PART_ITEMS", items)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
     assert got == {(i, n, c) for i, (n, c) in _jaccard_truth(plain(docs)).items()}
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("items", [120_000, 400])
+def test_jaccard_join_of_drifting_copies(spark, items, monkeypatch):
+    """Chains of versions, each linked with the next alone, beside groups that share passages without a link."""
+    monkeypatch.setattr(jaccard_join, "PART_ITEMS", items)
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 5000)}"
+    rows, passage = [], [word() for _ in range(40)]
+    for chain in range(4):
+        w = [word() for _ in range(120)]
+        for i in range(25):
+            rows.append((chain * 1000 + r.randint(0, 10**6) * 7 + chain, " ".join(w), None))
+            at = r.randint(0, 110)
+            w[at : at + 6] = [word() for _ in range(6)]
+    rows += [(9_000_000 + i, " ".join(passage + [word() for _ in range(20)]), None) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit(1)).withColumn("s", F.lit("x"))
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(df).collect()}
+    assert got == {(i, n, c) for i, (n, c) in _jaccard_truth(plain(df)).items()}
+
+
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """Rows of one id with different texts: each keeps its size, links of either count for the id."""
+    t = [" ".join(f"{k}x{i}" for i in range(60)) for k in "abc"]
+    rows = [(7, t[0], None), (7, t[1], None), (5, t[0] + " more", None), (3, t[1] + " end", None), (9, t[2], None), (7, None, None)]
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter([(7, 56, 3), (7, 56, 3), (7, 0, 3), (5, 57, 3), (3, 57, 3), (9, 56, 9)])
+
+
 def test_t_occurrence():
     r = random.Random(8)
     sets = []
