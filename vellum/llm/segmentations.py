@@ -82,20 +82,27 @@ def units_of(text: str) -> list[str]:
 
 
 class Kept:
-    """Units met so far with their lattice. Both start afresh when they have grown beyond KEPT_ARCS."""
+    """Units met so far with their lattice. When it has grown beyond KEPT_ARCS, units met once since the last time leave."""
 
     def __init__(self, p: Pieces):
-        self.p, self.known, self.lattice = p, _Numbers(), Lattice(p, [])
+        self.p, self.known, self.lattice, self.hits = p, _Numbers(), Lattice(p, []), np.zeros(0, np.int64)
 
-    def numbers(self, texts: list[str]) -> list[list[int]]:
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The units of each text, by their numbers in the lattice."""
         if len(self.lattice.ids) > KEPT_ARCS:
-            self.known, self.lattice = _Numbers(), Lattice(self.p, [])
+            stay = np.flatnonzero(self.hits > 1)
+            names = list(self.known)
+            self.known = _Numbers(zip([names[i] for i in stay.tolist()], range(len(stay))))
+            self.hits = self.hits[stay] // 2
+            self.lattice.keep(stay)
         had = len(self.known)
-        found = [list(map(self.known.__getitem__, units_of(t))) for t in self.p.model.normalize(texts)] if texts else []
+        found = [np.array(list(map(self.known.__getitem__, units_of(t))), np.int64) for t in self.p.model.normalize(texts)] if texts else []
         fresh = [u[1:] if u[:1] == "\0" else "▁" + u for u in itertools.islice(self.known, had, None)]
         if fresh:
             self.lattice.add(Lattice(self.p, fresh))
+        hits = np.bincount(np.concatenate(found), minlength=len(self.known)) if found else np.zeros(len(self.known), np.int64)
+        hits[:had] += self.hits
+        self.hits = hits
         return found
 
 
@@ -185,7 +192,7 @@ class Lattice:
         self.head[src[heads]], self.many[src[heads]] = heads, many
 
     def add(self, more: Lattice) -> None:
-        """Put the units of another lattice after these; arrays grow by half, so that few of them are copied."""
+        """Put the units of another lattice after these. Arrays have room to grow, so that what is there is seldom copied."""
         more.start = more.start + len(self.head)
         more.head = more.head + np.where(more.head >= 0, len(self.ids), 0)
         for name in ("start", "ids", "arcs", "head", "many"):
@@ -193,11 +200,26 @@ class Lattice:
             room = mine if mine.base is None else mine.base
             n = len(mine) + len(new)
             if len(room) < n:
-                room = np.empty(n + n // 2, mine.dtype)
+                room = np.empty(2 * n, mine.dtype)
                 room[: len(mine)] = mine
             room[len(mine) : n] = new
             setattr(self, name, room[:n])
 
+    def keep(self, units: np.ndarray) -> None:
+        """Leave only the units named, ascending, in the room that is there."""
+        ends = np.append(self.start[1:], len(self.head))
+        lens = (ends - self.start)[units]
+        begin = np.cumsum(lens) - lens
+        at = np.repeat(self.start[units] - begin, lens) + np.arange(int(lens.sum()))
+        many = self.many[at].astype(np.int64)
+        head = np.cumsum(many) - many
+        arcs = np.repeat(self.head[at] - head, many) + np.arange(int(many.sum()))
+        for name, new in (("start", begin), ("ids", self.ids[arcs]), ("arcs", self.arcs[arcs]), ("head", head), ("many", many)):
+            mine = getattr(self, name)
+            room = mine if mine.base is None else mine.base
+            room[: len(new)] = new
+            setattr(self, name, room[: len(new)])
+
     def draw(self, unit: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation for each unit: number of arcs, arcs end to end, log probability. uniform(step, rows) gives numbers in [0, 1)."""
         n = len(unit)
@@ -389,7 +411,7 @@ def sample_texts(keys: np.ndarray, texts: list[str], p: Pieces, k: int) -> list[
     lat = kept(p).lattice
     sizes = np.array([len(x) for x in per_doc], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    unit = np.array([u for x in per_doc for u in x], np.int64)
+    unit = np.concatenate(per_doc) if per_doc else np.empty(0, np.int64)
     index = np.arange(len(unit)) - np.repeat(bounds[:-1], sizes)
     key = np.repeat(keys, sizes)
     found: list[list] = [[] for _ in texts]

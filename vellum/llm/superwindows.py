@@ -22,6 +22,8 @@ from .common import _BYTE_CODE, mix, powers, runs_of_rows, text_bytes, window_mi
 OCCURRENCE = "first long, anchor long, seg long, row long, start int, n_windows int, lead int"
 SEG = ["anchor", "seg"]
 _BASE = 0xA0761D6478BD642F
+#: Row keys that are broadcast at most (32 MB).
+BROADCAST_ROWS = 4_000_000
 
 
 def as_words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,9 +112,11 @@ def occurrences(docs: DataFrame, units: Callable, window: int, gram: int, double
 
 
 def at_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs (row, text) with the list `wanted` of the rows of wanted that name them; documents without are left out.
-
-    A list is as long as its document has super-windows. The side of docs is the same plan in every call, so its exchange is used again."""
+    """docs (row, text) with the list `wanted` of the rows of wanted that name them; documents without are left out, before their texts
+    move where they are told by few enough keys to broadcast. A list is as long as its document has super-windows."""
+    names = wanted.select("row").distinct()
+    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(names), "row", "left_semi")
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "row"])).alias("wanted"))
     return docs.select("row", "text").hint("merge").join(lists, "row")
 
