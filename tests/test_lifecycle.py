@@ -48,6 +48,10 @@ def test_resolve_pairs(spark):
     assert got["a"].view_count == 12 and got["b"].duplicate_of_id == "a" and got["b"].archived_at is not None
     assert {(r.material_id, r.category_id) for r in out["filings"].collect()} == {("a", "t1"), ("a", "t2")}
     assert [r.id for r in out["refused"].collect()] == ["p3"]
+    log = {r.action: r for r in out["audit"].collect()}
+    assert (log["duplicate.merge"].entity_type, log["duplicate.merge"].entity_id) == ("duplicate", "p1") and json.loads(log["duplicate.merge"].before)["kept"] == "Title a"
+    assert json.loads(log["duplicate.merge"].after) == {"keptId": "a", "archivedId": "b", "filingsMoved": 1}
+    assert log["material.archive"].entity_id == "b" and json.loads(log["material.archive"].after)["reason"] == "A duplicate of “Title a”, which was kept instead."
     assert history.validate({"filings": out["filings"], "materials": out["materials"]}).count() == 0
 
 
@@ -79,6 +83,10 @@ def test_sheet_and_tables(spark, tmp_path):
     (tmp_path / "s.csv").write_text('junk,,\n"SN","Title","Author","Drive Link (Ctrl + Click)","Topics/Tags"\n1,"A ""b""\nc",Me,https://d.example/file/d/ID_1/view,"Hope; TBD"\n2,,x,https://y,\n3,No link,x,none,\n4,D,,https://x?id=Q,Love\n')
     got = tables.parse_sheet(tables.read_sheet(spark, str(tmp_path / "s.csv"))).orderBy("row").collect()
     assert [(r.row, r.title, r.file_id, r.topics) for r in got] == [(0, 'A "b"\nc', "ID_1", ["Hope"]), (1, "D", "Q", ["Love"])]
+    wide = ",".join(f"c{i}" for i in range(60))
+    (tmp_path / "w.csv").write_text(f"Name,{wide},Title,Link\nfirst,{wide},second,https://x?id=Q\n")
+    assert [r.title for r in tables.read_sheet(spark, str(tmp_path / "w.csv")).collect()] == ["first"]  # the first column that is a title, and all columns
+    assert tables.map_columns(["SN", "Title", "Name", "Link"]) == {"title": 1, "url": 3}
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int")
     new = spark.createDataFrame([(2, "B", 9), (3, "C", 3)], "k int, v string, w int")
     rows = lambda df: sorted(tuple(r) for r in df.collect())
@@ -117,4 +125,8 @@ def test_activity_stream(spark, tmp_path):
     src.repartition(1).write.parquet(str(tmp_path / "e"))
     incremental.activity_stream(spark, str(tmp_path / "e"), src.schema, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     batch = {tuple(r) for r in incremental.activity_windows(src).collect()}
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()} <= batch
+    top = src.agg(F.max("ts")).first()[0]
+    import datetime as d
+
+    done = {w for w in batch if w[0] + d.timedelta(hours=2) <= top}  # complete windows, an hour behind the newest row
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == done and 0 < len(done) < len(batch)

@@ -56,6 +56,15 @@ def shingles(c: Column, k: int = 3) -> Column:
     return let(words(c), lambda w: shingles_of(w, k))
 
 
+def shingle_ids(c: Column, k: int = 3) -> Column:
+    """Hashes of the distinct shingles of a text: what shingles gives, a 64-bit number each, without building the runs."""
+    def ids(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(runs))
+
+    return let(words(c), ids)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats: both empty 1, one empty 0."""
     both = F.size(F.array_intersect(a, b))
@@ -189,8 +198,10 @@ def title_is_usable(c: Column) -> Column:
 
 # ---- recognised text -------------------------------------------------------------------------------------------------------
 
-# Words whose hyphen stays at a line's end, thresholds and notes of the quality score.
-KEEPS_HYPHEN = ("self", "anti", "cross", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand")
+# Prefixes and number words whose hyphen stays at a line's end.
+HYPHEN_PREFIXES = ("self", "anti", "cross")
+HYPHEN_NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand")
+# Thresholds and notes of the quality score.
 USABLE = 0.55
 NOTE_EMPTY = "No text was read from this page."
 NOTE_LITTLE = "Very little text was read — the page may be an image or a cover."
@@ -209,7 +220,7 @@ def dehyphenate(c: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
         stem = F.substr(last, F.lit(1), F.length(last) - 1)
         w = last_word(stem)
-        stays = F.lower(w).isin(*KEEPS_HYPHEN) | w.rlike("[/:]") | w.rlike(r"(?i)\.[a-z]{2,}$") | w.contains("-") | w.rlike(r"\d")
+        stays = F.lower(w).isin(*HYPHEN_PREFIXES, *HYPHEN_NUMBERS) | w.rlike("[/:]") | w.rlike(r"(?i)\.[a-z]{2,}$") | w.contains("-") | w.rlike(r"\d")
         joined = F.concat(stem, F.when(stays, "-").otherwise(""), line)
         return F.when((F.size(done) > 0) & F.right(last, F.lit(2)).rlike(r"^\w[-–]$") & line.rlike("^[a-z]"), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
 
@@ -320,20 +331,34 @@ def is_link(c: Column) -> Column:
 
 
 def _ipv4(host: Column) -> Column:
-    """The address as one number, in any of the spellings that a browser takes; null if it is none."""
-    parts = F.split(host, r"\.")
-    dotted = host.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-    octet = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("long")
-    value = octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
-    in_range = F.forall(parts, lambda p: p.try_cast("long") <= 255)
-    hexed = F.conv(F.substr(host, F.lit(3)), 16, 10).try_cast("decimal(30,0)")
-    octal = F.conv(host, 8, 10).try_cast("decimal(30,0)")
-    number = F.when(host.rlike("^0[xX][0-9a-fA-F]+$"), hexed).when(host.rlike("^0[0-7]+$"), octal).when(host.rlike(r"^\d+$"), host.try_cast("decimal(30,0)"))
-    return F.when(dotted, F.when(in_range, value)).otherwise(F.when(number <= 0xFFFFFFFF, number.cast("long")))
+    """The address as one number, in any of the spellings that a browser takes (one to four parts, each decimal, octal after a 0 or hexadecimal
+    after 0x; the last part fills what is left); null if it is none."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    spelt = host.rlike(r"^(0[xX][0-9a-fA-F]*|[0-9]+)(\.(0[xX][0-9a-fA-F]*|[0-9]+)){0,3}\.?$")
+
+    def number(x: Column) -> Column:
+        digits = F.when(x.rlike("^0[xX]"), F.conv(F.concat(F.lit("0"), F.substr(x, F.lit(3))), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).when(x.rlike("^0[0-9]+$"), None).otherwise(x)
+        return digits.try_cast("decimal(30,0)")
+
+    n = F.transform(parts, number)
+    low = F.element_at(n, -1)
+    room = F.element_at(F.array(*(F.lit(x).cast("decimal(30,0)") for x in (1 << 32, 1 << 24, 1 << 16, 1 << 8))), F.least(F.size(parts), F.lit(4)))
+    heads = F.slice(n, 1, F.size(parts) - 1)
+    high = F.aggregate(F.transform(heads, lambda x, i: x * F.element_at(F.array(F.lit(1 << 24), F.lit(1 << 16), F.lit(1 << 8)), i + 1)), F.lit(0).cast("decimal(38,0)"), lambda acc, x: (acc + x).cast("decimal(38,0)"))
+    fits = F.forall(n, lambda x: x.isNotNull()) & F.forall(heads, lambda x: x <= 255) & (low < room)
+    return F.when(spelt, F.when(fits, (high + low).cast("long")))
+
+
+#: Signs of host names in their full width, and ideographic full stops.
+FULL_WIDTH = "".join(chr(0xFEE0 + x) for x in range(0x21, 0x7F)) + "\u3002\uff61"
+PLAIN_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + ".."
 
 
 def _private_ipv4(host: Column) -> Column:
-    n = _ipv4(host)
+    return _private_number(_ipv4(host))
+
+
+def _private_number(n: Column) -> Column:
     a, b = F.shiftright(n, 24), F.shiftright(n, 16) % 256
     return F.coalesce(
         a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)) | (a >= 224),
@@ -344,24 +369,29 @@ def _private_ipv4(host: Column) -> Column:
 def is_private_host(c: Column) -> Column:
     host = F.regexp_replace(F.lower(c), r"\.$", "")
     v6 = F.regexp_extract(host, r"^\[(.*)\]$", 1)
-    mapped = F.regexp_extract(v6, "^::ffff:(.+)$", 1)
-    mapped_private = F.when(mapped == "", F.lit(False)).otherwise(mapped.rlike(LOCAL_NAMES) | _private_ipv4(mapped))
-    private_v6 = v6.isin("::1", "::", "0:0:0:0:0:0:0:1") | v6.rlike("^f[cd]|^fe[89ab]") | mapped_private
+    mapped = F.regexp_extract(v6, "^(?:0*:)*:?ffff:([^:]*[.][^:]*)$", 1)
+    halves = [F.conv(F.regexp_extract(v6, "^(?:0*:)*:?ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).try_cast("long") for k in (1, 2)]
+    mapped_private = F.when(mapped != "", mapped.rlike(LOCAL_NAMES) | _private_ipv4(mapped)).when(halves[0].isNotNull(), _private_number(halves[0] * 65536 + halves[1])).otherwise(False)
+    private_v6 = v6.rlike("^[0:]*:[0:]*1?$") | v6.rlike("^f[cd]|^fe[89ab]") | mapped_private
     return F.when(host == "", True).when(host.rlike(LOCAL_NAMES), True).when(host.startswith("[") & host.endswith("]"), private_v6).otherwise(_private_ipv4(host))
 
 
 def vet_url(c: Column) -> Column:
-    """struct(ok, reason): whether a pasted link may be fetched."""
+    """struct(ok, reason): whether a pasted link may be fetched. Hosts are read as a browser reads them: full-width signs are folded, numbers may be
+    short, octal or hexadecimal."""
     t = F.trim(c)
     scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.-]*:/*([^/?#\\]*)", 1)
     host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "")
+    host = F.translate(host, FULL_WIDTH, PLAIN_WIDTH)
+    number = host.rlike(r"(^|\.)(0[xX][0-9a-fA-F]*|[0-9]+)\.?$")
     reason = (
         F.when(t == "", REASONS["empty"])
         .when(scheme == "", REASONS["invalid"])
         .when(~scheme.isin("http", "https"), REASONS["scheme"])
         .when((host == "") | host.rlike(r"[\s<>^|%]"), REASONS["invalid"])
         .when(authority.contains("@"), REASONS["login"])
+        .when(number & _ipv4(host).isNull(), REASONS["invalid"])
         .when(is_private_host(host), REASONS["private"])
     )
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))

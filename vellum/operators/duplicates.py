@@ -56,44 +56,66 @@ def verdict(title: Column, shingles: Column, containment: Column, embedding: Col
     return F.element_at(F.transform(F.array(signals), judge), 1)
 
 
-def prefix_pairs(sets: DataFrame, percent: int, id: str = "id", members: str = "members") -> DataFrame:
-    """(a, b), a < b: every pair of sets whose Jaccard may reach percent / 100, each once.
-
-    Sets that do share one of their rarest n - ceil(percent n / 100) + 1 members, and neither is smaller than that share of the other."""
-    each = sets.select(F.col(id).alias("id"), F.explode(members).alias("m"))
+def _within(classes: DataFrame, key: str, new: DataFrame | None) -> DataFrame:
+    """(a, b), a < b: pairs of rows (id, key) with one key; with new, those of a new row and any other."""
+    x = classes.where(F.col(key).isNotNull()).select(F.col("id").alias("x"), key)
+    y = x.select(F.col("x").alias("y"), key)
+    if new is not None:
+        y = y.join(new.select(F.col("id").alias("y")), "y", "left_semi")
+    met = x.join(y, key).where("x < y" if new is None else "x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return met if new is None else met.distinct()
+
+
+def prefix_pairs(sets: DataFrame, percent: int, id: str = "id", members: str = "members", new: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: every pair of sets whose Jaccard may reach percent / 100, each once; with new (id), those with a new side.
+
+    Equal sets are one class. Classes that do share one of their rarest n - ceil(percent n / 100) + 1 members, and neither is smaller than
+    that share of the other. So copies meet once as classes, and are told apart only in the rows that come out."""
+    whole = sets.select(F.col(id).alias("id"), F.array_sort(members).alias("s")).withColumn("k", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(1), "s")))
+    member = whole.select("id", "k")
+    kind = settle(whole.groupBy("k").agg(F.min_by("s", "id").alias("s"), F.min("id").alias("rep"), F.count("*").alias("times")))
+    each = kind.select(F.col("rep").alias("id"), F.explode("s").alias("m"))
     df = each.groupBy("m").agg(F.count("*").alias("df")).where("df > 1")
-    kept = each.join(df, "m", "left")
-    ranked = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "m"))).alias("s"))
+    ranked = each.join(df, "m", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "m"))).alias("s"))
     ranked = ranked.withColumn("n", F.size("s"))
     rare = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int"))).alias("p")).where("p.df > 1").select("id", "n", F.col("p.m").alias("m"))
-    x, y = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "m"), rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "m")
-    return x.join(y, "m").where(f"a < b and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b").distinct()
+    x, y = rare.select(F.col("id").alias("x"), F.col("n").alias("nx"), "m"), rare.select(F.col("id").alias("y"), F.col("n").alias("ny"), "m")
+    named = member.join(kind.select("k", "rep"), "k").select("id", "rep")
+    if new is not None:
+        fresh = named.join(new, "id", "left_semi").select("rep").distinct()
+        y = y.join(fresh.select(F.col("rep").alias("y")), "y", "left_semi")
+    met = x.join(y, "m").where(f"{'x < y' if new is None else 'x <> y'} and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    across = met.join(named.select(F.col("rep").alias("x"), F.col("id").alias("p")), "x").join(named.select(F.col("rep").alias("y"), F.col("id").alias("q")), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    if new is not None:
+        either = [across.join(new.select(F.col("id").alias(c)), c, "left_semi") for c in ("a", "b")]
+        across = either[0].select("a", "b").unionByName(either[1].select("a", "b")).distinct()
+    several = kind.where("times > 1").select("rep")
+    return across.unionByName(_within(named.join(several, "rep"), "rep", new))
 
 
 def candidate_pairs(docs: DataFrame, cosines: DataFrame | None = None, new_ids: DataFrame | None = None) -> DataFrame:
     """(a, b): every pair that can be more than distinct, out of docs (id, title, sha256, md5).
 
     Such a pair shares a checksum, or has titles with overlap of GATE or more, or two empty titles, or cosine of EMBEDDING or
-    more (cosines: a, b, cosine). Where none holds its score is below FLAG whatever the texts, so no pair is lost."""
+    more (cosines: a, b, cosine). Where none holds its score is below FLAG whatever the texts, so no pair is lost. new_ids: only pairs with one of
+    these are looked for, so that new rows meet the others, and these not each other."""
+    new = None if new_ids is None else new_ids.select(F.col(new_ids.columns[0]).alias("id")).distinct()
     t = docs.select("id", "sha256", "md5", T.normalise_title(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("members"))
-    out = prefix_pairs(t.where("norm <> ''"), int(GATE * 100))
+    out = prefix_pairs(t.where("norm <> ''"), int(GATE * 100), new=new)
     for key in ("sha256", "md5"):
-        k = t.where(F.col(key).isNotNull()).select("id", key)
-        out = out.unionByName(k.select(F.col("id").alias("a"), key).join(k.select(F.col("id").alias("b"), key), key).where("a < b").select("a", "b"))
-    blank = t.where("norm = ''").select("id", F.lit(1).alias("k"))
-    out = out.unionByName(blank.select(F.col("id").alias("a"), "k").join(blank.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b"))
+        out = out.unionByName(_within(t.select("id", key), key, new))
+    out = out.unionByName(_within(t.where("norm = ''").select("id", F.lit(1).alias("k")), "k", new))
     if cosines is not None:
-        out = out.unionByName(cosines.where(F.col("cosine") >= EMBEDDING).select("a", "b"))
-    out = out.distinct()
-    if new_ids is not None:
-        new = new_ids.select(F.col(new_ids.columns[0]).alias("n")).distinct()
-        out = out.join(new, F.col("a") == F.col("n"), "left_semi").unionByName(out.join(new, F.col("b") == F.col("n"), "left_semi")).distinct()
-    return out
+        close = cosines.where(F.col("cosine") >= EMBEDDING).select("a", "b")
+        if new is not None:
+            close = close.join(new.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b").unionByName(close.join(new.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
+        out = out.unionByName(close)
+    return out.distinct()
 
 
 def text_signals(pairs: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
     """Add shingles (Jaccard) and containment of both texts to pairs (a, b); texts: (id, text)."""
-    sets = texts.select("id", F.transform(T.shingles(F.col("text"), k), lambda s: F.xxhash64(s)).alias("s"))
+    sets = texts.select("id", T.shingle_ids(F.col("text"), k).alias("s"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.withColumn("shingles", T.jaccard(F.col("sa"), F.col("sb"))).withColumn("containment", T.containment_of(F.col("sa"), F.col("sb"))).drop("sa", "sb")
 
@@ -171,7 +193,7 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def corpus_near_duplicates(docs: DataFrame, least: float = 0.7, k: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, jaccard, containment): pairs of texts with shingle Jaccard of at least `least`, exactly."""
-    sets = settle(docs.select(F.col(id).alias("id"), F.transform(T.shingles(F.col(text), k), lambda s: F.xxhash64(s)).alias("members")).where(F.size("members") > 0))
+    sets = settle(docs.select(F.col(id).alias("id"), T.shingle_ids(F.col(text), k).alias("members")).where(F.size("members") > 0))
     met = prefix_pairs(sets, int(least * 100))
     both = met.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
     out = both.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"), T.containment_of(F.col("sa"), F.col("sb")).alias("containment"))
@@ -196,7 +218,7 @@ def containment_pairs(docs: DataFrame, least: float = 0.9, k: int = 3, id: str =
 
     Of the smaller set's rarest n - ceil(least n) + 1 shingles one is in the larger, so only those are looked up among all shingles that
     occur twice or more."""
-    sets = settle(docs.select(F.col(id).alias("id"), F.transform(T.shingles(F.col(text), k), lambda s: F.xxhash64(s)).alias("members")).where(F.size("members") > 0))
+    sets = settle(docs.select(F.col(id).alias("id"), T.shingle_ids(F.col(text), k).alias("members")).where(F.size("members") > 0))
     each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("m"))
     df = each.groupBy("m").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(df, "m", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "m"))).alias("s"))

@@ -51,17 +51,58 @@ def changed_name(before: Column, after: Column) -> Column:
     return F.coalesce(*[string_field(after, k) for k in ("topic", "added", "removed", "mergedInto", "name", "email")], *[string_field(before, k) for k in ("topic", "had", "name", "email")])
 
 
-def describe_change(audit: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Add phrase: from the table (action, phrase), else the action's words. Old filing entries tell their direction by their payload."""
-    fallback = F.regexp_replace("action", "[._]", " ")
-    filing = F.when((F.col("action") == "material.categorise") & string_field(F.col("after"), "removed").isNotNull(), "removed from a topic")
-    return audit.join(phrases, "action", "left").withColumn("phrase", F.coalesce(filing, "phrase", fallback))
+# How each action reads.
+PHRASES = {
+    "category.create": "created the topic",
+    "category.rename": "renamed a topic",
+    "category.describe": "described a topic",
+    "category.merge": "merged a topic into another",
+    "category.unmerge": "reversed a topic merge",
+    "category.delete": "deleted a topic",
+    "material.create": "added",
+    "material.publish": "published",
+    "material.archive": "archived",
+    "material.restore": "restored",
+    "material.update": "edited",
+    "material.categorise": "filed",
+    "material.uncategorise": "unfiled",
+    "material.text_visibility": "changed text visibility for",
+    "material.destroy": "destroyed a material",
+    "duplicate.dismiss": "marked a pair as not duplicates",
+    "duplicate.merge": "resolved a duplicate pair",
+    "invitation.create": "invited someone",
+    "invitation.revoke": "withdrew an invitation",
+    "invitation.accept": "accepted an invitation",
+    "user.role_change": "changed someone's role",
+    "user.disable": "suspended an account",
+    "user.enable": "restored an account",
+    "user.delete": "deleted an account",
+    "sync.run": "ran a Drive sync",
+    "sync.clear": "cleared a sync that never finished",
+}
+# What stands before the name, where the payload has one.
+LEADS = {"material.uncategorise": "Removed from ", "category.create": "Created the topic ", "category.merge": "Merged into ", "category.unmerge": "Reversed the merge into "}
+
+
+def describe_change(audit: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """Add phrase (the action's own, else its words) and sentence, which names what was changed where before or after tell it. Old filing entries
+    tell by their payload whether they removed. before is optional."""
+    before = F.col("before") if "before" in audit.columns else F.lit(None).cast("string")
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("action")]
+    phrase = F.coalesce(table(phrases), F.regexp_replace("action", "[._]", " "))
+    capital = F.concat(F.upper(F.substring(phrase, 1, 1)), F.expr("substring(phrase, 2)"))
+    name = changed_name(before, F.col("after"))
+    removed = F.schema_of_variant(F.variant_get(F.try_parse_json("after"), "$.removed", "variant")).eqNullSafe("STRING") | F.schema_of_variant(F.variant_get(F.try_parse_json(before), "$.had", "variant")).eqNullSafe("STRING")
+    filed = F.when(F.col("action") == "material.categorise", F.when(removed, "Removed from ").otherwise("Added to "))
+    lead = F.coalesce(filed, table(LEADS), F.concat(capital, F.lit(" ")))
+    return audit.withColumn("phrase", phrase).withColumn("sentence", F.when(name.isNull(), capital).otherwise(F.concat(lead, name)))
 
 
 def sync_history(runs: DataFrame, accounts: DataFrame, n: int = 10) -> DataFrame:
     """Newest runs; a detail that is no JSON array is an empty one."""
     named = runs.join(accounts.select(F.col("id").alias("started_by"), F.col("name").alias("starter")), "started_by", "left")
-    detail = F.coalesce(F.from_json("detail", "array<struct<name:string,result:string,why:string>>"), F.array())
+    is_list = F.coalesce(F.ltrim("detail").startswith("["), F.lit(False))
+    detail = F.coalesce(F.when(is_list, F.from_json("detail", "array<struct<name:string,result:string,why:string>>")), F.array())
     return named.withColumn("detail", detail).orderBy(F.desc("started_at"), "id").limit(n)
 
 
@@ -85,7 +126,7 @@ def derive_audit(before: DataFrame, after: DataFrame, key: str, action: str = "c
 
 def validate(tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, id): rows that break an integrity rule of the tables given (materials, pages, filings, pairs, invitations)."""
-    out = []
+    out: list[DataFrame] = []
     twice = lambda df, by, rule: df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.concat_ws("|", *[F.col(c).cast("string") for c in by]).alias("id"))
     if (m := tables.get("materials")) is not None:
         alive = m.where("archived_at is null")

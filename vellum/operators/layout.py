@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -138,21 +139,33 @@ def chunk_material(pages: DataFrame, most: int = 350, overlap: int = 40, least:
 
 
 def _by_run():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("material_id").orderBy("run", "part")
+    return W.partitionBy("material_id").orderBy("run", "part")
 
 
 def assign_slugs(titles: DataFrame, taken: DataFrame) -> DataFrame:
     """(arrival, title, slug) for titles (arrival, title): the first free of base, base-2, base-3, ... in order of arrival; taken: (slug).
 
-    What can meet shares a root, the base without trailing numbers, so each root is numbered by itself."""
+    Each base is numbered by a window, over the numbers that taken slugs leave free. Only where a number meets another base of the batch (a title
+    that ends in one) is its root, the base without trailing numbers, numbered row by row."""
     root = lambda c: F.regexp_replace(c, r"(-\d+)+$", "")
-    new = titles.select("arrival", "title", T.slugify(F.col("title")).alias("base"), F.lit(None).cast("string").alias("used"))
+    new = titles.select("arrival", "title", T.slugify(F.col("title")).alias("base")).withColumn("root", root(F.col("base")))
     kind = dict(titles.dtypes)["arrival"]
-    old = taken.select(F.lit(None).cast(kind).alias("arrival"), F.lit(None).cast("string").alias("title"), F.col("slug").alias("base"), F.col("slug").alias("used"))
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+    mixed = new.groupBy("root").agg(F.min("base").alias("x"), F.max("base").alias("y")).where("x <> y").select("root")
+    old = taken.select("slug").distinct().withColumn("root", root(F.col("slug")))
+
+    plain = new.join(mixed, "root", "left_anti")
+    bases = plain.select("base", "root").distinct()
+    # numbers of a base that are taken: 1 is the base itself
+    tail = F.regexp_extract(F.expr("substring(slug, length(base) + 1)"), r"^-([1-9]\d{0,8})$", 1)
+    number = F.when(F.col("slug") == F.col("base"), 1).otherwise(F.nullif(tail, F.lit("")).cast("int"))
+    held = bases.join(old, "root").withColumn("n", number).where("n is not null and startswith(slug, base) and (n > 1 or slug = base)")
+    lists = held.groupBy("base").agg(F.sort_array(F.collect_set("n")).alias("held"))
+    place = F.row_number().over(W.partitionBy("base").orderBy("arrival"))
+    ranked = plain.withColumn("k", place).join(lists, "base", "left")
+    n = F.aggregate(F.coalesce("held", F.array().cast("array<int>")), F.col("k"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
+    simple = ranked.withColumn("n", n).select("arrival", "title", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+
+    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         used = set(pdf.used.dropna())
         fresh = pdf[pdf.used.isna()].sort_values("arrival")
         out, upto = [], {}
@@ -165,6 +178,8 @@ def assign_slugs(titles: DataFrame, taken: DataFrame) -> DataFrame:
             used.add(slug)
             upto[base] = n
             out.append(slug)
-        return pd.DataFrame({"arrival": fresh.arrival.astype("int64") if "int" in kind else fresh.arrival, "title": fresh.title, "slug": out})
+        return pd.DataFrame({"arrival": list(fresh.arrival), "title": list(fresh.title), "slug": out})
 
-    return new.unionByName(old).withColumn("root", root(F.col("base"))).groupBy("root").applyInPandas(number, f"arrival {kind}, title string, slug string")
+    rest = new.join(mixed, "root").select("root", "arrival", "title", "base", F.lit(None).cast("string").alias("used"))
+    rest = rest.unionByName(old.join(mixed, "root").select("root", F.lit(None).cast(kind).alias("arrival"), F.lit(None).cast("string").alias("title"), F.col("slug").alias("base"), F.col("slug").alias("used")))
+    return simple.unionByName(rest.groupBy("root").applyInPandas(one_by_one, f"arrival {kind}, title string, slug string"))

@@ -15,9 +15,9 @@ from vellum.operators.layout import assign_slugs
 from vellum.sources.tables import object_keys
 
 
-def _audit(df: DataFrame, action: str, now: Column, after: Column | None = None, before: Column | None = None) -> DataFrame:
+def _audit(df: DataFrame, action: str, now: Column, after: Column | None = None, before: Column | None = None, kind: str = "material") -> DataFrame:
     text = lambda c: F.lit(None).cast("string") if c is None else F.to_json(c)
-    return df.select(F.lit(action).alias("action"), F.lit("material").alias("entity_type"), F.col("id").alias("entity_id"), text(before).alias("before"), text(after).alias("after"), now.alias("created_at"))
+    return df.select(F.lit(action).alias("action"), F.lit(kind).alias("entity_type"), F.col("id").alias("entity_id"), text(before).alias("before"), text(after).alias("after"), now.alias("created_at"))
 
 
 def _decide(materials: DataFrame, requests: DataFrame, reason: Column, carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -109,15 +109,15 @@ def dismiss_pairs(pairs: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFr
 def resolve_pairs(pairs: DataFrame, materials: DataFrame, filings: DataFrame, decisions: DataFrame, now: Column) -> dict[str, DataFrame]:
     """Apply decisions (id, keep): the other side is archived onto the kept one.
 
-    Refused: pairs decided before, keep outside the pair, an archived side, and a decision whose side another decision of the batch
+    Refused: pairs decided before, keep outside the pair, a side that is no more, a side to be archived that is so already, and a decision whose side another decision of the batch
     archives or keeps in a chain; it can be made in the next batch. Of decisions that archive the same material the one with the smallest pair id holds.
     """
     p = pairs.join(decisions.select("id", "keep").dropDuplicates(["id"]), "id")
     p = p.withColumn("lose", F.when(F.col("keep") == F.col("material_a_id"), F.col("material_b_id")).when(F.col("keep") == F.col("material_b_id"), F.col("material_a_id")))
-    among = lambda df, side, ids: df.join(ids.select(F.col("id").alias(side)).distinct(), side, "left_semi").select("id")
-    either = lambda df, ids: among(df, "material_a_id", ids).union(among(df, "material_b_id", ids)).distinct()
-    dead = either(p, materials.where("archived_at is not null"))
-    fine = p.where("status = 'pending' and lose is not null").join(dead, "id", "left_anti")
+    cards = materials.select("id", "title", "archived_at")
+    fine = p.where("status = 'pending' and lose is not null")
+    fine = fine.join(cards.select(F.col("id").alias("keep"), F.col("title").alias("_keep_title")), "keep")
+    fine = fine.join(cards.where("archived_at is null").select(F.col("id").alias("lose"), F.col("title").alias("_lose_title")), "lose")
     once = fine.withColumn("_n", F.row_number().over(W.partitionBy("lose").orderBy("id"))).where("_n = 1").drop("_n")
     ok = once.join(once.select(F.col("lose").alias("keep")).distinct(), "keep", "left_anti")
     refused = decisions.select("id").distinct().join(ok.select("id"), "id", "left_anti").withColumn("reason", F.lit("decided, not in the pair, archived, or part of a chain"))
@@ -142,11 +142,18 @@ def resolve_pairs(pairs: DataFrame, materials: DataFrame, filings: DataFrame, de
     kinds = dict(materials.dtypes)
     new_materials = m.select(*[change[c].cast(kinds[c]).alias(c) if c in change else F.col(c) for c in materials.columns])
 
-    near = either(pairs.where("status = 'pending'"), losers).withColumn("_near", F.lit(True))
+    gone = losers.select(F.col("id").alias("_gone"))
+    open_ = pairs.where("status = 'pending'")
+    near = open_.join(gone, F.col("material_a_id") == F.col("_gone"), "left_semi").union(open_.join(gone, F.col("material_b_id") == F.col("_gone"), "left_semi")).select("id").distinct().withColumn("_near", F.lit(True))
     q = pairs.join(ok.select("id", F.lit(True).alias("_merged")), "id", "left").join(near, "id", "left")
     status = F.when(F.col("_merged"), "merged").when(F.col("_near"), "dismissed").otherwise(F.col("status"))
     new_pairs = q.withColumn("decided_at", F.when(status != F.col("status"), now).otherwise(F.col("decided_at"))).withColumn("status", status).select(*pairs.columns)
-    audit = _audit(losers, "duplicate.merge", now, F.struct(F.col("id").alias("archivedId")), F.struct(F.col("_kept").alias("kept"))).unionByName(_audit(losers, "material.archive", now, F.struct(F.lit("").alias("reason"))))
+    moved = filings.join(move, "material_id").join(filings.select(F.col("material_id").alias("to"), "category_id"), ["to", "category_id"], "left_anti").groupBy(F.col("material_id").alias("lose")).agg(F.count("*").alias("_moved"))
+    told = ok.join(moved, "lose", "left")
+    merge = told.select("id", F.struct(F.col("_keep_title").alias("kept"), F.col("_lose_title").alias("archived"), (F.col("score") if "score" in pairs.columns else F.lit(None).cast("double")).alias("score")).alias("b"), F.struct(F.col("keep").alias("keptId"), F.col("lose").alias("archivedId"), F.coalesce("_moved", F.lit(0)).alias("filingsMoved")).alias("a"))
+    reason = F.concat(F.lit("A duplicate of “"), "_keep_title", F.lit("”, which was kept instead."))
+    away = told.select(F.col("lose").alias("id"), F.struct(F.lit("archived").alias("status"), F.col("_lose_title").alias("name"), reason.alias("reason")).alias("a"))
+    audit = _audit(merge, "duplicate.merge", now, F.col("a"), F.col("b"), "duplicate").unionByName(_audit(away, "material.archive", now, F.col("a")))
     return {"pairs": new_pairs, "materials": new_materials, "filings": new_filings, "refused": refused, "audit": audit}
 
 

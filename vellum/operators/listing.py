@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.text import collapse_ws
+
 POOR = 0.55
 
 # ---- filters -------------------------------------------------------------------------------------------------------------
@@ -81,7 +83,10 @@ def needs_embedding(materials: DataFrame, pages: DataFrame, chunks: DataFrame, f
     return out.orderBy("created_at", "id")
 
 
-def needs_reading(pages: DataFrame, mode: str = "new", preferred: str = "vision", image: str = "r2_key_webp") -> DataFrame:
+def needs_reading(pages: DataFrame, mode: str = "new", preferred: str = "vision", image: str = "r2_key_webp", empty_only: bool = False) -> DataFrame:
+    """Pages with an image that are to be read. empty_only: of new ones only those without text, as a server that reads on demand wants them."""
+    if empty_only and mode == "new":
+        pages = pages.where("coalesce(trim(text), '') = ''")
     wanted = {"new": F.col("ocr_engine") == "none", "redo": F.col("ocr_engine") != preferred, "force": F.col("ocr_engine") == preferred}[mode]
     return pages.where(wanted & F.col(image).isNotNull())
 
@@ -160,22 +165,21 @@ def lookup_known(manifest: DataFrame, materials: DataFrame, key: str = "file_id"
 def contains_join(terms: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
     """(query_id, material_id, page_number): pages whose text, white space collapsed, holds the term.
 
-    A term is looked up by its rarest trigram and then verified, so rows meet on a key; terms under 3 signs, which have none, meet
-    every page, and are to be few."""
-    clean = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    # three passes at three offsets: substrings by position would each count from the start
-    grams = lambda c: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.substr(c, F.lit(k)), F.lit("(?s)(.{3})"), F.lit(1)) for k in (1, 2, 3)])))
-    t = terms.select("query_id", clean(F.col("term")).alias("term")).where("term <> ''")
+    A term is looked up by its rarest gram, of three signs or, in shorter terms, of all its signs, and then verified, so rows meet on a key."""
+    clean = lambda c: F.lower(F.trim(collapse_ws(c)))
+    # as many passes as a gram has signs: substrings by position would each count from the start
+    of = lambda c, n: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.substr(c, F.lit(k + 1)), F.lit(f"(?s)(.{{{n}}})"), F.lit(1)) for k in range(n)])))
+    t = terms.select("query_id", clean(F.col("term")).alias("term")).where("term <> ''").withColumn("n", F.least(F.lit(3), F.length("term")))
     p = pages.select("material_id", "page_number", clean(F.col("text")).alias("body"))
-    long = t.where(F.length("term") >= 3)
-    wanted = long.select("query_id", "term", F.explode(grams(F.col("term"))).alias("gram"))
-    # only trigrams that some term holds leave the pages' side
-    post = p.where(F.length("body") >= 3).select("material_id", "page_number", F.explode(grams(F.col("body"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    wanted = t.select("query_id", "term", F.explode(F.when(F.col("n") == 3, of(F.col("term"), 3)).otherwise(F.array("term"))).alias("gram"))
+    sizes = [r["n"] for r in t.select("n").distinct().collect()]  # three at most
+    grams = F.flatten(F.array(*[of(F.col("body"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    # only grams that some term holds leave the pages' side
+    post = p.select("material_id", "page_number", F.explode(grams).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
     counts = post.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("query_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     met = rarest.select("query_id", "term", F.col("r.gram").alias("gram")).join(post, "gram").join(p, ["material_id", "page_number"])
-    short = t.where(F.length("term") < 3).join(p, F.contains(p.body, t.term))
-    out = met.where(F.contains("body", F.col("term"))).select("query_id", "material_id", "page_number").unionByName(short.select("query_id", "material_id", "page_number"))
+    out = met.where(F.contains("body", F.col("term"))).select("query_id", "material_id", "page_number").distinct()
     return top_n_per_group(out.groupBy("query_id", "material_id").agg(F.min("page_number").alias("page_number")), ["query_id"], ["material_id"], most) if most else out
 
 
@@ -274,6 +278,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def actors(audit: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(id, name, email) of everyone who has ever acted, by name."""
+    return accounts.join(audit.select(F.col("actor_id").alias("id")), "id", "left_semi").select("id", "name", "email").orderBy("name", "id")
+
+
 def embed_progress(materials: DataFrame, chunks: DataFrame) -> DataFrame:
     done = chunks.groupBy(F.col("material_id").alias("id")).agg(F.count("*").alias("chunks"))
     m = live(materials).join(done, "id", "left")
@@ -323,10 +332,14 @@ def paginate(df: DataFrame, order: Sequence[Column | str], page: int = 1, size:
     return df.orderBy(*order).offset(start).limit(size), about
 
 
-def library_sort(df: DataFrame, sort: str, position: str = "pos") -> DataFrame:
+def library_order(sort: str, position: str = "pos") -> list[Column]:
     title = F.collate(F.col("title"), "UNICODE_CI")
     order = {"recent": [F.desc("created_at")], "oldest": [F.asc("created_at")], "title": [title.asc(), F.asc("title")], "ztitle": [title.desc(), F.desc("title")], "relevance": [F.asc(position)]}[sort]
-    return df.orderBy(*order, "id")
+    return [*order, F.asc("id")]
+
+
+def library_sort(df: DataFrame, sort: str, position: str = "pos") -> DataFrame:
+    return df.orderBy(*library_order(sort, position))
 
 
 def next_unfiled(materials: DataFrame, filings: DataFrame, after: str) -> DataFrame:

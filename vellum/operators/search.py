@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions import text as T
 from vellum.operators.duplicates import settle
-from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_sort, rank_lists, top_n_per_group, topics_for
+from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_order, paginate, rank_lists, readable_text, sort_key, top_n_per_group, topics_for, with_uncategorised
 
 # Weights of the lists and of the fields, the constant of reciprocal ranks, bounds.
 WEIGHTS = {"meta": 1.6, "title": 1.3, "chunk": 1.0, "topic": 0.6}
@@ -234,15 +234,38 @@ def ranked_search(queries: DataFrame, materials: DataFrame, chunks: DataFrame, t
     return substring_fallback(q, settle(rrf(hits, weights)), pages.join(mine, "material_id", "left_semi"))
 
 
-def library(queries: DataFrame, hits: DataFrame, materials: DataFrame, filings: DataFrame, topics: DataFrame, topic: str | None = None, author: str | None = None, sort: str = "relevance", page: int = 1, size: int = 48) -> DataFrame:
-    """Cards of one page of a search's hits: filtered before paging, with topics and the matched page."""
-    ours = library_filter(materials, filings, topics, topic, author)
-    met = hits.join(ours.withColumnRenamed("id", "material_id"), "material_id").join(topics_for(filings, topics), "material_id", "left").withColumnRenamed("material_id", "id")
-    return library_sort(met, sort).offset((max(1, page) - 1) * size).limit(size)
+def library(hits: DataFrame | None, materials: DataFrame, filings: DataFrame, topics: DataFrame, topic: str | None = None, author: str | None = None, sort: str | None = None, page: int = 1, size: int = 48) -> tuple[DataFrame, dict]:
+    """Cards of one page, and its totals: of a search's hits (material_id, pos, page), or, with no hits, of all that is published.
+
+    Filters hold before paging. A card has its topics by ordinal, its shelf (the topic asked for, else its first) and the page that matched."""
+    ours = library_filter(materials.where("status = 'published'"), filings, topics, topic, author)
+    if hits is not None:
+        ours = ours.join(hits.select(F.col("material_id").alias("id"), "pos", F.col("page").alias("matched_page")), "id")
+    else:
+        ours = ours.withColumn("pos", F.lit(None).cast("int")).withColumn("matched_page", F.lit(None).cast("int"))
+    order = library_order(sort_key(sort, hits is not None))
+    rows, about = paginate(ours, order, page, size)
+    cards = rows.join(topics_for(filings, topics).withColumnRenamed("material_id", "id"), "id", "left")
+    if topic and topic != "all":
+        cards = cards.withColumn("shelf", F.lit(topic))
+    else:
+        cards = with_uncategorised(cards)
+    return cards.orderBy(*order), about
+
+
+def by_slug(slugs: DataFrame, materials: DataFrame, filings: DataFrame, topics: DataFrame, pages: DataFrame) -> DataFrame:
+    """Published materials of slugs (slug): card, topics by ordinal, pages (number, image) in order, and the readable text where it is public."""
+    ours = slugs.select("slug").distinct().join(materials.where("status = 'published'"), "slug")
+    mine = ours.select(F.col("id").alias("material_id"))
+    some = pages.join(mine, "material_id", "left_semi")
+    listed = some.groupBy("material_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "r2_key_webp"))).alias("pages"))
+    out = ours.join(topics_for(filings, topics).withColumnRenamed("material_id", "id"), "id", "left").join(listed.withColumnRenamed("material_id", "id"), "id", "left")
+    text = readable_text(some, ours).withColumnRenamed("material_id", "id").withColumnRenamed("text", "readable")
+    return out.join(text, "id", "left")
 
 
-def by_slug(slugs: DataFrame, df: DataFrame) -> DataFrame:
-    return slugs.join(df, "slug")
+def topic_by_slug(slugs: DataFrame, topics: DataFrame) -> DataFrame:
+    return slugs.select("slug").distinct().join(topics, "slug")
 
 
 def slug_taken(slugs: DataFrame, df: DataFrame) -> DataFrame:

@@ -73,19 +73,22 @@ def similar_pairs(items: DataFrame, threshold: float = 0.93, id: str = "id", vec
     return _blocks(it, it, block, n, n).groupBy("i", "j").applyInPandas(close, f"a {kind}, b {kind}, cosine double")
 
 
-def hashed_vector(text, size: int = 64, n: int = 3):
-    """Column: a unit vector of hashed character n-grams; the default embedder, in expressions alone."""
-    t = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(n))), F.lit(size)))
-    counts = F.aggregate(grams, F.array_repeat(F.lit(0.0), size), lambda acc, g: F.transform(acc, lambda x, i: F.when(i == g, x + 1).otherwise(x)))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: x / length)
-
-
-def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding", size: int = 64) -> DataFrame:
-    """Add a vector of the text. embedder: a function of a list of texts to a matrix, called in batches in each Python worker."""
-    if embedder is None:
-        return df.withColumn(out, hashed_vector(F.col(text), size))
+def hashed_vectors(texts: list[str], size: int = 64, n: int = 3) -> np.ndarray:
+    """Unit vectors of hashed character n-grams, lower-cased: the default embedder. A text shorter than n is one gram; an empty one too."""
+    out = np.zeros((len(texts), size))
+    for row, t in enumerate(texts):
+        c = np.frombuffer((t.lower() or " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        k = min(n, len(c))
+        h = np.zeros(len(c) - k + 1, np.uint64)
+        for j in range(k):
+            h = (h ^ c[j : len(c) - k + 1 + j]) * np.uint64(0x100000001B3)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[row] = np.bincount((h >> np.uint64(40)).astype(np.int64) % size, minlength=size)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def embed(df: DataFrame, text: str, embedder=hashed_vectors, out: str = "embedding") -> DataFrame:
+    """Add a vector of the text. embedder: a function of a list of texts to a matrix, called in batches in each Python worker; null texts are empty."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -97,7 +100,7 @@ def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding", size:
     return df.withColumn(out, F.pandas_udf(run, "array<double>")(F.col(text)))
 
 
-def embed_corpus(pages: DataFrame, embedder=None) -> DataFrame:
+def embed_corpus(pages: DataFrame, embedder=hashed_vectors) -> DataFrame:
     """Chunks of materials and one document row each, with vectors; kind tells them apart."""
     from vellum.operators.layout import chunk_material
 
@@ -108,7 +111,7 @@ def embed_corpus(pages: DataFrame, embedder=None) -> DataFrame:
     return embed(chunks.unionByName(docs), "text", embedder)
 
 
-def embed_topics(topics: DataFrame, embedder=None) -> DataFrame:
+def embed_topics(topics: DataFrame, embedder=hashed_vectors) -> DataFrame:
     named = topics.where("merged_into_id is null").withColumn("_t", F.concat_ws(" — ", "name", F.nullif(F.trim("blurb"), F.lit(""))))
     return embed(named, "_t", embedder).drop("_t")
 

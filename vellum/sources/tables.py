@@ -20,21 +20,20 @@ ALIASES = {
 }
 
 
-#: Columns of a sheet that are looked at.
-SHEET_COLUMNS = 40
-
-
 def map_columns(header: Sequence[str | None], aliases: dict[str, Sequence[str]] = ALIASES) -> dict[str, int]:
-    """Field to column position; case, blanks and punctuation do not matter."""
+    """Field to column position: the first column that goes by one of its names; case, blanks and punctuation do not matter."""
     plain = [re.sub("[^a-z0-9]", "", (h or "").lower()) for h in header]
-    return {field: next(plain.index(n) for n in names if n in plain) for field, names in aliases.items() if any(n in plain for n in names)}
+    at = {field: next((i for i, h in enumerate(plain) if h in names), None) for field, names in aliases.items()}
+    return {field: i for field, i in at.items() if i is not None}
 
 
 def read_sheet(spark: SparkSession, path: str, aliases: dict[str, Sequence[str]] = ALIASES) -> DataFrame:
     """(source_row, title, author, summary, url, topics): a CSV whose header, with a title and a link, is among its first ten rows.
 
     A sheet is one file with newlines in its cells, so one task reads it and its rows keep their order."""
-    wide = ", ".join(f"_c{i} string" for i in range(SHEET_COLUMNS))  # rows above the header may be shorter
+    # rows above the header may be shorter, so the widest line tells the columns
+    lines = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    wide = ", ".join(f"_c{i} string" for i in range(lines))
     raw = spark.read.csv(path, schema=wide, header=False, multiLine=True, quote='"', escape='"').withColumn("source_row", F.monotonically_increasing_id())
     cells = [c for c in raw.columns if c != "source_row"]
     for r in raw.orderBy("source_row").limit(10).collect():
