@@ -249,15 +249,17 @@ def surviving_share(before: Column, after: Column) -> Column:
 
 
 def score_text(c: Column) -> Column:
-    """struct(score, notes, usable) of a recognised text."""
-    def shares(t: Column, tokens: Column) -> Column:
-        n = F.size(tokens)
-        junk = lambda w: (
-            ~w.rlike("(?i)[a-z0-9]") | (w.rlike("(?i)^[a-z]+$") & (F.length(w) > 2) & ~w.rlike("(?i)[aeiouy]")) | (w.rlike("(?i)[a-z]") & w.rlike(r"\d") & (F.length(w) <= 6))
-        )
-        letters = F.length(F.regexp_replace(t, "(?i)[^a-z]", "")) / F.length(t)
-        single = F.size(F.filter(tokens, lambda w: w.rlike("(?i)^[a-z0-9]$"))) / n
-        return F.struct(n.alias("n"), (F.size(F.filter(tokens, junk)) / n).alias("junk"), single.alias("single"), letters.alias("letters"), (F.length(F.array_join(tokens, "")) / n).alias("mean"))
+    """struct(score, notes, usable) of a recognised text. Tokens are counted over the whole text, a pattern each, without cutting it up."""
+    solid = r"[^\p{IsWhite_Space}]"
+    token = lambda body: rf"(?<!{solid})(?:{body})(?!{solid})"
+    junk = rf"(?:(?![a-zA-Z0-9]){solid})+|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{{3,}}|(?={solid}{{1,6}}(?!{solid}))(?={solid}*[a-zA-Z])(?={solid}*[0-9]){solid}+"
+
+    def shares(t: Column) -> Column:
+        n = F.regexp_count(t, F.lit(rf"{solid}+"))
+        share = lambda body: F.regexp_count(t, F.lit(token(body))) / n
+        letters = F.length(F.regexp_replace(t, "[^a-zA-Z]+", "")) / F.length(t)
+        mean = F.length(F.regexp_replace(t, r"\p{IsWhite_Space}+", "")) / n
+        return F.struct(n.alias("n"), share(junk).alias("junk"), share("[a-zA-Z0-9]").alias("single"), letters.alias("letters"), mean.alias("mean"))
 
     def verdict(x: Column) -> Column:
         score = F.lit(1.0) - F.least(F.lit(0.6), x.junk * 2) - F.least(F.lit(0.3), F.greatest(F.lit(0.0), x.single - 0.05) * 1.5) - F.least(F.lit(0.3), F.greatest(F.lit(0.0), F.lit(0.75) - x.letters)) - F.when(x.n < 20, 0.15).otherwise(0.0)
@@ -275,7 +277,7 @@ def score_text(c: Column) -> Column:
         return F.struct(F.round(score, 3).alias("score"), F.when(F.size(said) == 0, F.array(F.lit(NOTE_CLEAN))).otherwise(said).alias("notes"), (score >= USABLE).alias("usable"))
 
     empty = F.struct(F.lit(0.0).alias("score"), F.array(F.lit(NOTE_EMPTY)).alias("notes"), F.lit(False).alias("usable"))
-    filled = lambda t: let(let(F.split(t, r"(?U)\s+"), lambda k: shares(t, k)), verdict)
+    filled = lambda t: let(shares(t), verdict)
     return let(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), lambda t: F.when(t == "", empty).otherwise(filled(t)))
 
 

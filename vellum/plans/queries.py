@@ -196,24 +196,49 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.slugify(first_line()).alias("slug"))
 
 
-@query()
+@query(rf"""WITH s AS (SELECT doc_id, {SLUG} AS b FROM documents WHERE text IS NOT NULL), t AS (SELECT DISTINCT b FROM s WHERE doc_id % 50 = 0), n AS (SELECT s.doc_id, s.b, row_number() OVER (PARTITION BY s.b ORDER BY s.doc_id) + CASE WHEN t.b IS NULL THEN 0 ELSE 1 END AS n FROM s LEFT JOIN t ON t.b = s.b)
+SELECT doc_id, CASE WHEN n = 1 THEN b ELSE b || '-' || n END AS slug FROM n""")
 def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     taken = docs.where("doc_id % 50 = 0").select(T.slugify(first_line()).alias("slug"))
     return layout.assign_slugs(docs.select(F.col("doc_id").alias("arrival"), first_line().alias("title")), taken).select(F.col("arrival").alias("doc_id"), "slug")
 
 
-@query()
+SHED = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({TITLE}), '\.(?:pdf|docx?|jpe?g|png)$', '', 'i'), '^\s*copy\s+of\s+', '', 'i'), '(?:[-–—\s]*\(?\bcopy\b\s*\d*\)?|\s*\(\d+\))\s*$', '', 'i'), '^\d{{4}}[-_]\d{{2}}[-_](?:[a-z]+[-_])?', '', 'i')"""
+ABBREVIATED = ", ".join(f"'{x}'" for x in T.ABBREVIATIONS)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {TITLE} AS t, trim(regexp_replace(regexp_replace({SHED}, '[-_]+', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM documents),
+f AS (SELECT doc_id, t, bare, regexp_replace(substring(trim(regexp_replace(regexp_replace(strip_accents(t), '["''\\/\n\r\t<>:|?*]', '', 'g'), '\s+', ' ', 'g')), 1, 120), '[\s.]+$', '') AS f, NOT regexp_matches(t, '\p{{Ll}}') AS shouted FROM t)
+SELECT doc_id, CASE WHEN bare = '' THEN trim(t) WHEN (NOT contains(t, ' ') AND regexp_matches(t, '[-_]')) OR (bare = upper(bare) AND regexp_matches(bare, '[A-Z]{{4,}}'))
+ THEN array_to_string(list_transform(string_split(lower(bare), ' '), lambda w, i: CASE WHEN i > 1 AND w IN {NOISE} THEN w ELSE replace(upper(w[1]), 'ẞ', 'SS') || w[2:] END), ' ') ELSE bare END AS clean, CASE WHEN f = '' THEN 'material' ELSE f END || '.pdf' AS file_name,
+ array_to_string(list_transform(string_split(trim(t), ' '), lambda w: CASE WHEN NOT regexp_matches(w, '\p{{L}}') OR regexp_matches(w, '\d') OR regexp_matches(w, '\p{{Ll}}\p{{Lu}}') THEN w WHEN upper(regexp_replace(w, '[^\p{{L}}]', '', 'g')) IN ({ABBREVIATED}) THEN upper(w)
+  WHEN NOT shouted AND length(regexp_replace(w, '[^\p{{L}}]', '', 'g')) > 1 AND regexp_replace(w, '[^\p{{L}}]', '', 'g') = upper(regexp_replace(w, '[^\p{{L}}]', '', 'g')) THEN w
+  ELSE regexp_extract(w, '^([^\p{{L}}]*)', 1) || replace(upper(regexp_extract(w, '^[^\p{{L}}]*(\p{{L}})', 1)), 'ẞ', 'SS') || lower(regexp_extract(w, '^[^\p{{L}}]*\p{{L}}(.*)$', 1)) END), ' ') AS cased FROM f""")
 def titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.clean_title(first_line()).alias("clean"), T.title_case(first_line()).alias("cased"), T.download_name(first_line()).alias("file_name"))
 
 
+HOSTS = (
+    ("http://127.1/", False), ("http://192.168.1/", False), ("http://0177.0.0.1/", False), ("http://0x7f.0.0.1/", False), ("http://[::ffff:7f00:1]/", False), ("http://2130706433/", False), ("http://10.1.2.3:80/x", False), ("http://172.16.0.1/", False),
+    ("http://172.32.0.1/", True), ("http://8.8.2056/", True), ("http://[fe80::1]/", False), ("http://[2001:db8::1]/", True), ("http://100.64.0.1/", False), ("http://169.254.169.254/", False), ("http://example.com/", True),
+)
+
+
+@query("SELECT p.page_id, h.url, h.ok FROM pages p, (VALUES " + ", ".join(f"('{u}', {str(ok).lower()})" for u, ok in HOSTS) + ") AS h(url, ok) WHERE p.page_id % 5 = 0")
+def vetted_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses in the spellings that browsers take, beside every fifth page: what each is was worked out by hand."""
+    p = table(spark, d, "pages").where("page_id % 5 = 0").select("page_id", F.explode(F.array(*(F.lit(u) for u, _ in HOSTS))).alias("url"))
+    return p.select("page_id", "url", T.vet_url(F.col("url"))["ok"].alias("ok"))
+
+
 @query(r"""SELECT page_id, regexp_matches(trim(url), '^https?://[^/?#@]+') AND NOT regexp_matches(url, '^https?://[^/?#]*@') AND NOT regexp_matches(url, '(?i)^https?://([^/?#]*\.)?(localhost|local|internal|intranet|lan|home|corp)([:/?#]|$)') AS ok FROM pages WHERE url IS NOT NULL""")
 def url_vetting(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where("url is not null").select("page_id", T.vet_url(F.col("url"))["ok"].alias("ok"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, url_decode(replace(regexp_extract(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), '+', '%2B')) AS s FROM pages)
+SELECT page_id, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\.pdf$', '', 'i'), '[-_]+', ' ', 'g'), '\s*\(\d+\)\s*$', ''), '\s+', ' ', 'g')), '') AS title FROM u""".replace("\\\\", "\\"))
 def title_from_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.title_from_url(F.col("url")).alias("title"))
 
@@ -436,7 +461,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT doc_id, unnest({WORDS.format("text")}) AS term FROM documents), pp AS (SELECT DISTINCT doc_id, term FROM p), m AS (SELECT query_id, doc_id, count(*) AS k FROM qq JOIN pp USING (term) GROUP BY 1, 2)
 SELECT m.query_id, m.doc_id FROM m JOIN need ON need.query_id = m.query_id AND need.k = m.k""")
 def search_matches(spark: SparkSession, d: str) -> DataFrame:
-    post = search.analyze(table(spark, d, "documents"), "doc_id", "text", stem=False)
+    post = duplicates.settle(search.analyze(table(spark, d, "documents"), "doc_id", "text", stem=False))  # read by every use below
     return search.match_terms(_queries(spark, d), post, stem=False).select("query_id", F.col("id").alias("doc_id")).distinct()
 
 
@@ -446,7 +471,7 @@ m AS (SELECT query_id, doc_id FROM qq JOIN p USING (term) GROUP BY 1, 2 HAVING c
 s AS (SELECT m.query_id, m.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS r FROM m JOIN qq USING (query_id) JOIN p ON p.doc_id = m.doc_id AND p.term = qq.term JOIN df ON df.term = p.term JOIN l ON l.doc_id = m.doc_id, st GROUP BY 1, 2)
 SELECT query_id, doc_id, round(r, 6) AS rank FROM s""")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    post = search.analyze(table(spark, d, "documents"), "doc_id", "text", stem=False)
+    post = duplicates.settle(search.analyze(table(spark, d, "documents"), "doc_id", "text", stem=False))  # read by every use below
     hits = search.bm25(search.match_terms(_queries(spark, d), post, stem=False), post)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
