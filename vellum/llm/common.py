@@ -46,6 +46,20 @@ def release(*tables: DataFrame) -> None:
         store.delete(where, True)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: object = None, make=None):
+    """What a Python worker keeps from task to task: the object of the operator at work. Asking for another, or for none, drops it first, so that
+    stages that follow each other in one worker do not add up."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        pa.default_memory_pool().release_unused()
+        if key is not None:
+            _RESIDENT[key] = make()
+    return _RESIDENT.get(key)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

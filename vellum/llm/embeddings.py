@@ -96,6 +96,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors. Each is first brought to a greatest component of 1, so that no square leaves the range of doubles."""
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id", vector: str = "embedding", seed: int = 9) -> DataFrame:
     """One row for each input row: its id as vec_id, n_links (other rows linked directly), component_id and kept.
 
@@ -118,8 +124,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_
             for dim in np.unique(lens).tolist():
                 for at in np.array_split(np.flatnonzero(lens == dim), max(1, int((lens == dim).sum()) // 2000)):
                     sub = batch.take(pa.array(at))
-                    m = _matrix(sub.column(1))
-                    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                    m = _unit(_matrix(sub.column(1)))
                     r, k, o = cells(m, seed)
                     yield pa.RecordBatch.from_arrays([pa.array(mix(k.astype(np.uint64) ^ np.uint64(dim)).view(np.int64)), sub.column(0).take(pa.array(r)), pa.array(o)], ["cell", "rep", "own"])
 
@@ -173,8 +178,7 @@ def _per_block(threshold: float, answer):
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
             if b - a < 2:
                 continue
-            m = _matrix(v.slice(a, b - a))
-            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            m = _unit(_matrix(v.slice(a, b - a)))
             close = m @ m.T >= threshold
             close &= rep[a:b, None] != rep[None, a:b]
             close &= own[a:b, None] | own[None, a:b]

@@ -16,15 +16,19 @@ from .common import mix, parts, settle, window_min, windows
 GRAM, WINDOW = 12, 52
 
 
+def gram_hashes(text: str, gram: int = GRAM) -> np.ndarray:
+    """Rolling 64-bit hash of every gram of a text; a shorter text is one gram."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return windows(mix(c.astype(np.uint64) + np.uint64(1)), min(gram, len(c)))
+
+
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Selected 32-bit hashes of a text and where their grams start, in order of position.
 
     A text shorter than a gram is one gram; one with fewer grams than a window has one window. Empty: nothing."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(c):
+    if not text:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
-    code = mix(c.astype(np.uint64) + np.uint64(1))
-    h = windows(code, min(gram, len(c)))
+    h = gram_hashes(text, gram)
     at = window_min(h, min(window, len(h)))
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return (h[at] >> np.uint64(32)).astype(np.uint32), at
@@ -54,7 +58,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.drop("hashes", "positions").withColumn("_w", udf(F.col(text))).select("*", "_w.*").drop("_w")
 
 
-REPORT = "doc_id long, n_chars long, edited_text string, hashes binary, edited_hashes binary, near_edited double, near_next double"
+REPORT = "doc_id long, n_chars long, edited_text string, hashes binary, edited_hashes binary, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
 
 
 def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,7 +66,8 @@ def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -
 
     The edited form has the last floor(n/2) code points replaced by the first as many of the next document, in
     ascending id (after the last: the first). Null texts are empty; rows without an id are left out. Of rows with the
-    same id each is compared, and the least of their texts is the next document's. Hashes are big-endian 32-bit numbers end to end.
+    same id each is compared, and the least of their texts is the next document's. Hashes are big-endian 32-bit numbers end to end; positions
+    tell where their grams start, in code points.
 
     Texts move once: to ranges of ids, whose bounds are as many numbers as there are partitions. The first document of a
     range goes to the range before it as well, so each range is read in order with the next document at hand.
@@ -82,7 +87,7 @@ def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         names = [c.split()[0] for c in REPORT.split(", ")]
         held: list[str] = []
         at: tuple | None = None  # range and id of the texts held
@@ -91,13 +96,13 @@ def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -
 
         def close(following: str):
             nonlocal kept
-            after = winnow(following)[0]
+            after = winnow(following)
             for k, t in enumerate(held):
                 half = len(t) // 2
                 edited = t[: len(t) - half] + following[:half]
-                h = kept if k == 0 and kept is not None else winnow(t)[0]
-                e = winnow(edited)[0]
-                out.append((at[1], len(t), edited, h.astype(">u4").tobytes(), e.astype(">u4").tobytes(), likeness(h, e), likeness(h, after)))
+                h, where = kept if k == 0 and kept is not None else winnow(t)
+                e, there = winnow(edited)
+                out.append((at[1], len(t), edited, h.astype(">u4").tobytes(), e.astype(">u4").tobytes(), likeness(h, e), likeness(h, after[0]), where.astype(np.int32), there.astype(np.int32)))
             kept = after
 
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, release, runs_of_rows, settle, text_bytes, windows, words
+from .common import components, mix, release, resident, runs_of_rows, settle, text_bytes, windows, words
 
 NGRAM = 5
 #: Shingles that one side of a search holds, unless a single document has more; a larger group is searched part by part.
@@ -61,6 +61,7 @@ def sets_of(docs: DataFrame, percent: int, whole: bool) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set (equal sets, equal hashes) and s: the set, or its lead, ascending by unsigned hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             b, offsets = text_bytes(batch.column(1))
             ids = batch.column(0)

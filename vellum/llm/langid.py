@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
+from .common import resident, sample_by_hash
 
 BUCKETS, DIM, GRAMS = 1 << 15, 12, (1, 2, 3, 4)
 
@@ -147,8 +147,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of one number a language
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        resident()
         for part in parts:
             yield pd.DataFrame([shared.value.predict(t) for t in part], columns=["lang_pred", "score", "lang_rejected"])
 
-    udf = F.pandas_udf(run, "lang_pred string, score double, lang_rejected boolean")
+    # not deterministic to the planner, so that a filter on what it gives does not run it a second time
+    udf = F.pandas_udf(run, "lang_pred string, score double, lang_rejected boolean").asNondeterministic()
     return docs.drop("lang_pred", "score", "lang_rejected").withColumn("_lang", udf(F.col(text))).select("*", "_lang.*").drop("_lang")

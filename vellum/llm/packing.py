@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import resident, settle, text_bytes
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, local_rank long"
 #: Where a solid run ends and ASCII white space begins, and between letters or digits and ASCII punctuation, a token ends.
@@ -35,7 +34,7 @@ class ChunkEncoder:
     end are the ids of the text. Texts with other white space than ASCII go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,10 +68,9 @@ class ChunkEncoder:
             return b"".join([known.get(c) or self._raw([c])[0] for c in chunks])
 
 
-@functools.cache
 def encoder(path: str) -> ChunkEncoder:
     """One for each Python worker, so that chunks stay known from task to task."""
-    return ChunkEncoder(path)
+    return resident(("chunks", path), lambda: ChunkEncoder(path))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_tail: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +179,8 @@ def pack(pieces: DataFrame, max_tokens: int = 1024) -> tuple[DataFrame, float]:
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, most_padding: float = 0.02, id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """tokenize_pieces and pack. Where whole tails leave more padding than most_padding they are cut to an eighth of
-    a sequence and packed again. with_ids=False keeps a checksum of each piece's ids in their place."""
+    a sequence and packed again; texts are then tokenized a second time, which costs less than keeping all ids for that case.
+    with_ids=False keeps a checksum of each piece's ids in their place."""
     for tail in (None, max_tokens // 8):
         made = tokenize_pieces(docs, tokenizer, max_tokens, tail, id, text).withColumn("ids_crc32", F.crc32("ids"))
         placed, padding = pack(made if with_ids else made.drop("ids"), max_tokens)

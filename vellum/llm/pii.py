@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 # The kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -400,17 +402,19 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(tagger)  # a few thousand numbers
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        resident()
         for part in parts:
-            texts = [t if isinstance(t, str) else "" for t in part]
             rows = []
-            for t, more in zip(texts, tagged_spans(texts, model.value)):
-                base = base_spans(t)
-                n = [sum(k == i for _, k, _ in base) for i in range(4)]
-                rows.append((_write(base), _write(reconcile(base, more)), *n))
+            for lo in range(0, len(part), 1000):
+                texts = [t if isinstance(t, str) else "" for t in part.iloc[lo : lo + 1000]]
+                for t, more in zip(texts, tagged_spans(texts, model.value)):
+                    base = base_spans(t)
+                    n = [sum(k == i for _, k, _ in base) for i in range(4)]
+                    rows.append((_write(base), _write(reconcile(base, more)), *n))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SPANS.split(", ")])
 
     names = [x.split()[0] for x in SPANS.split(", ")]
-    found = docs.drop(*names).withColumn("_pii", F.pandas_udf(run, SPANS)(F.col(text)))
+    found = docs.drop(*names).withColumn("_pii", F.pandas_udf(run, SPANS).asNondeterministic()(F.col(text)))
     return found.select("*", "_pii.*").drop("_pii")
 
 

@@ -39,7 +39,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = compare_with_next(table(spark, sf_dir, "documents"))
     hexed = [F.lower(F.hex(c)).alias(a) for c, a in (("hashes", "fingerprint"), ("edited_hashes", "edited_fingerprint"))]
-    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *hexed, "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *hexed, "near_edited", "near_next", "positions", "edited_positions")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,15 @@ gone AS (SELECT doc_id, i, x, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i
 kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS k FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
+OP5 = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents), u AS (SELECT doc_id, unnest(range(1, n + 1)) AS i, unnest(list_transform(range(0, n), lambda k: substr(h, 2 * k + 1, 2))) AS x FROM b),
+h1 AS (SELECT *, hash(x) AS a FROM u), h2 AS (SELECT *, hash(a, lead(a, 1) OVER o) AS b FROM h1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)), h4 AS (SELECT *, hash(b, lead(b, 2) OVER o) AS c FROM h2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h8 AS (SELECT *, hash(c, lead(c, 4) OVER o) AS d FROM h4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)), h16 AS (SELECT *, hash(d, lead(d, 8) OVER o) AS e FROM h8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)), h32 AS (SELECT *, hash(e, lead(e, 16) OVER o) AS f FROM h16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h64 AS (SELECT *, hash(f, lead(f, 32) OVER o) AS g FROM h32 WINDOW o AS (PARTITION BY doc_id ORDER BY i)), h200 AS (SELECT doc_id, i, x, CASE WHEN lead(i, 199) OVER o IS NOT NULL THEN hash(g, lead(g, 64) OVER o, lead(g, 128) OVER o, lead(d, 192) OVER o) END AS w FROM h64 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+often AS (SELECT w FROM h200 WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1), flag AS (SELECT doc_id, i, x, often.w IS NOT NULL AS hit FROM h200 LEFT JOIN often ON often.w = h200.w),
+gone AS (SELECT doc_id, i, x, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM flag), edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM gone),
+kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, count(*) FILTER (WHERE opens) AS s, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS k FROM edge GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
 CONNECT = """ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r(id, c) AS (SELECT a, a FROM ed UNION SELECT ed.b, r.c FROM r JOIN ed ON ed.a = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,4 +131,4 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op9_embedding_near_dedup": OP9, "op10_jaccard_join": OP10}
+    return {"op1_substring_dedup": OP1, "op5_suffix_dedup": OP5, "op9_embedding_near_dedup": OP9, "op10_jaccard_join": OP10}

@@ -9,7 +9,6 @@ yields its best segmentation, drawn arc by arc, and is split into the sets that
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
 import math
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import MIX_1, MIX_2, mix
+from .common import MIX_1, MIX_2, mix, resident
 
 #: No piece holds a blank after another sign, so units never share a piece.
 UNIT = re.compile("▁*[^▁]+|▁+")
@@ -37,6 +36,7 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.kept: Kept | None = None
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = m.get_piece_size()
         usable = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
@@ -106,14 +106,14 @@ class Kept:
         return found
 
 
-@functools.cache
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return resident(("pieces", path), lambda: Pieces(path))
 
 
-@functools.cache
 def kept(p: Pieces) -> Kept:
-    return Kept(p)
+    if p.kept is None:
+        p.kept = Kept(p)
+    return p.kept
 
 
 #: An arc: the probability, given its first sign, of it and those before it, its own, that of all others, and its signs (0: it ends its unit).

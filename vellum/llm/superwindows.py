@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import _BYTE_CODE, mix, powers, runs_of_rows, text_bytes, window_min, windows, words
+from .common import _BYTE_CODE, mix, powers, resident, runs_of_rows, text_bytes, window_min, windows, words
 
 OCCURRENCE = "first long, anchor long, seg long, row long, start int, n_windows int, lead int"
 SEG = ["anchor", "seg"]
@@ -90,6 +90,7 @@ def occurrences(docs: DataFrame, units: Callable, window: int, gram: int, double
     double: each is cut where the anchor's double changes sides; anchor is then the hash of the double and first that of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             b, offsets = text_bytes(batch.column(1))
             rows = batch.column(0).to_numpy(zero_copy_only=False)
