@@ -501,7 +501,14 @@ def substring_hits(spark: SparkSession, d: str) -> DataFrame:
     return listing.contains_join(terms, pages).select("query_id", "material_id")
 
 
-@query()
+GRAMS = "flatten(list_transform({0}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT p_name AS id FROM part), tt AS (SELECT id, {GRAMS.format(WORDS.format("id"))} AS g FROM t), qq AS (SELECT DISTINCT p_name AS id FROM part WHERE p_partkey % 20 = 0), q AS (SELECT id, list_distinct({GRAMS.format(WORDS.format("split_part(id, ' ', 1)"))}) AS g FROM qq),
+c AS (SELECT q.id AS query_id, tt.id AS material_id, q.g AS a, tt.g AS b FROM q JOIN tt ON len(list_intersect(q.g, list_distinct(tt.g))) > 0.42 * len(q.g)),
+x AS (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM c), y AS (SELECT *, unnest(range(i, len(b) + 1)) AS j FROM x), z AS (SELECT query_id, material_id, a, b, list_distinct(b[i:j]) AS e FROM y),
+s AS (SELECT query_id, material_id, any_value(a) AS a, any_value(list_distinct(b)) AS b, max(len(list_intersect(a, e))::DOUBLE / (len(a) + len(e) - len(list_intersect(a, e)))) AS best FROM z GROUP BY 1, 2)
+SELECT query_id, material_id, round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS rank FROM s WHERE best > 0.42""")
 def trigram_titles(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select("p_name").distinct()
     m = names.select(F.col("p_name").alias("id"), F.col("p_name").alias("title"))

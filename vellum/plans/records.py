@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.functions import vectors as V
 from vellum.operators import duplicates, history, layout, lifecycle, listing, search, topics, vectors
-from vellum.plans.queries import first_line, query, table
+from vellum.plans.queries import STOPPED, TITLE, WORDS, first_line, query, table
+from vellum.plans.queries import _chunks as chunked
+from vellum.plans.queries import _queries as asked
 from vellum.sources import tables
 from vellum.streaming import incremental
 
@@ -717,3 +719,58 @@ def streamed_activity(spark: SparkSession, d: str) -> DataFrame:
     e.write.parquet(f"{path}/in")
     incremental.activity_stream(spark, f"{path}/in", e.schema, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.schema("window_start timestamp, actor long, action string, n long").parquet(f"{path}/out").select(F.unix_micros("window_start").alias("start_us"), "actor", "action", "n")
+
+
+# ---- search, list by list ------------------------------------------------------------------------------------------------------------------
+
+ASKED = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format("text")}[1:3]) AS term FROM benchmark), qq AS (SELECT * FROM q WHERE term NOT IN ({STOPPED})), need AS (SELECT query_id, count(*) AS k FROM qq GROUP BY 1)"""
+
+
+@query(f"""WITH {ASKED}, fl AS (SELECT doc_id, 1.0::DOUBLE AS w, unnest({WORDS.format(TITLE)}) AS term FROM documents UNION ALL SELECT doc_id, 0.4, unnest({WORDS.format("source")}) FROM documents UNION ALL SELECT doc_id, 0.2, unnest({WORDS.format("lang")}) FROM documents),
+p AS (SELECT doc_id, term, sum(w) AS tf FROM fl WHERE term NOT IN ({STOPPED}) GROUP BY 1, 2), m AS (SELECT query_id, doc_id, count(*) AS k, sum(tf / (tf + 1)) AS r FROM qq JOIN p USING (term) GROUP BY 1, 2)
+SELECT m.query_id, m.doc_id AS material_id, round(r, 6) AS rank FROM m JOIN need ON need.query_id = m.query_id AND need.k = m.k""")
+def meta_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = materials(spark, d).select("id", "title", "author", "summary")
+    return search.meta_hits(asked(spark, d), m, stem=False).select("query_id", "material_id", F.round("rank", 6).alias("rank"))
+
+
+@query(rf"""WITH {ASKED}, k AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 350 THEN 1 ELSE ceil((len(w) - 350) / 310.0)::INT + 1 END AS k FROM k),
+c AS (SELECT doc_id, i, array_to_string(w[i*310+1 : i*310+350], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, k)) AS i FROM n)), e AS (SELECT doc_id, i, unnest({WORDS.format("text")}) AS term FROM c), ee AS (SELECT * FROM e WHERE term NOT IN ({STOPPED})),
+p AS (SELECT doc_id, i, term, count(*) AS tf FROM ee GROUP BY 1, 2, 3), l AS (SELECT doc_id, i, count(*) AS dl FROM ee GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM l),
+m AS (SELECT query_id, doc_id, i FROM qq JOIN p USING (term) GROUP BY 1, 2, 3 HAVING count(*) = (SELECT k FROM need WHERE need.query_id = qq.query_id)),
+s AS (SELECT m.query_id, m.doc_id, m.i, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS r FROM m JOIN qq USING (query_id) JOIN p ON p.doc_id = m.doc_id AND p.i = m.i AND p.term = qq.term JOIN df ON df.term = p.term JOIN l ON l.doc_id = m.doc_id AND l.i = m.i, st GROUP BY 1, 2, 3)
+SELECT query_id, doc_id AS material_id, round(max(r), 6) AS rank, count(*) > 0 AS met FROM s GROUP BY 1, 2""")
+def chunk_matches(spark: SparkSession, d: str) -> DataFrame:
+    found = search.chunk_hits(asked(spark, d), chunked(table(spark, d, "documents")), stem=False)
+    return found.select("query_id", "material_id", F.round("rank", 6).alias("rank"), F.col("page").isNotNull().alias("met"))
+
+
+@query(f"WITH {MAT}, t AS (SELECT DISTINCT upper(id) AS name, id FROM tp WHERE id IS NOT NULL) SELECT x.n AS query_id, f.id AS material_id FROM (SELECT row_number() OVER (ORDER BY id) AS n, id FROM t) x JOIN f ON f.topic = x.id")
+def topic_matches(spark: SparkSession, d: str) -> DataFrame:
+    t = topic_table(spark, d).where("id is not null")
+    n = t.select("id").orderBy("id").toPandas()["id"].tolist()  # as many as topics
+    q = spark.createDataFrame([(i + 1, [x]) for i, x in enumerate(n)], "query_id long, must array<string>")
+    return search.topic_hits(q, t, filings(spark, d), stem=False).select("query_id", "material_id")
+
+
+@query("""WITH h AS (SELECT doc_id % 4 AS q, 'meta' AS s, doc_id AS m, n_chars::DOUBLE AS r, NULL::BIGINT AS page FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id % 4, 'title', doc_id, doc_id % 7, NULL FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id % 4, 'chunk', doc_id, (doc_id * 7) % 11, doc_id % 5 FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY q, s ORDER BY r DESC, m) AS pos FROM h), f AS (SELECT q, m, sum(CASE s WHEN 'meta' THEN 1.6::DOUBLE WHEN 'title' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END / (60 + pos)) AS score, max(page) AS page, string_agg(DISTINCT s, '|' ORDER BY s) AS sources FROM p GROUP BY q, m),
+z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, m) AS pos FROM f) SELECT q AS query_id, m AS material_id, round(score, 9) AS score, page, sources FROM z WHERE pos <= 500""")
+def fused_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Three lists over documents, fused by reciprocal ranks."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    one = lambda df, rank, page: df.select((n % 4).alias("query_id"), n.alias("material_id"), rank.cast("double").alias("rank"), page.cast("int").alias("page"))
+    lists = {"meta": one(docs.where("doc_id % 2 = 0"), F.col("n_chars"), F.lit(None)), "title": one(docs.where("doc_id % 3 = 0"), n % 7, F.lit(None)), "chunk": one(docs, (n * 7) % 11, n % 5)}
+    return search.rrf(listing.fuse_lists(lists)).select("query_id", "material_id", F.round("score", 9).alias("score"), "page", F.array_join("sources", "|").alias("sources"))
+
+
+@query(r"""WITH q AS (SELECT item_id AS query_id, lower(trim(regexp_replace(substring(text, 1, 24), '\s+', ' ', 'g'))) AS term FROM benchmark WHERE length(trim(substring(text, 1, 24))) > 0), p AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body FROM documents),
+h AS (SELECT item_id AS query_id, item_id * 3 AS m, 0.01::DOUBLE AS score FROM benchmark), s AS (SELECT query_id, doc_id AS m, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS pos FROM q JOIN p ON contains(body, term)),
+b AS (SELECT query_id, m, score, 'meta' AS s FROM h UNION ALL SELECT query_id, m, 0.25::DOUBLE / (60 + pos), 'substring' FROM s WHERE pos <= 300) SELECT query_id, m AS material_id, round(sum(score), 9) AS score, string_agg(DISTINCT s, '|' ORDER BY s) AS sources FROM b GROUP BY 1, 2""")
+def fallback_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Queries with a single hit each, and the documents that merely hold their words."""
+    b = table(spark, d, "benchmark")
+    q = search.clean_queries(b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 24).alias("raw")))
+    hits = b.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).alias("material_id"), F.lit(0.01).alias("score"), F.lit(None).cast("int").alias("page"), F.array(F.lit("meta")).alias("sources"))
+    pages_ = table(spark, d, "documents").select(F.col("doc_id").alias("material_id"), F.lit(1).alias("page_number"), "text")
+    return search.substring_fallback(q, hits, pages_).select("query_id", "material_id", F.round("score", 9).alias("score"), F.array_join("sources", "|").alias("sources"))
