@@ -707,6 +707,21 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
     return history.validate({"materials": m, "pages": pages(spark, d), "filings": filings(spark, d), "pairs": p})
 
 
+@query(r"""WITH k AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents), b AS (SELECT doc_id, w, regexp_replace(w, '^[^\w]+|[^\w]+$', '', 'g') AS x FROM k)
+SELECT doc_id, round(1 - sum(CASE WHEN x <> '' AND length(x) >= 3 AND regexp_matches(x, '(?i)[a-z]') AND x <> upper(x) AND NOT regexp_matches(x, '(?i)[aeiouy]') THEN 1 WHEN x = '' AND (w = repeat(w[1], length(w)) AND length(w) >= 3) THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS share FROM b GROUP BY doc_id""")
+def share_read(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("trim(text) <> ''").withColumn("clean", T.strip_invented(F.col("text")))
+    return docs.select("doc_id", F.round(T.surviving_share(F.col("text"), F.col("clean")), 6).alias("share"))
+
+
+@query("SELECT conv_id || '-' || turn AS page_key, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text, true AS scored FROM conversations WHERE trim(text) <> ''")
+def page_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as recognised lines of one column, shuffled, and read again in order."""
+    c = table(spark, d, "conversations").where("trim(text) <> ''").select(F.concat_ws("-", "conv_id", "turn").alias("page_key"), F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("i", "text"))
+    boxes = c.select("page_key", "text", F.lit(0.9).alias("confidence"), F.lit(0.1).alias("x"), (1 - (F.col("i") + 1) / 1000).alias("y"), F.lit(0.8).alias("width"), F.lit(0.0005).alias("height"))
+    return layout.read_page(boxes.orderBy(F.xxhash64("text")), "bottom").select("page_key", "text", F.col("quality").isNotNull().alias("scored"))
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -721,6 +736,27 @@ def streamed_activity(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("window_start timestamp, actor long, action string, n long").parquet(f"{path}/out").select(F.unix_micros("window_start").alias("start_us"), "actor", "action", "n")
 
 
+@query(r"""WITH i AS (SELECT item_id, text, row_number() OVER (PARTITION BY text ORDER BY item_id) AS n FROM benchmark), d AS (SELECT DISTINCT split_part(text, chr(10), 1) AS t, doc_id FROM documents WHERE doc_id % 50 = 0),
+r AS (SELECT item_id FROM i WHERE n = 1) SELECT 'files' AS what, count(*) AS n FROM benchmark UNION ALL SELECT 'accepted', count(*) FROM r UNION ALL SELECT 'with chunks', count(*) FROM r JOIN benchmark USING (item_id) WHERE length(text) + 1 >= 200
+UNION ALL SELECT 'same title', count(*) FROM r JOIN documents ON doc_id = item_id * 7 WHERE split_part(text, chr(10), 1) IS NOT NULL""")
+def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts as files that come in: accepted or refused, cut and embedded, and compared with the documents. Each takes the title of a document."""
+    path = scratch(spark)
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    b.select("item_id", F.concat(F.lit("%PDF-"), "text").alias("value")).repartition("item_id").write.partitionBy("item_id").text(f"{path}/in")
+    item = lambda p: F.regexp_extract(p, "item_id=([0-9]+)", 1)
+    there = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("Unlike "), F.col("doc_id").cast("string"), F.lit(" x"), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("slug"), F.sha2("text", 256).alias("sha256"), F.lit(None).cast("timestamp").alias("archived_at"))
+    texts = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    named = lambda p: F.concat(F.lit("Unlike "), (item(p).cast("long") * 7).cast("string"), F.lit(" x"), (item(p).cast("long") * 7).cast("string"))
+    handle = incremental.enrich(lambda: (there, texts), f"{path}/out", F.lit("2026-01-01").cast("timestamp"), lambda c: F.expr("substring(cast(content as string), 6)"), named)
+    incremental.ingest_stream(spark, f"{path}/in/*", f"{path}/state", handle, ".txt").awaitTermination()
+    made = {n: spark.read.parquet(f"{path}/out/{n}") for n in ("materials", "chunks", "findings")}
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    ours = made["materials"].where("status = 'review'").select("id")
+    twins = made["findings"].where("title = 1 and (a like 'd%' and length(a) < 32) <> (b like 'd%' and length(b) < 32)")
+    return count(made["materials"], "files").unionByName(count(ours, "accepted")).unionByName(count(made["chunks"].where("kind = 'document'"), "with chunks")).unionByName(count(twins, "same title"))
+
+
 # ---- search, list by list ------------------------------------------------------------------------------------------------------------------
 
 ASKED = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format("text")}[1:3]) AS term FROM benchmark), qq AS (SELECT * FROM q WHERE term NOT IN ({STOPPED})), need AS (SELECT query_id, count(*) AS k FROM qq GROUP BY 1)"""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
+from vellum.operators import duplicates, lifecycle, vectors
 from vellum.operators.listing import lookup_known
 
 
@@ -36,6 +38,47 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def file_title(path: Column) -> Column:
+    return T.title_from_filename(F.element_at(F.split(path, "/"), -1))
+
+
+def enrich(archive: Callable[[], tuple[DataFrame, DataFrame]], out: str, now: Column, read_text: Callable[[Column], Column], title: Callable[[Column], Column] = file_title, embedder=vectors.hashed_vectors) -> Callable[[DataFrame, int], None]:
+    """A handler for ingest_stream: new files are fingerprinted and accepted or refused, their text is cut and embedded, and what is accepted is
+    compared with the whole archive and with what earlier batches accepted.
+
+    archive: gives (materials: id, title, slug, sha256, archived_at; texts: id, text). Written below out, a folder a batch: materials, pages,
+    chunks, findings (pairs, to be reconciled with the ledger). Earlier batches are read back without the one at hand, so a replay changes nothing.
+    """
+    card = ("id", "title", "slug", "sha256", "archived_at")
+
+    def handle(files: DataFrame, batch_id: int) -> None:
+        spark = files.sparkSession
+        there, texts = archive()
+        for name in ("materials", "pages"):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+            if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+                continue
+            before = spark.read.parquet(f"{out}/{name}").where(F.col("batch") != batch_id)
+            if name == "materials":
+                there = there.select(*card).unionByName(before.where("status = 'review'").select("id", "title", "slug", "sha256", F.lit(None).cast("timestamp").alias("archived_at")))
+            else:
+                texts = texts.select("id", "text").unionByName(before.where("text is not null").select(F.col("material_id").alias("id"), "text"))
+        new = duplicates.settle(files.select(F.md5(F.col("path")).alias("id"), title(F.col("path")).alias("title"), F.lit("staged").alias("status"), "content"))
+        read = new.select(F.col("id").alias("material_id"), F.lit(1).alias("page_number"), read_text(F.col("content")).alias("text"))
+        done, kept, _ = lifecycle.ingest(new.drop("content"), new.select("id", "content"), there, read, now)
+        done, kept = duplicates.settle(done), duplicates.settle(kept)
+        write_batch(done, f"{out}/materials", batch_id)
+        write_batch(kept, f"{out}/pages", batch_id)
+        write_batch(vectors.embed_corpus(kept.select("material_id", "page_number", "text"), embedder), f"{out}/chunks", batch_id)
+        ours = done.where("status = 'review'")
+        none = F.lit(None).cast("string")
+        cards = there.where("archived_at is null").select("id", "title", "sha256").unionByName(ours.select("id", "title", "sha256")).select("id", "title", "sha256", none.alias("md5"), F.lit(None).cast("int").alias("page_count"))
+        every = texts.select("id", "text").unionByName(kept.where("text is not null").select(F.col("material_id").alias("id"), "text"))
+        write_batch(duplicates.scan(cards, every, new_ids=ours.select("id")), f"{out}/findings", batch_id)
+
+    return handle
+
+
 def activity_windows(events: DataFrame, late: str = "1 hour", window: str = "1 hour", ts: str = "ts", actor: str = "user_id", action: str = "event_type") -> DataFrame:
     """(window_start, actor, action, n): activity by event time, for a stream or a table; rows later than `late` are dropped by the stream."""
     by = events.withWatermark(ts, late) if events.isStreaming else events
