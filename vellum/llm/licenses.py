@@ -65,7 +65,9 @@ def bands(texts: DataFrame, keep: list[str]) -> DataFrame:
 
 def templates(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """(name, ordered, shingles, n_template): the shingles of each template in order, and the distinct ones."""
-    df = spark.createDataFrame(rows, "name string, body string").select("name", word_array(F.col("body")).alias("w")).select("name", shingle_hashes().alias("ordered"))
+    # explode of one-element arrays: what the next expression reads many times is made once
+    df = spark.createDataFrame(rows, "name string, body string").select("name", F.explode(F.array(word_array(F.col("body")))).alias("w"))
+    df = df.select("name", F.explode(F.array(shingle_hashes())).alias("ordered"))
     return df.withColumn("shingles", F.array_distinct("ordered")).withColumn("n_template", F.size("shingles")).where("n_template > 0")
 
 
@@ -73,7 +75,6 @@ def retrieve(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     """(doc_id, name, place): windows of docs (doc_id, text) that share a band with a window of a template. place numbers stretches of the
     text as long as the template (four shingles at least)."""
     banded = bands(known.select("name", "n_template", F.col("ordered").alias("s")), ["name", "n_template"]).select("key", "name", "n_template").distinct()
-    # explode of one-element arrays: words and shingles are made once, not again inside each expression that reads them
     own = docs.select("doc_id", F.explode(F.array(word_array(F.col("text")))).alias("w")).select("doc_id", F.explode(F.array(shingle_hashes())).alias("s"))
     met = bands(own, ["doc_id"]).join(F.broadcast(banded) if small else banded, "key")
     return met.select("doc_id", "name", F.expr("cast(k div greatest(4, n_template) as int)").alias("place")).distinct()
@@ -99,7 +100,7 @@ def scan(docs: DataFrame, containment: float = 0.75, rows: list[tuple[str, str]]
     held = own.join(names, "doc_id", "left_semi").select("doc_id", F.explode(F.array(word_array(F.col("text")))).alias("words"))
     sides = known.select("name", "shingles", "n_template")
     near = held.join(hits, "doc_id").join(F.broadcast(sides) if small else sides, "name")
-    near = near.withColumn("from", F.expr("greatest(0, (place - 1) * greatest(4, n_template))")).withColumn("w", F.expr(f"slice(words, from + 1, 3 * greatest(4, n_template) + {SHINGLE})"))
+    near = near.withColumn("from", F.expr("greatest(0, (place - 1) * greatest(4, n_template))")).withColumn("w", F.explode(F.array(F.expr(f"slice(words, from + 1, 3 * greatest(4, n_template) + {SHINGLE})"))))
     near = near.select("doc_id", "name", "shingles", "n_template", "from", F.explode(F.array(shingle_hashes())).alias("s"))
     found = near.withColumn("shared", F.array_intersect("s", "shingles")).withColumn("n_shared", F.size("shared"))
     found = found.where((F.col("n_shared") > 0) & (F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_template"))))

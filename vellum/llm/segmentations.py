@@ -96,7 +96,7 @@ class Kept:
             self.hits = self.hits[stay] // 2
             self.lattice.keep(stay)
         had = len(self.known)
-        found = [np.array(list(map(self.known.__getitem__, units_of(t))), np.int64) for t in self.p.model.normalize(texts)] if texts else []
+        found = [np.fromiter(map(self.known.__getitem__, units_of(t)), np.int64) for t in self.p.model.normalize(texts)] if texts else []
         fresh = [u[1:] if u[:1] == "\0" else "▁" + u for u in itertools.islice(self.known, had, None)]
         if fresh:
             self.lattice.add(Lattice(self.p, fresh))
@@ -422,7 +422,7 @@ def sample_texts(keys: np.ndarray, texts: list[str], p: Pieces, k: int) -> list[
             break
         pick = np.concatenate([np.arange(bounds[i] + (w[2] + 1 if w else 0), bounds[i + 1]) for i, w in jobs]) if len(unit) else np.empty(0, np.int64)
         stream = _stream(key[pick], turn, index[pick])
-        count, arcs, log = lat.draw(unit[pick], lambda step, rows: _uniforms(stream[rows] + np.uint64(step * _ODD[2] & _ALL)))  # noqa: B023
+        count, arcs, log = lat.draw(unit[pick], lambda step, rows: _uniforms((stream.take(rows) if step else stream) + np.uint64(step * _ODD[2] & _ALL)))  # noqa: B023
         first = np.concatenate([[0], np.cumsum(count)])
         at, after, shared, values, firsts = 0, [], [], [], []
         for i, w in jobs:
