@@ -22,9 +22,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: the one with the smallest doc_id."""
-    kept = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group that links connect: the one with the smallest doc_id. The ids that go are broadcast up to a checked number, so that
+    texts need not move; beyond it the join is a shuffle."""
+    gone = jaccard_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    if gone.limit(jaccard_join.BROADCAST_IDS + 1).count() <= jaccard_join.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
