@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators; thin digests over what the operators return."""
+"""Registered queries of the operators; thin digests over what the operators return."""
 
 from __future__ import annotations
 
@@ -84,8 +84,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .prefix_bpe import encode_documents
+
+    found = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_license_scan, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_license_scan, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join, op12_bpe_trie)}
 
 
 # ---- the same in SQL, for what SQL can say -----------------------------------------------------------------------------------
