@@ -84,6 +84,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 def op12_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,8 +100,14 @@ def op12_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_license_scan, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join, op12_bpe_trie)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_license_scan, op7_pii, op8_sentencepiece, op9_embedding_near_dedup, op10_jaccard_join, op11_centroids, op12_bpe_trie, op13_whitening)}
 
 
 # ---- the same in SQL, for what SQL can say -----------------------------------------------------------------------------------
@@ -138,6 +151,14 @@ OP9 = f"""WITH RECURSIVE pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddi
 l AS (SELECT a, count(*) AS n FROM ed GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN l ON l.a = vec_id LEFT JOIN m ON m.id = vec_id"""
 
+NEAREST = """a{0} AS MATERIALIZED (SELECT rid, (m % 16)::INT AS c, m // 16 AS d FROM (SELECT rid, min(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - cc.v[i]) * (k.v[i] - cc.v[i])))::HUGEINT * 16 + cc.c) AS m FROM k CROSS JOIN c{0} cc GROUP BY rid))"""
+MEANS = """m{1} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (SELECT c, i, sum(x) AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{0} JOIN k USING (rid)) GROUP BY c, i) GROUP BY c),
+c{1} AS MATERIALIZED (SELECT cc.c, coalesce(m{1}.v, cc.v) AS v FROM c{0} cc LEFT JOIN m{1} ON m{1}.c = cc.c)"""
+OP11 = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM k ORDER BY h NULLS LAST, v LIMIT 16)),
+{", ".join(NEAREST.format(r) + ", " + MEANS.format(r, r + 1) for r in range(3))}, {NEAREST.format(3)}
+SELECT vec_id, c3.c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c3.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM k JOIN a3 USING (rid) JOIN c3 ON c3.c = a3.c"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op5_suffix_dedup": OP5, "op9_embedding_near_dedup": OP9, "op10_jaccard_join": OP10}
+    return {"op1_substring_dedup": OP1, "op5_suffix_dedup": OP5, "op9_embedding_near_dedup": OP9, "op10_jaccard_join": OP10, "op11_centroids": OP11}
