@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -17,10 +18,18 @@ from .common import resident, runs_of_rows, text_bytes
 
 #: ASCII white space ends every word of the pre-tokenizer, and no normal form reaches across it.
 _CHUNKS = re.compile(r"[^\t-\r ]+")
-_PLAIN = re.compile(r"[!-~]+")
+_PLAIN = re.compile("[!-~\xa1-\u017f]+")
+_LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _NEVER = 1 << 60
 
 
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: itself where it is a visible sign of Latin-1, the next after U+00FF otherwise."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return [chr(b) if b in set(seen) else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class PrefixTrie:
     """BPE encodings of words (tuples of symbol ids), with the prefixes that words share encoded once.
 
@@ -30,7 +39,7 @@ class PrefixTrie:
     precede their children.
     """
 
-    def __init__(self, units: Iterable[int], merges: list[tuple[int, int, int]], shared_depth: int = 64, keep_nodes: int = 1_500_000):
+    def __init__(self, units: Iterable[int], merges: list[tuple[int, int, int]], shared_depth: int = 64, keep_nodes: int = 800_000):
         """merges: (left, right, merged) by falling priority. Prefixes of up to shared_depth symbols are shared; what a longer word has beyond them is a
         branch that goes when the word is encoded. Past keep_nodes the trie starts again."""
         self.rank = {(a, b): (k, c) for k, (a, b, c) in reversed([*enumerate(merges)])}
@@ -109,7 +118,7 @@ class PrefixTrie:
             good = self._apart(self._steps(left), right)
             if good is None:
                 good = self._merged(self.spelt[left] + self.spelt[token])[0] == [left, token]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 400_000:
             self.fits.clear()
         self.fits[left * self.width + token] = good
         return good
@@ -150,15 +159,29 @@ class PrefixTrie:
         """Token ids of each distinct word. In sorted order the words walk the trie depth first."""
         if len(self.last) > self.keep_nodes:
             self._clear()
-        out, child, width, last, begin = {}, self.child, self.width, self.last, self.begin
+        out, child, width, state, last, begin = {}, self.child, self.width, self.state, self.last, self.begin
+        go, fits, token_at, shorter, length = self.go, self.fits, self.token_at, self.shorter, self.length
         for word in sorted(set(words)):
             path = [0]
             node = 0
             for s in word[: self.shared_depth]:
                 key = node * width + s
-                node = child.get(key)
-                if node is None:
-                    node = child[key] = self._grow(path, s)
+                below = child.get(key)
+                if below is None:
+                    below = child[key] = len(last)
+                    at = go.get(state[node] * width + s)  # what _grow does, where all is known
+                    if at is not None:
+                        token = token_at[at]
+                        if token < 0:
+                            token = token_at[shorter[at]]
+                        start = path[-length[token]]
+                    if at is not None and fits.get(last[start] * width + token):
+                        state.append(at)
+                        last.append(token)
+                        begin.append(start)
+                    else:
+                        self._grow(path, s)
+                node = below
                 path.append(node)
             top = len(last)
             for s in word[self.shared_depth :]:
@@ -176,77 +199,94 @@ class PrefixTrie:
 
 
 class WordEncoder:
-    """Ids of whole texts by a word-end BPE of the tokenizers library, whose normalizer and pre-tokenizer are applied to each distinct chunk between
+    """Ids of whole texts by a byte-level word-end BPE of the tokenizers library, whose normalizer and pre-tokenizer are applied to distinct chunks between
     ASCII white space; the library's model is not run."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], spec["added_tokens"]
         odd = [k for k in ("dropout", "continuing_subword_prefix", "ignore_merges") if model.get(k)] + [t["content"] for t in added if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or _CHUNKS.fullmatch(t["content"]) is None]
-        if model["type"] != "BPE" or odd or spec["decoder"] or spec["post_processor"]:
-            raise ValueError(f"not a plain word-end BPE: {odd or model['type']}")
-        vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if model["type"] != "BPE" or odd or spec["decoder"] or spec["post_processor"] or [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] != [("ByteLevel", False, False)]:
+            raise ValueError(f"not a plain byte-level word-end BPE: {odd or model['type']}")
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        made = {a + b for a, b in pairs}
-        self.unit = {t: i for t, i in vocab.items() if t not in made}
-        self.trie = PrefixTrie(self.unit.values(), [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        letters = _byte_letters()
+        self.inner, self.final = [vocab[c] for c in letters], [vocab[c + end] for c in letters]
+        self.byte = {c: b for b, c in enumerate(letters)}
+        self.trie = PrefixTrie({*self.inner, *self.final}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in added}
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         names = [""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, i in (vocab | self.added).items():
             names[i] = t
-        self.names = pa.array(names)
+        self.names = pa.array(names, pa.large_string())
         tokenizer = Tokenizer.from_file(path)
         self.normal, self.cut = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.known: dict[str, bytes] = {}
-        self.keep = keep
-        # of printable ASCII the normal form is its lower case, its byte-level form is itself, and its letters and digits are few
-        plain = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-        split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.plain = None
-        if (spec["normalizer"] or {}).get("normalizers") == plain and split.get("invert") and split.get("behavior") == "Removed" and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]:
-            self.plain = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
-
-    def _signs(self, word: str) -> tuple[int, ...]:
-        return (*map(self.unit.__getitem__, word[:-1]), self.unit[word[-1] + self.end])
-
-    def _words(self, text: str) -> list[str]:
+        self.words: dict[bytes, bytes] = {}
+        self.once: set[int] = set()
+        self.keep, self.plain = keep, None
+        # of simple signs the normal form is the lower case, and which are letters and digits can be listed
+        split = cuts[0]
+        if (spec["normalizer"] or {}).get("normalizers") == _LOWERED and split["type"] == "Split" and split["invert"] and split["behavior"] == "Removed":
+            kind = lambda k: "".join(re.escape(chr(i)) for i in (*range(33, 127), *range(0xA1, 0x180)) if unicodedata.category(chr(i))[0] == k)
+            self.plain = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", kind("L")).replace(r"\p{N}", kind("N")))
+
+    def _words(self, text: str) -> list[bytes]:
+        """UTF-8 of the words that the pre-tokenizer makes of a text."""
         if self.plain is not None and _PLAIN.fullmatch(text):
-            return self.plain.findall(text.lower())
+            return [w.encode() for w in self.plain.findall(text.lower())]
         if self.normal is not None:
             text = self.normal.normalize_str(text)
-        return [w for w, _ in self.cut.pre_tokenize_str(text)] if self.cut is not None else [text]
+        return [bytes([self.byte[c] for c in w]) for w, _ in self.cut.pre_tokenize_str(text) if w]
 
     def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of distinct chunks: added tokens stand for themselves, all else is cut to words, and new words go to the trie together."""
+        if len(self.words) > self.keep:
+            self.words.clear()
         cut: dict[str, list] = {}
+        new: set[bytes] = set()
+        known, added = self.words, self.added
         for c in chunks:
-            spans = self.split_added.split(c) if self.split_added else [c]
-            cut[c] = [s if k % 2 else self._words(s) for k, s in enumerate(spans) if s]
-        signs = {w: self._signs(w) for w in {w for spans in cut.values() for s in spans if isinstance(s, list) for w in s if w}}
+            if "<" in c and self.split_added and self.split_added.search(c):
+                cut[c] = spans = [w for k, s in enumerate(self.split_added.split(c)) for w in ([s] if k % 2 else self._words(s) if s else [])]
+            else:
+                cut[c] = spans = self._words(c)
+            new.update([w for w in spans if w not in known])
+        inner, final = self.inner, self.final
+        signs = {w: (*[inner[b] for b in w[:-1]], final[w[-1]]) for w in new if isinstance(w, bytes)}
         ids = self.trie.encode(signs.values())
-        known = {w: array("i", ids[s]).tobytes() for w, s in signs.items()}
-        return {c: b"".join(b"".join([known[w] for w in s if w]) if isinstance(s, list) else np.int32(self.added[s]).tobytes() for s in spans) for c, spans in cut.items()}
+        for w, s in signs.items():
+            known[w] = array("i", ids[s]).tobytes()
+        out = {c: known[w[0]] if len(w) == 1 and isinstance(w[0], bytes) else b"".join([known[x] if isinstance(x, bytes) else array("i", [added[x]]).tobytes() for x in w]) for c, w in cut.items()}
+        for w in [w for w in new if len(w) > 64]:
+            del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [_CHUNKS.findall(t) for t in texts]
-        new = {c for row in rows for c in row} - self.known.keys()
-        if new:
-            if len(self.known) > self.keep:
-                self.known.clear()
-                new = {c for row in rows for c in row}
-            self.known.update(self.learn(new))
-        out = [b"".join([self.known[c] for c in row]) for row in rows]
-        for c in [c for c in new if len(c) > 64]:
-            del self.known[c]
+        """Ids of each text. Chunks met for the second time stay known."""
+        rows, known, once = [_CHUNKS.findall(t) for t in texts], self.known, self.once
+        if len(known) > self.keep:
+            known.clear()
+        if len(once) > 2 * self.keep:
+            once.clear()
+        new = self.learn({c for row in rows for c in row if c not in known})
+        again = {c: ids for c, ids in new.items() if hash(c) in once and len(c) <= 64}
+        once.update([hash(c) for c in new if c not in again])
+        known.update(new)
+        get = known.__getitem__
+        out = [b"".join(map(get, row)) for row in rows]
+        for c in new.keys() - again.keys():
+            del known[c]
         return out
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """What the library's decode gives with special tokens kept: this tokenizer has no decoder, so tokens are joined by a space."""
-        signs = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), self.names.cast(pa.large_string()).take(ids.values))
+        signs = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), self.names.take(ids.values))
         return pc.binary_join(signs, pa.scalar(" ", pa.large_string()))
 
 
@@ -267,7 +307,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, decoded: bool = False, id:
         own = encoder(tokenizer)
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
-            for lo, hi in runs_of_rows(offsets, 4_000_000):
+            for lo, hi in runs_of_rows(offsets, 2_000_000):
                 some = batch.slice(lo, hi - lo)
                 ids = own.encode([t or "" for t in some.column(1).to_pylist()])
                 n = np.array([len(x) // 4 for x in ids], np.int64)
