@@ -34,7 +34,7 @@ def _folds() -> tuple[str, str]:
 
 def fold_accents(c: Column) -> Column:
     """Accented letters to their bases; loose accents dropped."""
-    return F.regexp_replace(F.translate(c, *_folds()), "[\\u0300-\\u036f]", "")
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(c, *_folds()), "[\\u0300-\\u036f]", "")).otherwise(c)
 
 
 def collapse_ws(c: Column) -> Column:
@@ -42,8 +42,7 @@ def collapse_ws(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    plain = F.regexp_replace(fold_accents(F.lower(c)), r"(?U)[^a-z0-9\s]", " ")
-    return F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(fold_accents(F.lower(c)), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def shingles_of(w: Column, k: int = 3) -> Column:
@@ -71,6 +70,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def jaccard_of_sizes(na: Column, nb: Column, both: Column) -> Column:
+    """jaccard of sets of na and nb members, both of them in common."""
+    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(both / (na + nb - both))
+
+
+def containment_of_sizes(na: Column, nb: Column, both: Column) -> Column:
+    return F.when((na == 0) | (nb == 0), 0.0).otherwise(both / F.least(na, nb))
+
+
 def containment_of(a: Column, b: Column) -> Column:
     """Shared share of the smaller; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
@@ -121,12 +129,19 @@ def title_overlap_of(na: Column, nb: Column, ta: Column, tb: Column) -> Column:
     return F.when((na == "") & (nb == ""), 1.0).when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0).otherwise(jaccard(ta, tb))
 
 
+def title_series(n: Column) -> Column:
+    """struct(stem, number) of a normalised title: what is left without a number at its end, and that number."""
+    return F.struct(F.trim(F.regexp_replace(n, SERIES, "")).alias("stem"), F.regexp_extract(n, SERIES, 1).alias("number"))
+
+
+def is_sequel(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+    """Whether titles differ only in their number in a series; from normalised titles and their title_series."""
+    return (na != "") & (nb != "") & (na != nb) & (sa.stem == sb.stem) & (sa.number != sb.number)
+
+
 def title_similarity_of(na: Column, nb: Column, ta: Column, tb: Column) -> Column:
     """title_overlap_of, but 0 for titles that differ only in their number in a series."""
-    stem = lambda n: F.trim(F.regexp_replace(n, SERIES, ""))
-    number = lambda n: F.regexp_extract(n, SERIES, 1)
-    sequel = (na != "") & (nb != "") & (na != nb) & (stem(na) == stem(nb)) & (number(na) != number(nb))
-    return F.when(sequel, 0.0).otherwise(title_overlap_of(na, nb, ta, tb))
+    return F.when(is_sequel(na, nb, title_series(na), title_series(nb)), 0.0).otherwise(title_overlap_of(na, nb, ta, tb))
 
 
 def title_overlap(a: Column, b: Column) -> Column:

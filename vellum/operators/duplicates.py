@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.sources.scratch import release, settle, spread
 
 # Thresholds of the verdict and the wording of its reasons.
 TITLE, SHINGLES, EMBEDDING, CONTAINED, FLAG, LIKELY, GATE = 0.55, 0.7, 0.93, 0.9, 0.5, 0.85, 0.35
@@ -18,14 +19,6 @@ SAME_PAGES = "Both have the same number of pages."
 WITHIN = "One of these appears in full inside the other — it may be a reprint rather than a duplicate."
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder (spark.checkpoint.dir, or one beside the warehouse where unset)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def verdict(title: Column, shingles: Column, containment: Column, embedding: Column, sha256_equal: Column, md5_equal: Column, same_pages: Column) -> Column:
     """struct(score, level, reasons) from the signals; a missing one counts as nothing."""
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -56,41 +49,100 @@ def verdict(title: Column, shingles: Column, containment: Column, embedding: Col
     return F.element_at(F.transform(F.array(signals), judge), 1)
 
 
-def _within(classes: DataFrame, key: str, new: DataFrame | None) -> DataFrame:
-    """(a, b), a < b: pairs of rows (id, key) with one key; with new, those of a new row and any other."""
-    x = classes.where(F.col(key).isNotNull()).select(F.col("id").alias("x"), key)
-    y = x.select(F.col("x").alias("y"), key)
-    if new is not None:
-        y = y.join(new.select(F.col("id").alias("y")), "y", "left_semi")
-    met = x.join(y, key).where("x < y" if new is None else "x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return met if new is None else met.distinct()
+class Classes(NamedTuple):
+    """Copies as classes. members (id, rep, n): rows with equal keys, named by the smallest id, n of them. links (a, b, ...): pairs of representatives."""
 
+    members: DataFrame
+    links: DataFrame
 
-def prefix_pairs(sets: DataFrame, percent: int, id: str = "id", members: str = "members", new: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: every pair of sets whose Jaccard may reach percent / 100, each once; with new (id), those with a new side.
-
-    Equal sets are one class. Classes that do share one of their rarest n - ceil(percent n / 100) + 1 members, and neither is smaller than
-    that share of the other. So copies meet once as classes, and are told apart only in the rows that come out."""
-    whole = sets.select(F.col(id).alias("id"), F.array_sort(members).alias("s")).withColumn("k", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(1), "s")))
-    member = whole.select("id", "k")
-    kind = settle(whole.groupBy("k").agg(F.min_by("s", "id").alias("s"), F.min("id").alias("rep"), F.count("*").alias("times")))
-    each = kind.select(F.col("rep").alias("id"), F.explode("s").alias("m"))
+
+def copy_classes(rows: DataFrame, *keys: str, id: str = "id") -> DataFrame:
+    """(id, rep, n): rows whose keys are equal are one class. Rows with a null key are in none. n rows make n rows, however many are equal."""
+    kind = rows.groupBy(*keys).agg(F.min(id).alias("rep"), F.count("*").alias("n"))
+    return rows.select(F.col(id).alias("id"), *keys).join(kind, [*keys]).select("id", "rep", "n")
+
+
+def duplicate_classes(docs: DataFrame) -> DataFrame:
+    """(kind, id, rep, n): of docs (id, title, sha256, md5), the classes of more than one row whose pairs would all be raised: same file, same checksum, same normalised title
+    (untitled rows are such a class). What candidate_pairs writes out as n * (n - 1) / 2 pairs is n rows here, and one decision."""
+    t = docs.select("id", "sha256", "md5", T.normalise_title(F.col("title")).alias("title"))
+    each = [copy_classes(t, k).where("n > 1").select(F.lit(k).alias("kind"), "id", "rep", "n") for k in ("sha256", "md5", "title")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def prefix_links(sets: DataFrame, percent: int, fresh: DataFrame | None = None) -> DataFrame:
+    """(x, y), x < y: every pair of distinct sets (id, s) whose Jaccard may reach percent / 100, once; with fresh (id), those with a side in it.
+
+    Such sets share one of their rarest n - ceil(percent n / 100) + 1 members, and neither is smaller than that share of the other. Members of one set alone are the rarest, so
+    only those that occur twice or more are ranked."""
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("m"))
     df = each.groupBy("m").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "m", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "m"))).alias("s"))
-    ranked = ranked.withColumn("n", F.size("s"))
-    rare = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int"))).alias("p")).where("p.df > 1").select("id", "n", F.col("p.m").alias("m"))
-    x, y = rare.select(F.col("id").alias("x"), F.col("n").alias("nx"), "m"), rare.select(F.col("id").alias("y"), F.col("n").alias("ny"), "m")
-    named = member.join(kind.select("k", "rep"), "k").select("id", "rep")
-    if new is not None:
-        fresh = named.join(new, "id", "left_semi").select("rep").distinct()
-        y = y.join(fresh.select(F.col("rep").alias("y")), "y", "left_semi")
-    met = x.join(y, "m").where(f"{'x < y' if new is None else 'x <> y'} and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    across = met.join(named.select(F.col("rep").alias("x"), F.col("id").alias("p")), "x").join(named.select(F.col("rep").alias("y"), F.col("id").alias("q")), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    often = each.join(df, "m").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "m"))).alias("s"))
+    left = F.size("s") - F.expr(f"({percent} * n + 99) div 100").cast("int") + 1
+    ranked = often.where(left > 0).select("id", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), left)).alias("at", "p"))
+    rare = settle(ranked.select("id", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("p.m").alias("m")))
+    x, y = (rare.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("at").alias(f"p{i}"), "m") for i in ("x", "y"))
+    if fresh is not None:
+        y = y.join(fresh.select(F.col("id").alias("y")), "y", "left_semi")
+    met = x.join(y, "m").where(f"{'x < y' if fresh is None else 'x <> y'} and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
+    if fresh is not None:
+        met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *[F.when(F.col("x") < F.col("y"), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{j}")).alias(f"{c}{i}") for c in "np" for i, j in ("xy", "yx")], "m").distinct()
+    # what two sets share before the last of these members is among these members, and what follows it is at most the rest of either
+    most = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
+    return most.where(f"(c + least(nx - px, ny - py) - 1) * {100 + percent} >= {percent} * (nx + ny)").select("x", "y")
+
+
+def expand(classes: Classes, alone: dict[str, Column], new: DataFrame | None = None) -> DataFrame:
+    """(a, b, ...), a < b: the pairs of rows that classes stand for: of linked classes, with what the link says, and within each, with the columns of alone. With new (id), those with a new side."""
+    more = [c for c in classes.links.columns if c not in ("a", "b")]
+    m = classes.members.select("id", "rep").withColumn("new", F.lit(True))
     if new is not None:
-        either = [across.join(new.select(F.col("id").alias(c)), c, "left_semi") for c in ("a", "b")]
-        across = either[0].select("a", "b").unionByName(either[1].select("a", "b")).distinct()
-    several = kind.where("times > 1").select("rep")
-    return across.unionByName(_within(named.join(several, "rep"), "rep", new))
+        m = m.drop("new").join(new.select("id", F.lit(True).alias("new")), "id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    p, q = (m.select(F.col("rep").alias(r), F.col("id").alias(i), F.col("new").alias(f"{i}_new")) for r, i in (("a", "p"), ("b", "q")))
+    pair = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")]
+    across = classes.links.join(p, "a").join(q, "b").where("p_new or q_new").select(*pair, *more)
+    several = classes.members.where("n > 1").select("id", "rep")
+    p, q = several.withColumnRenamed("id", "p"), m.where("new").select("rep", F.col("id").alias("q"), "new")
+    inside = p.join(q, "rep").where("p < q")
+    if new is not None:  # a new q meets smaller ones above, and larger ones that are not new themselves here
+        old = several.join(new, "id", "left_anti").withColumnRenamed("id", "p")
+        inside = inside.select("p", "q").unionByName(old.join(q, "rep").where("p > q").select("p", "q"))
+    return across.unionByName(inside.select(*pair, *[alone[c].alias(c) for c in more]))
+
+
+def prefix_pairs(sets: DataFrame, percent: int, id: str = "id", members: str = "members", new: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: every pair of sets whose Jaccard may reach percent / 100, each once; with new (id), those with a new side. Equal sets meet as one class."""
+    found = set_classes(sets.select(F.col(id).alias("id"), F.array_sort(members).alias("s")), percent, new)
+    return expand(found, {}, new)
+
+
+def set_classes(sets: DataFrame, percent: int, new: DataFrame | None = None) -> Classes:
+    """Equal sets (id, s sorted) as classes, and the links that prefix_links finds between them."""
+    named = sets.withColumn("h", F.xxhash64("s")).withColumn("g", F.xxhash64(F.lit(1), "s"))
+    members = settle(copy_classes(named, "h", "g"))
+    fresh = None if new is None else members.join(new, "id", "left_semi").select(F.col("rep").alias("id")).distinct()
+    own = sets.join(members.where("id = rep").select("id"), "id", "left_semi")
+    return Classes(members, prefix_links(own, percent, fresh).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def title_classes(cards: DataFrame, new: DataFrame | None = None) -> Classes:
+    """Rows (id, norm, tokens) of one normalised title as a class, and the pairs of classes whose titles overlap by GATE or more, with overlap and similarity."""
+    members = settle(copy_classes(cards, "norm"))
+    own = settle(cards.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "norm", "tokens", T.title_series(F.col("norm")).alias("series")).dropDuplicates(["id"]))
+    fresh = None if new is None else members.join(new, "id", "left_semi").select(F.col("rep").alias("id")).distinct()
+    sets = own.where("norm <> ''").select("id", F.array_sort(F.transform("tokens", lambda w: F.xxhash64(w))).alias("s"))
+    links = prefix_links(sets, int(GATE * 100), fresh)
+    side = lambda k: own.select(F.col("id").alias(k), F.col("norm").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("series").alias(f"s{k}"))
+    both, of = links.join(side("x"), "x").join(side("y"), "y"), [F.col(c) for c in ("nx", "ny", "tx", "ty", "sx", "sy")]
+    both = both.select(F.col("x").alias("a"), F.col("y").alias("b"), T.title_overlap_of(*of[:4]).alias("overlap"), T.is_sequel(of[0], of[1], *of[4:]).alias("sequel")).where(F.col("overlap") >= GATE)
+    return Classes(members, settle(both.select("a", "b", "overlap", F.when(F.col("sequel"), 0.0).otherwise(F.col("overlap")).alias("title"))))
+
+
+def title_pairs(docs: DataFrame, new_ids: DataFrame | None = None) -> DataFrame:
+    """(a, b, overlap, title): pairs of rows (id, title) whose titles overlap by GATE or more, compared once for each pair of different titles."""
+    new = None if new_ids is None else new_ids.select(F.col(new_ids.columns[0]).alias("id")).distinct()
+    cards = settle(spread(docs.select("id", "title")).select("id", T.normalise_title(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("tokens")))
+    return expand(title_classes(cards, new), {"overlap": F.lit(1.0), "title": F.lit(1.0)}, new)
 
 
 def candidate_pairs(docs: DataFrame, cosines: DataFrame | None = None, new_ids: DataFrame | None = None) -> DataFrame:
@@ -98,13 +150,12 @@ def candidate_pairs(docs: DataFrame, cosines: DataFrame | None = None, new_ids:
 
     Such a pair shares a checksum, or has titles with overlap of GATE or more, or two empty titles, or cosine of EMBEDDING or
     more (cosines: a, b, cosine). Where none holds its score is below FLAG whatever the texts, so no pair is lost. new_ids: only pairs with one of
-    these are looked for, so that new rows meet the others, and these not each other."""
+    these are looked for, so that new rows meet the others, and these not each other. Pairs are what copies cost here: duplicate_classes says the same in a row each."""
     new = None if new_ids is None else new_ids.select(F.col(new_ids.columns[0]).alias("id")).distinct()
-    t = docs.select("id", "sha256", "md5", T.normalise_title(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("members"))
-    out = prefix_pairs(t.where("norm <> ''"), int(GATE * 100), new=new)
+    out = title_pairs(docs, new).select("a", "b")
     for key in ("sha256", "md5"):
-        out = out.unionByName(_within(t.select("id", key), key, new))
-    out = out.unionByName(_within(t.where("norm = ''").select("id", F.lit(1).alias("k")), "k", new))
+        none = docs.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+        out = out.unionByName(expand(Classes(copy_classes(docs, key), none), {}, new))
     if cosines is not None:
         close = cosines.where(F.col("cosine") >= EMBEDDING).select("a", "b")
         if new is not None:
@@ -113,33 +164,100 @@ def candidate_pairs(docs: DataFrame, cosines: DataFrame | None = None, new_ids:
     return out.distinct()
 
 
-def text_signals(pairs: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
-    """Add shingles (Jaccard) and containment of both texts to pairs (a, b); texts: (id, text)."""
-    sets = texts.select("id", T.shingle_ids(F.col("text"), k).alias("s"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.withColumn("shingles", T.jaccard(F.col("sa"), F.col("sb"))).withColumn("containment", T.containment_of(F.col("sa"), F.col("sb"))).drop("sa", "sb")
+#: Beyond so many shingles of both sides together a pair's sets are compared a shingle a row, so that no row holds both.
+LONG_SETS = 100_000
+
+
+def shared_counts(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, both), x < y: how many members the sets (id, s) of two ids of a group have in common, where any. groups (g, side, id): ids of different sides of g are
+    compared, and those of side -1 all with each other.
+
+    Members meet by (g, member), so work follows what is shared: at most the smaller set a pair, and no row holds a set of another."""
+    each = groups.join(sets.select("id", F.explode("s").alias("m")), "id")
+    x, y = each.select("g", "side", F.col("id").alias("x"), "m"), each.select("g", F.col("side").alias("other"), F.col("id").alias("y"), "m")
+    met = x.join(y, ["g", "m"]).where("x < y and (side < 0 or side <> other)")
+    return met.groupBy("g", "x", "y").agg(F.count("*").alias("both")).groupBy("x", "y").agg(F.max("both").alias("both"))
+
+
+def set_signals(pairs: DataFrame, sets: DataFrame, long_sets: int = LONG_SETS) -> DataFrame:
+    """pairs (a, b, ...) with shingles (Jaccard) and containment of their sets (id, s), ids once each. Two short sets come together in a row, others meet a member at a time; the result is the same."""
+    size = sets.select("id", F.size("s").alias("n"))
+    sized = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    short, long = sized.where(f"na + nb <= {long_sets}"), sized.where(f"na + nb > {long_sets}")
+    met = short.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long")).drop("sa", "sb")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("id"))))
+    groups = long.select(F.struct("a", "b").alias("g"), sides.alias("e")).select("g", "e.side", "e.id").distinct()
+    common = shared_counts(groups, sets)
+    common = common.select(F.col("x").alias("a"), F.col("y").alias("b"), "both").unionByName(common.select(F.col("y").alias("a"), F.col("x").alias("b"), "both"))
+    counted = long.join(common, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0).cast("long")))
+    out, of = met.unionByName(counted.select(*met.columns)), [F.col(c) for c in ("na", "nb", "both")]
+    return out.withColumn("shingles", T.jaccard_of_sizes(*of)).withColumn("containment", T.containment_of_sizes(*of)).drop("na", "nb", "both")
+
+
+def text_signals(pairs: DataFrame, texts: DataFrame, k: int = 3, long_sets: int = LONG_SETS) -> DataFrame:
+    """Add shingles (Jaccard) and containment of both texts to pairs (a, b); texts: (id, text). See set_signals."""
+    return set_signals(pairs, settle(texts.select("id", T.shingle_ids(F.col("text"), k).alias("s"))), long_sets)
 
 
 SCORED = ("a", "b", "score", "level", "reasons", "title", "shingles", "containment", "embedding", "sha256_equal")
 
 
+def _beside(met: DataFrame, rows: DataFrame, links: DataFrame, earlier: tuple[str, ...]) -> DataFrame:
+    """(a, b, overlap, title) of the pairs whose titles are neither equal nor linked, and whose earlier keys are not equal."""
+    side = lambda r: rows.select(F.col("id").alias(r), F.struct("t", "norm", "tokens", "sha256", "md5").alias(f"c{r}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").where("ca.t <> cb.t")
+    for key in earlier:
+        both = both.where(~F.coalesce(F.col(f"ca.{key}") == F.col(f"cb.{key}"), F.lit(False)))
+    both = both.withColumn("x", F.least("ca.t", "cb.t")).withColumn("y", F.greatest("ca.t", "cb.t")).join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+    args = [F.col(c) for c in ("ca.norm", "cb.norm", "ca.tokens", "cb.tokens")]
+    return both.select("a", "b", T.title_overlap_of(*args).alias("overlap"), T.title_similarity_of(*args).alias("title"))
+
+
 def scan(docs: DataFrame, texts: DataFrame, cosines: DataFrame | None = None, ledger: DataFrame | None = None, new_ids: DataFrame | None = None) -> DataFrame:
-    """Findings over docs (id, title, sha256, md5, page_count) and texts (id, text): pairs that are not distinct and not settled."""
-    pairs = candidate_pairs(docs, cosines, new_ids)
-    card = docs.select("id", "sha256", "md5", "page_count", T.normalise_title(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("tokens"))
-    side = lambda k: card.select(F.col("id").alias(k), F.struct("sha256", "md5", "page_count", "norm", "tokens").alias(f"c{k}"))
+    """Findings over docs (id, title, sha256, md5, page_count) and texts (id, text): pairs that are not distinct and not settled.
+
+    Titles are compared once for each pair of different titles, texts once for each pair of different shingle sets; rows of pairs come last. A pair comes from one source alone: its titles;
+    else its file, else its checksum, else its cosine."""
+    new = None if new_ids is None else new_ids.select(F.col(new_ids.columns[0]).alias("id")).distinct()
+    sets = settle(spread(texts.where(F.length("text") > 200).select("id", "text")).select("id", F.array_sort(T.shingle_ids(F.col("text"))).alias("s")).withColumn("k", F.struct(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"))))
+    cards = spread(docs.select("id", "title", "sha256", "md5", "page_count")).select("id", "sha256", "md5", "page_count", T.normalise_title(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("tokens"))
+    cards = settle(cards.join(sets.select("id", "k", F.size("s").alias("n")), "id", "left"))
+    titles = title_classes(cards, new)
+    rows = settle(cards.join(titles.members.select("id", F.col("rep").alias("t")), "id").select("id", "t", "norm", "tokens", "sha256", "md5", "page_count", "k", "n"))
+
+    # texts that a pair of titles, a title or a file brings together
+    named = rows.where("k is not null").select("t", "sha256", "k").distinct()
+    groups = named.select(F.struct(F.lit("t").alias("by"), F.col("t").cast("string").alias("x"), F.col("t").cast("string").alias("y")).alias("g"), F.lit(-1).alias("side"), "k").distinct()
+    for side, own in ((0, "a"), (1, "b")):
+        across = titles.links.join(named.select(F.col("t").alias(own), "k"), own)
+        groups = groups.unionByName(across.select(F.struct(F.lit("l").alias("by"), F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y")).alias("g"), F.lit(side).alias("side"), "k").distinct())
+    groups = groups.unionByName(named.where("sha256 is not null").select(F.struct(F.lit("f").alias("by"), F.col("sha256").alias("x"), F.lit("").alias("y")).alias("g"), F.lit(-1).alias("side"), "k").distinct())
+    several = groups.groupBy("g").agg(F.count("*").alias("of")).where("of > 1").select("g")
+    whole = sets.groupBy("k").agg(F.min("id").alias("id")).join(sets.select("id", "s"), "id").select(F.col("k").alias("id"), "s")
+    counts = shared_counts(groups.join(several, "g", "left_semi").withColumnRenamed("k", "id"), whole)
+
+    none = rows.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    pairs = expand(titles, {"overlap": F.lit(1.0), "title": F.lit(1.0)}, new)
+    for key, earlier in (("sha256", ()), ("md5", ("sha256",))):
+        pairs = pairs.unionByName(_beside(expand(Classes(copy_classes(rows, key), none), {}, new), rows, titles.links, earlier))
+    if cosines is not None:
+        close = cosines.where(F.col("cosine") >= EMBEDDING).select("a", "b")
+        if new is not None:
+            close = close.join(new.select(F.col("id").alias("a"), F.lit(True).alias("na")), "a", "left").join(new.select(F.col("id").alias("b"), F.lit(True).alias("nb")), "b", "left").where("na or nb").select("a", "b")
+        pairs = pairs.unionByName(_beside(close, rows, titles.links, ("sha256", "md5")))
+    if ledger is not None:
+        pairs = pairs.join(ledger.where("status <> 'pending'").select("a", "b"), ["a", "b"], "left_anti")
+
+    side = lambda r: rows.select(F.col("id").alias(r), F.struct("sha256", "md5", "page_count", "k", "n").alias(f"c{r}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    of = lambda f: f(F.col("ca.norm"), F.col("cb.norm"), F.col("ca.tokens"), F.col("cb.tokens"))
-    p = p.withColumn("overlap", of(T.title_overlap_of)).withColumn("title", of(T.title_similarity_of))
-    p = p.withColumn("sha256_equal", F.coalesce(F.col("ca.sha256") == F.col("cb.sha256"), F.lit(False))).withColumn("md5_equal", F.coalesce(F.col("ca.md5") == F.col("cb.md5"), F.lit(False)))
-    p = p.withColumn("same_pages", F.coalesce(F.col("ca.page_count") == F.col("cb.page_count"), F.lit(False))).drop("ca", "cb")
-    readable = texts.where(F.length("text") > 200)
-    gated = text_signals(p.where((F.col("overlap") >= GATE) | F.col("sha256_equal")).select("a", "b"), readable)
-    p = p.join(gated, ["a", "b"], "left")
+    equal = lambda c: F.coalesce(F.col(f"ca.{c}") == F.col(f"cb.{c}"), F.lit(False))
+    p = p.select("a", "b", "overlap", "title", equal("sha256").alias("sha256_equal"), equal("md5").alias("md5_equal"), equal("page_count").alias("same_pages"), F.col("ca.n").alias("na"), F.col("cb.n").alias("nb"), F.least("ca.k", "cb.k").alias("x"), F.greatest("ca.k", "cb.k").alias("y"))
+    p = p.join(counts, ["x", "y"], "left")
+    both = F.when(F.col("x") == F.col("y"), F.col("na")).otherwise(F.coalesce("both", F.lit(0)))
+    seen = ((F.col("overlap") >= GATE) | F.col("sha256_equal")) & F.col("na").isNotNull() & F.col("nb").isNotNull()
+    p = p.withColumn("shingles", F.when(seen, T.jaccard_of_sizes(F.col("na"), F.col("nb"), both))).withColumn("containment", F.when(seen, T.containment_of_sizes(F.col("na"), F.col("nb"), both)))
     p = p.join(cosines.select("a", "b", F.col("cosine").alias("embedding")), ["a", "b"], "left") if cosines is not None else p.withColumn("embedding", F.lit(None).cast("double"))
     p = p.withColumn("v", verdict(F.col("title"), F.col("shingles"), F.col("containment"), F.col("embedding"), F.col("sha256_equal"), F.col("md5_equal"), F.col("same_pages"))).where("v.level <> 'distinct'")
-    if ledger is not None:
-        p = p.join(ledger.where("status <> 'pending'").select("a", "b"), ["a", "b"], "left_anti")
     some = lambda c: F.when(F.col(c) != 0, F.round(c, 3)).alias(c)
     return p.select("a", "b", "v.score", "v.level", "v.reasons", F.round("title", 3).alias("title"), some("shingles"), some("containment"), some("embedding"), "sha256_equal")
 
@@ -173,11 +291,10 @@ def settle_stuck(staged: DataFrame, existing: DataFrame) -> DataFrame:
 
 def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, cluster): what pairs connect, named by its smallest id. Labels of neighbours are taken by a partial aggregate, handed to
-    the label held before and then jump; each round is checkpointed, and rounds go on until no label falls."""
+    the label held before and then jump; each round is a table that goes when the next is written, and rounds go on until no label falls."""
     both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = settle(both.union(both.select("v", "u")).distinct())
-    label = both.select(F.col("u").alias("id")).distinct().withColumn("cluster", F.col("id"))
-    met = None
+    label, met = both.select(F.col("u").alias("id")).distinct().withColumn("cluster", F.col("id")), None
     while True:
         seen = both.join(label.select(F.col("id").alias("v"), F.col("cluster").alias("c")), "v").select("u", "c")
         if met is not None:
@@ -185,19 +302,32 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = seen.groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
         mid = label.join(near, "id").select("id", F.least("cluster", "c").alias("mid"), F.col("cluster").alias("old"), "c")
         jump = label.select(F.col("id").alias("mid"), F.col("cluster").alias("top"))
-        met = settle(mid.join(jump, "mid").select("id", F.least("mid", "top").alias("cluster"), "old", "c"))
+        before, met = met, settle(mid.join(jump, "mid").select("id", F.least("mid", "top").alias("cluster"), "old", "c"))
+        if before is not None:
+            release(before)
         label = met.select("id", "cluster")
         if not met.where("cluster <> old").limit(1).count():
+            release(both)
             return label
 
 
+def class_clusters(classes: Classes) -> DataFrame:
+    """(id, cluster): clusters over representatives; the members of a class follow theirs, and copies that nothing else is linked with are a cluster too. Linear in the rows."""
+    linked = clusters(classes.links).withColumnRenamed("id", "rep")
+    return classes.members.join(linked, "rep", "left").where("n > 1 or cluster is not null").select("id", F.coalesce("cluster", "rep").alias("cluster"))
+
+
+def near_duplicate_classes(docs: DataFrame, least: float = 0.7, k: int = 3, id: str = "doc_id", text: str = "text") -> Classes:
+    """Texts of equal shingle sets as classes, and the pairs of representatives with Jaccard of at least `least`, exactly, with jaccard and containment. Texts without shingles are left out."""
+    sets = settle(spread(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", F.array_sort(T.shingle_ids(F.col("text"), k)).alias("s"))).where(F.size("s") > 0)
+    found = set_classes(sets, int(round(least * 100)))
+    links = set_signals(settle(found.links), sets).where(F.col("shingles") >= least)
+    return Classes(found.members, settle(links.select("a", "b", F.col("shingles").alias("jaccard"), "containment")))
+
+
 def corpus_near_duplicates(docs: DataFrame, least: float = 0.7, k: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, jaccard, containment): pairs of texts with shingle Jaccard of at least `least`, exactly."""
-    sets = settle(docs.select(F.col(id).alias("id"), T.shingle_ids(F.col(text), k).alias("members")).where(F.size("members") > 0))
-    met = prefix_pairs(sets, int(least * 100))
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-    out = both.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"), T.containment_of(F.col("sa"), F.col("sb")).alias("containment"))
-    return out.where(F.col("jaccard") >= least)
+    """(a, b, jaccard, containment): pairs of texts with shingle Jaccard of at least `least`, exactly: the rows that near_duplicate_classes stands for."""
+    return expand(near_duplicate_classes(docs, least, k, id, text), {"jaccard": F.lit(1.0), "containment": F.lit(1.0)})
 
 
 def title_groups(docs: DataFrame, title: str = "title") -> DataFrame:
@@ -214,18 +344,19 @@ def pending_review(pairs: DataFrame, cards: DataFrame, n: int = 20) -> DataFrame
 
 
 def containment_pairs(docs: DataFrame, least: float = 0.9, k: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, containment): pairs of texts that share at least `least` of the smaller shingle set, exactly.
+    """(a, b, containment): pairs of texts that share at least `least` of the smaller shingle set, exactly. Copies meet as classes.
 
     Of the smaller set's rarest n - ceil(least n) + 1 shingles one is in the larger, so only those are looked up among all shingles that
     occur twice or more."""
-    sets = settle(docs.select(F.col(id).alias("id"), T.shingle_ids(F.col(text), k).alias("members")).where(F.size("members") > 0))
-    each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("m"))
+    sets = settle(spread(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", F.array_sort(T.shingle_ids(F.col("text"), k)).alias("s"))).where(F.size("s") > 0)
+    members = settle(copy_classes(sets.withColumn("h", F.xxhash64("s")).withColumn("g", F.xxhash64(F.lit(1), "s")), "h", "g"))
+    each = sets.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", F.size("s").alias("n"), F.explode("s").alias("m"))
     df = each.groupBy("m").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "m", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "m"))).alias("s"))
-    percent = int(round(least * 100))
-    rare = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).cast("int"))).alias("p")).where("p.df > 1")
-    small = rare.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p.m").alias("m"))
-    large = each.join(df.select("m"), "m", "left_semi").select(F.col("id").alias("y"), F.col("n").alias("ny"), "m")
-    met = small.join(large, "m").where("x <> y and (nx < ny or nx = ny)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-    return both.select("a", "b", T.containment_of(F.col("sa"), F.col("sb")).alias("containment")).where(F.col("containment") >= least)
+    often = settle(each.join(df, "m"))
+    ranked = often.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "m"))).alias("s"))
+    left = F.size("s") - F.expr(f"({int(round(least * 100))} * n + 99) div 100").cast("int") + 1
+    small = ranked.where(left > 0).select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("s", F.lit(1), left)).alias("p")).select("x", "nx", F.col("p.m").alias("m"))
+    large = often.select(F.col("id").alias("y"), F.col("n").alias("ny"), "m")
+    met = small.join(large, "m").where("x <> y and nx <= ny").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = set_signals(settle(met), sets).select("a", "b", "containment").where(F.col("containment") >= least)
+    return expand(Classes(members, links), {"containment": F.lit(1.0)})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions import text as T
-from vellum.operators.duplicates import settle
+from vellum.sources.scratch import settle
 from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_order, paginate, rank_lists, readable_text, sort_key, top_n_per_group, topics_for, with_uncategorised
 
 # Weights of the lists and of the fields, the constant of reciprocal ranks, bounds.

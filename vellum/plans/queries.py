@@ -84,12 +84,20 @@ def title_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TITLES} SELECT a, b, round(overlap, 6) AS overlap, round(CASE WHEN sequel THEN 0.0 ELSE overlap END, 6) AS similarity FROM tp WHERE overlap >= 0.35")
 def title_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), first_line().alias("title"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("md5"))
-    met = duplicates.candidate_pairs(t)
-    side = lambda k: t.select(F.col("id").alias(k), T.normalise_title(F.col("title")).alias(f"n{k}"), T.title_tokens(F.col("title")).alias(f"t{k}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    args = [F.col(c) for c in ("na", "nb", "ta", "tb")]
-    return both.select("a", "b", F.round(T.title_overlap_of(*args), 6).alias("overlap"), F.round(T.title_similarity_of(*args), 6).alias("similarity")).where("overlap >= 0.35")
+    met = duplicates.title_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), first_line().alias("title")))
+    return met.select("a", "b", F.round("overlap", 6).alias("overlap"), F.round("title", 6).alias("similarity"))
+
+
+@query(f"""WITH {TITLES}, k AS (SELECT d.doc_id AS id, sha256(d.text) AS sha256, md5(lower(d.text)) AS md5, t.n AS title FROM documents d JOIN t ON t.doc_id = d.doc_id), u AS (SELECT 'sha256' AS kind, id, sha256 AS v FROM k UNION ALL SELECT 'md5', id, md5 FROM k UNION ALL SELECT 'title', id, title FROM k),
+c AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, v) AS rep, count(*) OVER (PARTITION BY kind, v) AS n FROM u WHERE v IS NOT NULL) SELECT kind, id, rep, n FROM c WHERE n > 1""")
+def duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), first_line().alias("title"), F.sha2("text", 256).alias("sha256"), F.md5(F.lower("text")).alias("md5"))
+    return duplicates.duplicate_classes(docs)
+
+
+@query(f"""WITH {SHINGLED}, s AS (SELECT doc_id, list(g ORDER BY g) AS s FROM e GROUP BY doc_id) SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS n FROM s""")
+def shingle_classes(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.near_duplicate_classes(table(spark, d, "documents")).members
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +122,30 @@ def duplicate_findings(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d).select("a", "b", "score", "level", "title")
 
 
+FIVE = f"""{TITLES}, {SHARED}, h AS (SELECT doc_id, sha256(text) AS sha, md5(lower(text)) AS m5, doc_id % 7 AS pc, length(text) > 200 AS long FROM documents),
+co AS (SELECT x.vec_id AS a, y.vec_id AS b, least(1.0::DOUBLE, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) + 0.5) AS e FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4),
+cand AS (SELECT a, b FROM tp WHERE overlap >= 0.35 UNION SELECT x.doc_id, y.doc_id FROM h x JOIN h y ON x.doc_id < y.doc_id AND x.sha = y.sha UNION SELECT x.doc_id, y.doc_id FROM h x JOIN h y ON x.doc_id < y.doc_id AND x.m5 = y.m5 UNION SELECT a, b FROM co WHERE e >= 0.93),
+sig AS (SELECT cand.a, cand.b, CASE WHEN sequel THEN 0.0 ELSE coalesce(overlap, 0.0) END AS t, hx.sha = hy.sha AS same, hx.m5 = hy.m5 AS same5, hx.pc = hy.pc AS pages, coalesce(e, 0) AS e,
+  CASE WHEN (coalesce(overlap, 0) >= 0.35 OR hx.sha = hy.sha) AND hx.long AND hy.long THEN coalesce(k::DOUBLE / (na + nb - k), 0) ELSE 0 END AS s, CASE WHEN (coalesce(overlap, 0) >= 0.35 OR hx.sha = hy.sha) AND hx.long AND hy.long THEN coalesce(k::DOUBLE / least(na, nb), 0) ELSE 0 END AS c
+  FROM cand JOIN h hx ON hx.doc_id = cand.a JOIN h hy ON hy.doc_id = cand.b LEFT JOIN tp ON tp.a = cand.a AND tp.b = cand.b LEFT JOIN p ON p.a = cand.a AND p.b = cand.b LEFT JOIN co ON co.a = cand.a AND co.b = cand.b),
+f1 AS (SELECT *, greatest(CASE WHEN s >= .7 THEN s ELSE s * .6 END, CASE WHEN e >= .93 THEN e * .95 ELSE e * .5 END, CASE WHEN t >= .55 THEN t * .8 ELSE t * .35 END)::DOUBLE AS f, (t >= .55)::INT + (s >= .7)::INT + (e >= .93)::INT AS passed FROM sig),
+f2 AS (SELECT *, CASE WHEN passed >= 2 THEN least(1.0, f + .1) ELSE f END AS g FROM f1), f3 AS (SELECT *, CASE WHEN pages AND passed >= 1 THEN least(1.0, g + .03) ELSE g END AS i FROM f2),
+v AS (SELECT *, CASE WHEN same OR same5 THEN 1.0 WHEN c >= .9 THEN greatest(i, .55) ELSE i END AS z FROM f3)"""
+
+
+@query(f"WITH {FIVE} SELECT a, b, round(z, 3) AS score, CASE WHEN same OR same5 THEN 'identical' WHEN z >= .85 THEN 'likely' ELSE 'possible' END AS level, CASE WHEN e <> 0 THEN round(e, 3) END AS embedding, CASE WHEN c <> 0 THEN round(c, 3) END AS containment FROM v WHERE z >= .5")
+def five_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The scan with titles, texts, cosines, checksums and page counts."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    cards = docs.select(F.col("doc_id").alias("id"), first_line().alias("title"), F.sha2("text", 256).alias("sha256"), F.md5(F.lower("text")).alias("md5"), (F.col("doc_id") % 7).alias("page_count"))
+    cosines = vectors.similar_pairs(e.select(F.col("vec_id").alias("id"), "embedding"), 0.4).withColumn("cosine", F.least(F.lit(1.0), F.col("cosine") + 0.5))
+    return duplicates.scan(cards, docs.select(F.col("doc_id").alias("id"), "text"), cosines).select("a", "b", "score", "level", "embedding", "containment")
+
+
 @query(f"""WITH RECURSIVE {SHARED}, pr AS (SELECT a, b FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.7), ed AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
 r(id, c) AS (SELECT a, a FROM ed UNION SELECT ed.b, r.c FROM r JOIN ed ON ed.a = r.id) SELECT id, min(c) AS cluster FROM r GROUP BY id""")
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.clusters(duplicates.corpus_near_duplicates(table(spark, d, "documents")))
+    return duplicates.class_clusters(duplicates.near_duplicate_classes(table(spark, d, "documents")))
 
 
 @query(f"""WITH {SHARED}, f AS (SELECT a, b, round(k::DOUBLE / (na + nb - k), 3) AS found FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.7),

@@ -17,6 +17,7 @@ from vellum.plans.queries import STOPPED, TITLE, WORDS, first_line, query, table
 from vellum.plans.queries import _chunks as chunked
 from vellum.plans.queries import _queries as asked
 from vellum.sources import tables
+from vellum.sources.scratch import new_path
 from vellum.streaming import incremental
 
 STATES = ("published", "review", "staged", "processing", "rejected")
@@ -24,8 +25,7 @@ STATES = ("published", "review", "staged", "processing", "rejected")
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared one, for files that a query derives from the tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_files"
-    return f"{shared}/files-{uuid.uuid4().hex}"
+    return new_path(spark, "files")
 
 
 def hours(n) -> F.Column:
