@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions import vectors as V
-from vellum.operators import duplicates, history, layout, listing, search, topics, vectors
+from vellum.operators import ann, duplicates, history, layout, listing, search, topics, vectors
 from vellum.streaming import incremental
 
 QUERIES: dict = {}
@@ -304,6 +304,39 @@ def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_pairs(docs, 0.4).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(f"WITH {NEAR} SELECT count(*) AS neighbours, true AS recall_reached FROM n WHERE pos <= 5 AND q % 20 = 0")
+def cell_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector against all by an inverted file whose nearest cells alone are searched: how many of the true five nearest there are, and whether 0.9 of them are found."""
+    docs, _, _ = _vectors(spark, d)
+    asked = docs.where("id % 20 = 0")
+    cells = ann.build_cells(docs)
+    found = ann.nearest(asked, cells, 5, probes=-(-2 * len(cells.rows) // 3), exact=False).select("query", "item", F.lit(1).alias("hit"))
+    true = vectors.top_k(asked, docs, 5).select("query", "item")
+    return true.join(found, ["query", "item"], "left").agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+@query(f"WITH {NEAR} SELECT q AS query, i AS item, round(c, 6) AS cosine, pos::INT AS pos FROM n WHERE pos <= 5 AND q % 20 = 0")
+def cell_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector against all by an inverted file, exactly."""
+    docs, _, _ = _vectors(spark, d)
+    return ann.nearest(docs.where("id % 20 = 0"), ann.build_cells(docs), 5).withColumn("cosine", F.round("cosine", 6))
+
+
+TWINS = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, list_transform(embedding, lambda x, i: x::DOUBLE + ((vec_id * 31 + i * i * 7) % 13 - 6) * 0.007 * (1 + vec_id % 3)) FROM embeddings),
+p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS c FROM e x JOIN e y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.93)"""
+
+
+@query(f"WITH {TWINS} SELECT count(*) AS pairs, true AS all_reach, true AS recall_reached FROM p")
+def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings and a twin of each with known noise: how many pairs reach 0.93, whether all that hash tables find do, and whether they find 0.9 of them."""
+    e = table(spark, d, "embeddings")
+    noise = lambda x, i: x.cast("double") + (F.pmod(F.col("vec_id") * 31 + (i + 1) * (i + 1) * 7, F.lit(13)) - 6) * 0.007 * (1 + F.col("vec_id") % 3)
+    both = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).unionByName(e.select((F.col("vec_id") + 10000000).alias("id"), F.transform("embedding", noise).alias("embedding")))
+    true, found = vectors.similar_pairs(both, 0.93).select("a", "b", F.lit(1).alias("true")), ann.lsh_pairs(both, 0.93).select("a", "b", "cosine")
+    met = true.join(found, ["a", "b"], "full_outer")
+    return met.agg(F.count("true").alias("pairs"), F.bool_and(F.coalesce(F.col("cosine") >= 0.93, F.lit(True))).alias("all_reach"), (F.count_if(F.col("true").isNotNull() & F.col("cosine").isNotNull()) >= 0.9 * F.count("true")).alias("recall_reached"))
+
+
 @query("SELECT vec_id, abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) <= 1e-4 AS unit, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS own FROM embeddings")
 def vector_checks(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding")
@@ -317,7 +350,7 @@ b AS (SELECT v.*, row_number() OVER (PARTITION BY v.q ORDER BY w DESC, l::VARCHA
 @query(f"WITH {VOTES} SELECT q AS material_id, l::VARCHAR AS topic, round(w, 6) AS weight, votes, round(share, 6) AS share, share >= 0.4 AS strong FROM s")
 def label_suggestions(spark: SparkSession, d: str) -> DataFrame:
     docs, filings, tops = _vectors(spark, d)
-    out = topics.neighbour_vote(docs, docs, filings, tops)
+    out = topics.neighbour_vote(docs, docs, filings, tops, cells=ann.build_cells(docs))
     return out.select("material_id", "topic", F.round("weight", 6).alias("weight"), "votes", F.round("share", 6).alias("share"), "strong")
 
 
