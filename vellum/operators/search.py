@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions import text as T
-from vellum.sources.scratch import settle
 from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_order, paginate, rank_lists, readable_text, sort_key, top_n_per_group, topics_for, with_uncategorised
+from vellum.sources.scratch import settle, spread
 
 # Weights of the lists and of the fields, the constant of reciprocal ranks, bounds.
 WEIGHTS = {"meta": 1.6, "title": 1.3, "chunk": 1.0, "topic": 0.6}
@@ -68,18 +68,24 @@ def _stem(words: pd.Series) -> pd.Series:
     return words.map(porter)
 
 
-def analyze(df: DataFrame, id: str, text: str, stem: bool = True) -> DataFrame:
-    """Postings (id, term, tf, positions, doc_len) without stop words. Stems are made for distinct words alone and joined back."""
-    words = T.words(F.col(text))
-    each = df.select(F.col(id).alias("id"), F.posexplode(words).alias("at", "word")).where(~F.col("word").isin(*STOP))
-    if stem:
-        stems = each.select("word").distinct().withColumn("term", _stem("word"))
-        each = each.join(stems, "word")
-    else:
-        each = each.withColumn("term", F.col("word"))
-    post = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    lengths = each.groupBy("id").agg(F.count("*").alias("doc_len"))
-    return post.join(lengths, "id")
+def word_arrays(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, w, doc_len): the words of texts, null where a stop word stands, and how many others there are. Texts without any are left out."""
+    words = spread(df.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", F.transform(T.words(F.col("text")), lambda w: F.when(~w.isin(*STOP), w)).alias("w"))
+    return words.withColumn("doc_len", F.size(F.array_compact("w")).cast("long")).where("doc_len > 0")
+
+
+def stems_of(each: DataFrame) -> DataFrame:
+    """(word, term): stems of distinct words."""
+    return each.select("word").distinct().withColumn("term", _stem("word"))
+
+
+def analyze(df: DataFrame, id: str, text: str, stem: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """Postings (id, term, tf, positions, doc_len) without stop words. Stems are made for distinct words alone and joined back. terms (term): postings of these alone, picked before positions are gathered."""
+    each = word_arrays(df, id, text).select("id", "doc_len", F.posexplode("w").alias("at", "word")).where("word is not null")
+    each = each.join(stems_of(each), "word") if stem else each.withColumn("term", F.col("word"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")).select("id", "term", "tf", "positions", "doc_len")
 
 
 def query_terms(queries: DataFrame, column: str = "must", stem: bool = True) -> DataFrame:
@@ -112,9 +118,9 @@ def match_phrase(queries: DataFrame, postings: DataFrame, stem: bool = True) ->
     return at.groupBy("query_id", "id", (F.col("p") - F.col("nth")).alias("start")).agg(F.countDistinct("nth").alias("k")).join(n, "query_id").where("k = n").select("query_id", "id").distinct()
 
 
-def bm25(matched: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, rank) by BM25."""
-    docs = postings.select("id", "doc_len").distinct().agg(F.count("*").alias("N"), F.avg("doc_len").alias("mean"))
+def bm25(matched: DataFrame, postings: DataFrame, documents: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, rank) by BM25. documents (id, doc_len): all there are, where postings hold some terms alone."""
+    docs = (postings.select("id", "doc_len").distinct() if documents is None else documents).agg(F.count("*").alias("N"), F.avg("doc_len").alias("mean"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     x = matched.join(df, "term").join(F.broadcast(docs))  # one row
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions import vectors as V
-from vellum.operators import ann, duplicates, history, layout, listing, search, topics, vectors
+from vellum.operators import ann, duplicates, history, layout, listing, postings, search, topics, vectors
+from vellum.sources.scratch import new_path
 from vellum.streaming import incremental
 
 QUERIES: dict = {}
@@ -532,11 +533,56 @@ m AS (SELECT query_id, doc_id FROM qq JOIN p USING (term) GROUP BY 1, 2 HAVING c
 s AS (SELECT m.query_id, m.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS r FROM m JOIN qq USING (query_id) JOIN p ON p.doc_id = m.doc_id AND p.term = qq.term JOIN df ON df.term = p.term JOIN l ON l.doc_id = m.doc_id, st GROUP BY 1, 2)
 SELECT query_id, doc_id, round(r, 6) AS rank FROM s""")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    post = duplicates.settle(search.analyze(table(spark, d, "documents"), "doc_id", "text", stem=False))  # read by every use below
-    hits = search.bm25(search.match_terms(_queries(spark, d), post, stem=False), post)
+    docs, asked = table(spark, d, "documents"), _queries(spark, d)
+    words = duplicates.settle(search.word_arrays(docs, "doc_id", "text"))  # parsed once
+    each = words.select("id", "doc_len", F.posexplode("w").alias("at", "term")).join(search.query_terms(asked, stem=False).select("term").distinct(), "term", "left_semi")
+    post = duplicates.settle(each.groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf")))
+    hits = search.bm25(search.match_terms(asked, post, stem=False), post, words.select("id", "doc_len"))
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
+@query(SQL["search_bm25"])
+def stored_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranks from stored postings: half of the documents first with other texts, then a tenth that is taken out again, then all that differs; what is there equals a table made at once."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    stored = postings.PostingsTable(spark, new_path(spark, "postings"), stem=False)
+    stored.add(docs.where("id % 2 = 0").withColumn("text", F.when(F.col("id") % 4 == 0, F.reverse("text")).otherwise(F.col("text"))), 0)
+    stored.add(docs.where("id % 10 = 0").withColumn("text", F.lit(None).cast("string")), 1)
+    stored.add(docs.where("id % 2 = 1 or id % 4 = 0 or id % 10 = 0"), 2)
+    stored.add(docs.where("id % 2 = 1 or id % 4 = 0 or id % 10 = 0"), 2)  # a batch that comes twice changes nothing
+    return stored.search(_queries(spark, d)).select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+BOOLEAN = f"""q AS (SELECT item_id AS query_id, {WORDS.format("text")} AS w FROM benchmark), stop AS (SELECT unnest([{STOPPED}]) AS term),
+must AS (SELECT query_id, w[1] AS term FROM q WHERE w[1] IS NOT NULL EXCEPT SELECT query_id, w[1] FROM q JOIN stop ON term = w[1]), few AS (SELECT query_id, unnest(w[2:4]) AS term FROM q), anyof AS (SELECT DISTINCT query_id, term FROM few WHERE term NOT IN ({STOPPED})),
+ban AS (SELECT query_id, w[6] AS term FROM q WHERE w[6] NOT IN ({STOPPED})), p AS (SELECT DISTINCT doc_id, unnest({WORDS.format("text")}) AS term FROM documents)"""
+
+
+@query(f"""WITH {BOOLEAN} SELECT q.query_id, d.doc_id FROM q CROSS JOIN (SELECT DISTINCT doc_id FROM p) d WHERE (EXISTS (FROM must m WHERE m.query_id = q.query_id) OR EXISTS (FROM anyof s WHERE s.query_id = q.query_id))
+AND NOT EXISTS (FROM must m WHERE m.query_id = q.query_id AND NOT EXISTS (FROM p WHERE p.doc_id = d.doc_id AND p.term = m.term)) AND (NOT EXISTS (FROM anyof s WHERE s.query_id = q.query_id) OR EXISTS (FROM anyof s JOIN p ON p.term = s.term WHERE s.query_id = q.query_id AND p.doc_id = d.doc_id))
+AND NOT EXISTS (FROM ban b JOIN p ON p.term = b.term WHERE b.query_id = q.query_id AND p.doc_id = d.doc_id)""")
+def boolean_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Of each benchmark text the first word as a must, the next three as any, the sixth as a not."""
+    w = T.words(F.col("text"))
+    at = lambda a, n: F.slice(w, a, n)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), at(1, 1).alias("must"), at(2, 3).alias("any"), at(6, 1).alias("not"))
+    stored = postings.PostingsTable(spark, new_path(spark, "postings"), stem=False)
+    stored.add(table(spark, d, "documents"), 0, "doc_id")
+    return stored.search(asked).select("query_id", F.col("id").alias("doc_id"))
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, {WORDS.format("text")}[2:6] AS w FROM benchmark), t AS (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS nth FROM q), tt AS (SELECT * FROM t WHERE term NOT IN ({STOPPED})), n AS (SELECT query_id, count(*) AS n FROM tt GROUP BY 1),
+k AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM k)
+SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, place - nth AS s, count(*) AS c FROM tt JOIN p USING (term) GROUP BY 1, 2, 3) JOIN n USING (query_id) WHERE c = n""")
+def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold words two to six of a benchmark text in a row, stop words as gaps, from stored positions."""
+    phrase = F.slice(T.words(F.col("text")), 2, 5)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), phrase.alias("must"), F.array_join(phrase, " ").alias("phrase"))
+    stored = postings.PostingsTable(spark, new_path(spark, "postings"), stem=False)
+    stored.add(table(spark, d, "documents"), 0, "doc_id")
+    return stored.search(asked).select("query_id", F.col("id").alias("doc_id"))
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """(chunk_id, material_id, page_number, text): a chunk is named by its document and its number there, however many there are."""
     parts = docs.select("doc_id", F.posexplode(T.chunk_page(F.col("text"))).alias("n", "text"))
