@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.sources.scratch import settle, spread
 
 # Shares of a page's width and height that tell columns, headings and merged lines apart.
 BINS, LEAST_GUTTER, EDGE, CROSSING, BODY, MERGED, TALL, REACH = 200, 0.005, 0.12, 0.1, 1.2, 0.85, 1.5, 14
@@ -116,37 +119,68 @@ def chunk_material(pages: DataFrame, most: int = 350, overlap: int = 40, least:
     """(material_id, page_number, chunk, kind, text): chunks of each material's pages in order.
 
     Pages of fewer than `least` words are carried into the next; a chunk over pages has no page number and is of kind `span`. What is
-    carried at the end is kept. A material's pages are few, so they are folded in one row."""
-    lists = pages.where(F.col(text).isNotNull()).groupBy(F.col(key).alias("material_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("int").alias("page"), T.plain_words(F.col(text)).alias("w")))).alias("p"))
-    run = "struct<page:int,w:array<string>>"
-    none = F.lit(None).cast(run)
-    start = F.struct(F.array().cast(f"array<{run}>").alias("done"), none.alias("carry"))
-
-    def add(acc: Column, page: Column) -> Column:
-        held = acc["carry"]
-        w = F.when(held.isNull(), page["w"]).otherwise(F.concat(held["w"], page["w"]))
-        label = F.when(held.isNull() | (held["page"] == page["page"]), page["page"])
-        short = F.size(w) < least
-        carry = F.when(short, F.struct(page["page"].alias("page"), w.alias("w"))).otherwise(none)
-        done = F.when(short, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(label.alias("page"), w.alias("w")))))
-        return F.when(F.size(page["w"]) == 0, acc).otherwise(F.struct(done.alias("done"), carry.alias("carry")))
-
-    folded = lists.select("material_id", F.aggregate("p", start, add, lambda a: F.when(a["carry"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["carry"])))).alias("runs"))
-    runs = folded.select("material_id", F.posexplode("runs").alias("run", "r"))
-    pieces = runs.select("material_id", F.col("r.page").alias("page_number"), "run", F.posexplode(T.chunk_words(F.col("r.w"), most, overlap)).alias("part", "text"))
-    number = F.row_number().over(_by_run()) - 1
-    return pieces.withColumn("chunk", number).select("material_id", "page_number", "chunk", F.when(F.col("page_number").isNull(), "span").otherwise("page").alias("kind"), "text")
-
-
-def _by_run():
-    return W.partitionBy("material_id").orderBy("run", "part")
+    carried at the end is kept. Which pages make a run follows from their word counts alone, which a sorted scan folds page by page; texts only meet within a run, which is one page and less
+    than `least` words carried to it, so a material may have any number of pages."""
+    words = spread(pages.select(F.col(key).alias("material_id"), F.col(order).cast("int").alias("page"), F.col(text).alias("text"))).where("text is not null").select("material_id", "page", T.plain_words(F.col("text")).alias("w"))
+    each = settle(words.where(F.size("w") > 0).withColumn("at", F.row_number().over(W.partitionBy("material_id").orderBy("page", "w"))))
+    kind = each.schema["material_id"].dataType.simpleString()
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, open_pages, words_held, run, first, start = None, [], 0, 0, 0, True
+        for p in parts:
+            out: list[tuple] = []
+
+            def close(label) -> None:
+                nonlocal open_pages, words_held, run, first
+                out.extend((now, at, run, label, first) for at, _ in open_pages)
+                first += 1 if words_held <= most else -(-(words_held - most) // (most - overlap)) + 1
+                open_pages, words_held, run = [], 0, run + 1
+
+            for material, at, page, n in p.itertuples(index=False, name=None):
+                if start or not (material == now or (material is None and now is None)):
+                    if open_pages:
+                        close(open_pages[-1][1])
+                    now, run, first, start = material, 0, 0, False
+                open_pages.append((at, page))
+                words_held += n
+                if words_held >= least:
+                    close(page if len(open_pages) == 1 or open_pages[-2][1] == page else None)
+            if out:
+                yield _runs_frame(out)
+        if open_pages:
+            yield _runs_frame([(now, at, run, open_pages[-1][1], first) for at, _ in open_pages])
+
+    # ids go through the scan as text, so that a null is told from the others
+    counts = each.select(F.to_json(F.struct("material_id")).alias("m"), "at", "page", F.size("w").alias("n")).repartition("m").sortWithinPartitions("m", "at")
+    runs = counts.mapInPandas(fold, "m string, at int, run int, page_number int, first int").withColumnRenamed("m", "j")
+    named = each.withColumn("j", F.to_json(F.struct("material_id"))).join(runs, ["j", "at"])
+    joined = named.groupBy("j", "material_id", "run", "page_number", "first").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("p")).withColumn("w", F.flatten(F.col("p.w")))
+    pieces = joined.select(F.col("material_id").cast(kind).alias("material_id"), "page_number", "first", F.posexplode(T.chunk_words(F.col("w"), most, overlap)).alias("part", "text"))
+    return pieces.select("material_id", "page_number", (F.col("first") + F.col("part")).alias("chunk"), F.when(F.col("page_number").isNull(), "span").otherwise("page").alias("kind"), "text")
+
+
+def _runs_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["m", "at", "run", "page_number", "first"])
+    return out.assign(page_number=out.page_number.astype("Int32"))
+
+
+def place_in_order(df: DataFrame, by: str, *order: str, into: str = "k") -> DataFrame:
+    """df with the place (from 1) of each row among those of the same `by`, in order. Rows are dealt by ranges of by and order, so one `by` with any number of rows spreads over tasks; what is summed
+    is a count for each `by` and task."""
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = settle(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("task", F.spark_partition_id()).withColumn("nth", inside))
+    each = dealt.groupBy(by, "task").agg(F.min("nth").alias("from_nth"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(W.partitionBy(by).orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = each.select(by, "task", (before - F.col("from_nth") + 1).alias("shift"))
+    return dealt.join(starts, [by, "task"]).withColumn(into, (F.col("nth") + F.col("shift")).cast("long")).drop("task", "nth", "shift")
 
 
 def assign_slugs(titles: DataFrame, taken: DataFrame) -> DataFrame:
     """(arrival, title, slug) for titles (arrival, title): the first free of base, base-2, base-3, ... in order of arrival; taken: (slug).
 
-    Each base is numbered by a window, over the numbers that taken slugs leave free. Only where a number meets another base of the batch (a title
-    that ends in one) is its root, the base without trailing numbers, numbered row by row."""
+    The k-th title of a base takes the k-th number that taken slugs leave free. With the i-th taken number t, t - i numbers are free below it; so titles and taken numbers, put in order by k
+    and t - i, give each title its number as its place among both. Places are found over ranges, however many titles or taken slugs a base has. Only where a number meets another base of the batch
+    (a title that ends in one) is its root, the base without trailing numbers, numbered row by row."""
     root = lambda c: F.regexp_replace(c, r"(-\d+)+$", "")
     new = titles.select("arrival", "title", T.slugify(F.col("title")).alias("base")).withColumn("root", root(F.col("base")))
     kind = dict(titles.dtypes)["arrival"]
@@ -159,11 +193,11 @@ def assign_slugs(titles: DataFrame, taken: DataFrame) -> DataFrame:
     tail = F.regexp_extract(F.expr("substring(slug, length(base) + 1)"), r"^-([1-9]\d{0,8})$", 1)
     number = F.when(F.col("slug") == F.col("base"), 1).otherwise(F.nullif(tail, F.lit("")).cast("int"))
     held = bases.join(old, "root").withColumn("n", number).where("n is not null and startswith(slug, base) and (n > 1 or slug = base)")
-    lists = held.groupBy("base").agg(F.sort_array(F.collect_set("n")).alias("held"))
-    place = F.row_number().over(W.partitionBy("base").orderBy("arrival"))
-    ranked = plain.withColumn("k", place).join(lists, "base", "left")
-    n = F.aggregate(F.coalesce("held", F.array().cast("array<int>")), F.col("k"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
-    simple = ranked.withColumn("n", n).select("arrival", "title", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+    used = place_in_order(held.select("base", F.col("n").cast("long").alias("n")).distinct(), "base", "n", into="i").select("base", (F.col("n") - F.col("i") + 1).alias("at"), F.lit(0).alias("free"), F.lit(None).cast(kind).alias("arrival"), F.lit(None).cast("string").alias("title"))
+    ranked = place_in_order(plain.select("base", "arrival", "title"), "base", "arrival")
+    both = used.unionByName(ranked.select("base", F.col("k").alias("at"), F.lit(1).alias("free"), "arrival", "title"))
+    numbered = place_in_order(both, "base", "at", "free", into="n").where("free = 1")
+    simple = numbered.select("arrival", "title", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
 
     def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         used = set(pdf.used.dropna())

@@ -207,7 +207,12 @@ def document_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(T.document_text(F.col("text")), 256).alias("sha256"))
 
 
-@query()
+@query(r"""WITH RECURSIVE k AS (SELECT conv_id, turn::INT AS page, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL),
+n AS MATERIALIZED (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY page, w) AS place FROM k WHERE len(w) > 0),
+r(conv_id, place, total, run) AS (SELECT conv_id, place, n, 0 FROM n WHERE place = 1 UNION ALL SELECT n.conv_id, n.place, CASE WHEN total >= 12 THEN n.n ELSE total + n.n END, CASE WHEN total >= 12 THEN run + 1 ELSE run END FROM r JOIN n ON n.conv_id = r.conv_id AND n.place = r.place + 1),
+g AS (SELECT r.conv_id, run, flatten(list(w ORDER BY r.place)) AS w, list(page ORDER BY r.place) AS pages, max(total) AS total FROM r JOIN n ON n.conv_id = r.conv_id AND n.place = r.place GROUP BY 1, 2),
+c AS (SELECT *, unnest(range(0, CASE WHEN len(w) <= 350 THEN 1 ELSE ceil((len(w) - 350) / 310.0)::INT + 1 END)) AS i, CASE WHEN total < 12 OR len(pages) = 1 OR pages[-2] = pages[-1] THEN pages[-1] END AS page_number FROM g)
+SELECT conv_id AS material_id, page_number, (row_number() OVER (PARTITION BY conv_id ORDER BY run, i) - 1)::INT AS chunk, CASE WHEN page_number IS NULL THEN 'span' ELSE 'page' END AS kind, array_to_string(w[i*310+1 : i*310+350], ' ') AS text FROM c""")
 def chunk_conversations(spark: SparkSession, d: str) -> DataFrame:
     return layout.chunk_material(table(spark, d, "conversations"), key="conv_id", order="turn")
 

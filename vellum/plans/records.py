@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.functions import vectors as V
 from vellum.operators import duplicates, history, layout, lifecycle, listing, search, topics, vectors
-from vellum.plans.queries import STOPPED, TITLE, WORDS, first_line, query, table
+from vellum.plans.queries import SQL, STOPPED, TITLE, WORDS, first_line, query, table
 from vellum.plans.queries import _chunks as chunked
 from vellum.plans.queries import _queries as asked
 from vellum.sources import tables
@@ -156,6 +156,16 @@ def replaced_pages(spark: SparkSession, d: str) -> DataFrame:
     return tables.replace_children(old, new, "material_id").select(F.col("material_id").alias("id"), F.col("page_number").alias("p"))
 
 
+@query(SQL["replaced_pages"])
+def stored_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a table on disk whose buckets are replaced, by a batch that comes twice."""
+    old, path = pages(spark, d).select("material_id", "page_number"), scratch(spark)
+    new = old.where("material_id % 5 = 0 and page_number = 1").withColumn("page_number", F.lit(9))
+    for batch in (old, new, new):
+        tables.replace_stored(spark, path, batch, "material_id", buckets=16)
+    return spark.read.parquet(path).select(F.col("material_id").alias("id"), F.col("page_number").alias("p"))
+
+
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT c_nationkey, min_by(c_name, c_custkey) FROM customer WHERE c_nationkey >= 10 GROUP BY c_nationkey")
 def inserted_rows(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.lit(0).cast("long").alias("seq"))
@@ -169,6 +179,16 @@ def upserted_rows(spark: SparkSession, d: str) -> DataFrame:
     return tables.upsert(c.where("k % 2 = 0"), c.where("k % 3 = 0").select("k", F.when(F.col("k") % 2 == 0, "new").otherwise(F.col("name")).alias("name"), F.lit(True).alias("fresh")), ["k"], ["name"])
 
 
+@query(SQL["upserted_rows"])
+def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same from snapshots that a manifest names; a batch that comes again makes none."""
+    c, path = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit(False).alias("fresh")), scratch(spark)
+    new = c.where("k % 3 = 0").select("k", F.when(F.col("k") % 2 == 0, "new").otherwise(F.col("name")).alias("name"), F.lit(True).alias("fresh"))
+    for batch, rows in ((0, c.where("k % 2 = 0")), (1, new), (1, c.limit(0)), (0, c.limit(0))):
+        tables.upsert_stored(spark, path, rows, ["k"], ["name"], batch)
+    return tables.read_snapshot(spark, path)[0]
+
+
 @query(f"WITH {MAT} SELECT 'https://x.example/' AS url, NULL::BIGINT AS at UNION ALL SELECT 'https://x.example/topics/s-' || id, NULL FROM tp UNION ALL SELECT 'https://x.example/materials/' || slug, (id + 1) * 3600 FROM m WHERE status = 'published'")
 def url_index(spark: SparkSession, d: str) -> DataFrame:
     fixed = spark.createDataFrame([("/",)], "path string")
@@ -736,6 +756,22 @@ def streamed_activity(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("window_start timestamp, actor long, action string, n long").parquet(f"{path}/out").select(F.unix_micros("window_start").alias("start_us"), "actor", "action", "n")
 
 
+@query("""WITH RECURSIVE w AS (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 AS passed FROM events), e AS MATERIALIZED (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS at_us, event_type IN ('view', 'click') AS begins, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type IN ('view', 'click')) AS i FROM events, w WHERE epoch_us(ts) <= passed),
+r(key, i, held, started, ended, outcome) AS (SELECT key, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM e WHERE i = 1 UNION ALL
+SELECT e.key, e.i, CASE WHEN begins AND (held IS NULL OR at_us - held > 3600000000) THEN at_us WHEN NOT begins OR at_us - held > 3600000000 THEN NULL ELSE held END, CASE WHEN held IS NOT NULL AND (at_us - held > 3600000000 OR NOT begins) THEN held END,
+ CASE WHEN held IS NULL THEN NULL WHEN at_us - held > 3600000000 THEN held + 3600000000 WHEN NOT begins THEN at_us END, CASE WHEN held IS NULL THEN NULL WHEN at_us - held > 3600000000 THEN 'stuck' WHEN NOT begins THEN 'done' END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1),
+last AS (SELECT key, max_by(held, i) AS held, arg_max(held IS NULL, i) AS shut FROM r GROUP BY key)
+SELECT key, started AS started_us, ended AS ended_us, outcome FROM r WHERE outcome IS NOT NULL UNION ALL SELECT key, held, held + 3600000000, 'stuck' FROM last, w WHERE NOT shut AND held + 3600000000 < passed""")
+def streamed_work(spark: SparkSession, d: str) -> DataFrame:
+    """Views and clicks of a user begin work, anything else ends it: spans by a stateful stream over files that come one after another."""
+    e, path = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark)
+    day = F.dayofmonth("ts")
+    for part in (day < 10, (day >= 10) & (day < 20), day >= 20):
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    incremental.in_flight_stream(spark, f"{path}/in", e.schema, f"{path}/out", f"{path}/state", ("view", "click"), key="user_id", status="event_type").awaitTermination()
+    return spark.read.schema(incremental.SPANS).parquet(f"{path}/out").select("key", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "outcome")
+
+
 @query(r"""WITH i AS (SELECT item_id, text, row_number() OVER (PARTITION BY text ORDER BY item_id) AS n FROM benchmark), d AS (SELECT DISTINCT split_part(text, chr(10), 1) AS t, doc_id FROM documents WHERE doc_id % 50 = 0),
 r AS (SELECT item_id FROM i WHERE n = 1) SELECT 'files' AS what, count(*) AS n FROM benchmark UNION ALL SELECT 'accepted', count(*) FROM r UNION ALL SELECT 'with chunks', count(*) FROM r JOIN benchmark USING (item_id) WHERE length(text) + 1 >= 200
 UNION ALL SELECT 'same title', count(*) FROM r JOIN documents ON doc_id = item_id * 7 WHERE split_part(text, chr(10), 1) IS NOT NULL""")

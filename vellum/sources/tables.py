@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
+import uuid
 from collections.abc import Sequence
+from io import StringIO
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.sources.scratch import settle
 
 # Names that a column of a sheet goes by.
 ALIASES = {
@@ -27,14 +32,15 @@ def map_columns(header: Sequence[str | None], aliases: dict[str, Sequence[str]]
     return {field: i for field, i in at.items() if i is not None}
 
 
-def read_sheet(spark: SparkSession, path: str, aliases: dict[str, Sequence[str]] = ALIASES) -> DataFrame:
+def read_sheet(spark: SparkSession, path: str, aliases: dict[str, Sequence[str]] = ALIASES, most_lines: int = 5000) -> DataFrame:
     """(source_row, title, author, summary, url, topics): a CSV whose header, with a title and a link, is among its first ten rows.
 
-    A sheet is one file with newlines in its cells, so one task reads it and its rows keep their order."""
-    # rows above the header may be shorter, so the widest line tells the columns
-    lines = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-    wide = ", ".join(f"_c{i} string" for i in range(lines))
-    raw = spark.read.csv(path, schema=wide, header=False, multiLine=True, quote='"', escape='"').withColumn("source_row", F.monotonically_increasing_id())
+    A sheet is one file with newlines in its cells, so one task reads it and its rows keep their order. The first ten rows lie within most_lines lines."""
+    # cells may hold newlines, so the width is that of the first ten parsed rows, not of lines
+    head = "\n".join(r["value"] for r in spark.read.text(path).limit(most_lines).collect())
+    width = max((len(row) for row in islice(csv.reader(StringIO(head, newline="")), 10)), default=1)
+    raw = spark.read.csv(path, schema=", ".join(f"_c{i} string" for i in range(max(width, 1))), header=False, multiLine=True, quote='"', escape='"')
+    raw = raw.withColumn("source_row", F.monotonically_increasing_id())
     cells = [c for c in raw.columns if c != "source_row"]
     for r in raw.orderBy("source_row").limit(10).collect():
         at = map_columns([r[c] for c in cells], aliases)
@@ -137,6 +143,46 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], columns
     return both.select(*[F.col(c) if c in key else pick(c).alias(c) for c in existing.columns])
 
 
+def replace_stored(spark: SparkSession, path: str, incoming: DataFrame, key: str, buckets: int = 64) -> None:
+    """replace_children on a Parquet table that stands: partitions are buckets of a hash of the key, and those of incoming's parents alone are read and written again (dynamic partition overwrite). What is written is
+    settled first, so a lost writer leaves the table as it was, and a batch that comes again changes nothing."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    fresh = settle(incoming.select("*", bucket))
+    if _exists(spark, path):
+        touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # numbers below buckets
+        there = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*fresh.columns)
+        fresh = settle(replace_children(there, fresh, key))
+    fresh.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, int | None]:
+    """The table that the last manifest under path names, and the batch that made it."""
+    if not _exists(spark, f"{path}/manifest"):
+        return None, None
+    last = spark.read.schema("batch long, folder string").json(f"{path}/manifest").orderBy(F.desc("batch")).first()
+    return (None, None) if last is None else (spark.read.parquet(last["folder"]), last["batch"])
+
+
+def write_snapshot(spark: SparkSession, path: str, df: DataFrame, batch: int) -> None:
+    """df as a new snapshot folder; readers see it from the moment its manifest is there. Folders of earlier snapshots stay for readers that began on them."""
+    folder = f"{path}/snapshot-{batch}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    spark.createDataFrame([(batch, folder)], "batch long, folder string").coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{path}/manifest/of={batch}")
+
+
+def upsert_stored(spark: SparkSession, path: str, incoming: DataFrame, key: Sequence[str], columns: Sequence[str], batch: int) -> None:
+    """upsert on a table kept as snapshots; batches are numbered upwards, and one that comes again changes nothing."""
+    there, last = read_snapshot(spark, path)
+    if last is not None and batch <= last:
+        return
+    write_snapshot(spark, path, incoming if there is None else upsert(there, incoming, key, columns), batch)
+
+
 def export_url_index(materials: DataFrame, topics: DataFrame, static: DataFrame, base: str) -> DataFrame:
     """(url, last_modified): fixed pages (path), topics and published materials."""
     root = base.rstrip("/")

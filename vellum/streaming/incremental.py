@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +90,58 @@ def activity_stream(spark: SparkSession, directory: str, schema, out: str, check
     """activity_windows over a folder of Parquet files, in complete windows, to a Parquet table."""
     events = spark.readStream.schema(schema).parquet(directory)
     return activity_windows(events).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", out).start()
+
+
+SPANS = "key string, started timestamp, ended timestamp, outcome string"
+
+
+def work_spans(events: DataFrame, begins: tuple[str, ...], limit: str = "1 hour", late: str = "10 minutes", ts: str = "ts", key: str = "material_id", status: str = "status") -> DataFrame:
+    """(key, started, ended, outcome) of a stream of status changes: work begins with a status in begins and is done with the next that is not; work that nothing ends within `limit` of its
+    start is stuck. Event time alone decides, so the rows do not depend on when files come.
+
+    One state a key: the open start and the events whose time the watermark has not passed, which are taken in order of time once it has."""
+    span = int(pd.Timedelta(limit).total_seconds() * 1e6)
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        open_at, waiting = state.get if state.exists else (None, [])
+        waiting = [tuple(w) for w in waiting]
+        for p in parts:
+            waiting += list(zip((int(v.value // 1000) for v in p["ts"]), (bool(b) for b in p["begins"])))
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready, waiting = sorted(w for w in waiting if w[0] <= passed), [w for w in waiting if w[0] > passed]
+        out = []
+        for at, begin in ready:
+            if open_at is not None and at - open_at > span:
+                out.append((k[0], open_at, open_at + span, "stuck"))
+                open_at = None
+            if begin and open_at is None:
+                open_at = at
+            elif not begin and open_at is not None:
+                out.append((k[0], open_at, at, "done"))
+                open_at = None
+        if open_at is not None and open_at + span < passed:
+            out.append((k[0], open_at, open_at + span, "stuck"))
+            open_at = None
+        if open_at is None and not waiting:
+            state.remove()
+        else:
+            state.update((open_at, waiting))
+            due = min([w[0] for w in waiting] + ([open_at + span] if open_at is not None else []))
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            frame = pd.DataFrame(out, columns=["key", "started", "ended", "outcome"])
+            yield frame.assign(started=pd.to_datetime(frame.started, unit="us"), ended=pd.to_datetime(frame.ended, unit="us"))
+
+    each = events.select(F.col(ts).alias("ts"), F.col(key).cast("string").alias("key"), F.col(status).isin(*begins).alias("begins")).withWatermark("ts", late)
+    return each.groupBy("key").applyInPandasWithState(step, SPANS, "open_at long, waiting array<struct<at:long,begins:boolean>>", "append", "EventTimeTimeout")
+
+
+def in_flight_stream(spark: SparkSession, directory: str, schema, out: str, checkpoint: str, begins: tuple[str, ...], files: int = 1, **of):
+    """work_spans over a folder of Parquet files, `files` of them a batch, to a Parquet table."""
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(directory)
+    return work_spans(events, begins, **of).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", out).start()
+
+
+def in_flight(spans: DataFrame, at: Column) -> DataFrame:
+    """(n): work in flight at a time, of spans that began by then and had not ended."""
+    return spans.where((F.col("started") <= at) & (F.col("ended") > at)).agg(F.count("*").alias("n"))
