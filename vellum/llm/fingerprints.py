@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parts, settle, window_min, windows
+from .common import mix, parts, settle, spare, window_min, windows
 
 #: Two texts that share a stretch of GRAM + WINDOW - 1 code points share a selected hash.
 GRAM, WINDOW = 12, 52
@@ -55,7 +55,9 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"hashes": [h.astype(np.int64) for h, _ in found], "positions": [p.astype(np.int32) for _, p in found]})
 
     udf = F.pandas_udf(run, "hashes array<long>, positions array<int>")
-    return docs.drop("hashes", "positions").withColumn("_w", udf(F.col(text))).select("*", "_w.*").drop("_w")
+    kept = docs.drop("hashes", "positions")
+    found = spare(kept, "found")
+    return kept.withColumn(found, udf(F.col(text))).select("*", f"{found}.*").drop(found)
 
 
 REPORT = "doc_id long, n_chars long, edited_text string, hashes binary, edited_hashes binary, near_edited double, near_next double, positions array<int>, edited_positions array<int>"

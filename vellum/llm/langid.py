@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident, sample_by_hash
+from .common import resident, sample_by_hash, spare
 
 BUCKETS, DIM, GRAMS = 1 << 15, 12, (1, 2, 3, 4)
 
@@ -34,8 +34,8 @@ def codes(text: str) -> np.ndarray:
     return out[np.concatenate([[True], ~(blank[1:] & blank[:-1])])] if len(out) else out
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """Buckets of all grams of 1 to 4 signs that hold a letter."""
+def grams(c: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """Buckets of all grams of 1 to 4 signs that hold a letter; starts: of those that begin at the first so many signs."""
     found = []
     for n in GRAMS:
         if len(c) < n:
@@ -44,6 +44,7 @@ def grams(c: np.ndarray) -> np.ndarray:
         for j in range(n):
             h = (h ^ c[j : len(c) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
+        h = h[:starts]
         found.append((h & np.uint64(BUCKETS - 1)).astype(np.int32)[c[: len(h)] != 32] if n == 1 else (h & np.uint64(BUCKETS - 1)).astype(np.int32))
     return np.concatenate(found) if found else np.empty(0, np.int32)
 
@@ -62,9 +63,8 @@ class Model:
         if not len(self.langs) or not (c != 32).any():
             return "und", 0.0, True
         total, n = np.zeros(len(self.langs)), 0
-        for a in range(0, len(c), 200_000):  # grams across a cut are read with the piece before it
-            piece = c[a : a + 200_000 + 3]
-            g = grams(piece)
+        for a in range(0, len(c), 200_000):  # a gram is read with the piece that it begins in
+            g = grams(c[a : a + 200_000 + 3], 200_000)
             total += self.table[g].sum(0, dtype=np.float64)
             n += len(g)
         z = (total / n + self.bias) / self.temperature
@@ -153,4 +153,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     # not deterministic to the planner, so that a filter on what it gives does not run it a second time
     udf = F.pandas_udf(run, "lang_pred string, score double, lang_rejected boolean").asNondeterministic()
-    return docs.drop("lang_pred", "score", "lang_rejected").withColumn("_lang", udf(F.col(text))).select("*", "_lang.*").drop("_lang")
+    kept = docs.drop("lang_pred", "score", "lang_rejected")
+    found = spare(kept, "found")
+    return kept.withColumn(found, udf(F.col(text))).select("*", f"{found}.*").drop(found)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident
+from .common import resident, spare
 
 # The kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -414,8 +414,9 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SPANS.split(", ")])
 
     names = [x.split()[0] for x in SPANS.split(", ")]
-    found = docs.drop(*names).withColumn("_pii", F.pandas_udf(run, SPANS).asNondeterministic()(F.col(text)))
-    return found.select("*", "_pii.*").drop("_pii")
+    kept = docs.drop(*names)
+    found = spare(kept, "found")
+    return kept.withColumn(found, F.pandas_udf(run, SPANS).asNondeterministic()(F.col(text))).select("*", f"{found}.*").drop(found)
 
 
 def mask(docs: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
