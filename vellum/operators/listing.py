@@ -338,10 +338,6 @@ def library_order(sort: str, position: str = "pos") -> list[Column]:
     return [*order, F.asc("id")]
 
 
-def library_sort(df: DataFrame, sort: str, position: str = "pos") -> DataFrame:
-    return df.orderBy(*library_order(sort, position))
-
-
 def next_unfiled(materials: DataFrame, filings: DataFrame, after: str) -> DataFrame:
     return not_exists_filter(live(materials).where(F.col("id") != after), filings, "id", "material_id").orderBy("created_at", "id").limit(1)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.functions import vectors as V
 from vellum.operators import ann, duplicates, history, layout, listing, postings, search, topics, vectors
-from vellum.sources.scratch import new_path
+from vellum.sources.scratch import new_path, spread
 from vellum.streaming import incremental
 
 QUERIES: dict = {}
@@ -172,13 +172,13 @@ z AS (SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - leas
 
 @query(f"WITH {QUALITY} SELECT doc_id, round(s, 3) AS score, s >= 0.55::DOUBLE AS usable FROM z")
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "documents").where("text is not null").withColumn("q", T.score_text(F.col("text")))
+    q = spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").withColumn("q", T.score_text(F.col("text")))
     return q.where("trim(text) <> ''").select("doc_id", "q.score", "q.usable")
 
 
 @query(f"WITH {QUALITY} SELECT quality, count(*) AS n, sum(CASE WHEN s >= 0.55::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS usable FROM z JOIN labels USING (doc_id) GROUP BY 1")
 def quality_vs_label(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "documents").where("text is not null").select("doc_id", T.score_text(F.col("text"))["usable"].alias("u"))
+    q = spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", T.score_text(F.col("text"))["usable"].alias("u"))
     return q.join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("u").alias("usable"))
 
 
@@ -198,7 +198,7 @@ def surviving_share(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH k AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 350 THEN 1 ELSE ceil((len(w) - 350) / 310.0)::INT + 1 END AS k FROM k),
 c AS (SELECT doc_id, w, unnest(range(0, k)) AS i FROM n) SELECT doc_id, i::INT AS chunk, sha256(array_to_string(w[i*310+1 : i*310+350], ' ')) AS sha256 FROM c""")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_page(F.col("text"))).alias("chunk", "body"))
+    c = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.chunk_page(F.col("text"))).alias("chunk", "body"))
     return c.select("doc_id", "chunk", F.sha2("body", 256).alias("sha256"))
 
 

@@ -742,6 +742,31 @@ def page_readings(spark: SparkSession, d: str) -> DataFrame:
     return layout.read_page(boxes.orderBy(F.xxhash64("text")), "bottom").select("page_key", "text", F.col("quality").isNotNull().alias("scored"))
 
 
+@query(r"""WITH k AS (SELECT conv_id, turn, W AS w FROM (SELECT conv_id, turn, WORDS AS W FROM conversations)), p AS (SELECT conv_id, turn, w, unnest(range(0, ceil(len(w) / 41.0)::INT)) AS p FROM k),
+f AS (SELECT conv_id, turn, p, list_transform(range(1, 42), lambda i: coalesce(w[p * 41 + i], 'end')) AS v FROM p)
+SELECT conv_id || '-' || turn || '-' || p AS page_key, 'Heading ' || v[1] || chr(10) || 'Q' || CASE WHEN regexp_matches(v[2], '^[a-z]') THEN '' ELSE chr(10) END || array_to_string(list_transform(range(0, 8), lambda i: array_to_string(v[i * 5 + 2 : i * 5 + 6], ' ')), chr(10)) AS text FROM f""".replace("WORDS", WORDS.format("text")))
+def column_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Turns set as pages of a heading, a drop cap and two columns of four lines, and read again."""
+    w = table(spark, d, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    p = w.select("conv_id", "turn", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / 41).cast("int") - 1)).alias("p"))
+    at = lambda i: F.coalesce(F.get("w", F.col("p") * 41 + i), F.lit("end"))
+    box = lambda text, x, y, wide, high: F.struct(text.alias("text"), *[F.lit(v).alias(n) for n, v in (("x", x), ("y", y), ("width", wide), ("height", high))])
+    lines = [box(F.concat(F.lit("Heading "), at(0)), 0.1, 0.94, 0.8, 0.05), box(F.lit("Q"), 0.1, 0.91, 0.02, 0.02)]
+    lines += [box(F.concat_ws(" ", *[at(1 + 5 * n + j) for j in range(5)]), 0.1 if n < 4 else 0.55, 0.88 - n % 4 / 20, 0.35, 0.02) for n in range(8)]
+    boxes = p.select(F.concat_ws("-", "conv_id", "turn", "p").alias("page_key"), F.lit(0.9).alias("confidence"), F.explode(F.array(*lines)).alias("b")).select("page_key", "confidence", "b.*")
+    return layout.reading_order(boxes.orderBy(F.xxhash64("text")), "bottom")
+
+
+@query(f"WITH {MAT} SELECT min(id) AS id FROM m WHERE NOT gone AND id % 3 = 0 AND id <> 3")
+def next_unfiled(spark: SparkSession, d: str) -> DataFrame:
+    return listing.next_unfiled(materials(spark, d), filings(spark, d), 3).select("id")
+
+
+@query("SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL")
+def known_languages(spark: SparkSession, d: str) -> DataFrame:
+    return listing.distinct_keys(table(spark, d, "documents"), "lang")
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------------------------
 
 
