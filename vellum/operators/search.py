@@ -132,6 +132,7 @@ def chunk_hits(queries: DataFrame, chunks: DataFrame, stem: bool = True) -> Data
     """(query_id, material_id, rank, page): each material's best chunk. chunks: (chunk_id, material_id, page_number, text)."""
     post = settle(analyze(chunks, "chunk_id", "text", stem))  # stored once, read by every step
     hits = bm25(match_terms(queries, post, stem), post).join(chunks.select(F.col("chunk_id").alias("id"), "material_id", "page_number"), "id")
+    hits = hits.withColumn("rank", F.round("rank", 9))
     return hits.groupBy("query_id", "material_id").agg(F.max("rank").alias("rank"), F.max_by("page_number", F.struct("rank", -F.coalesce("page_number", F.lit(0)))).alias("page"))
 
 
@@ -194,7 +195,7 @@ def topic_hits(queries: DataFrame, topics: DataFrame, filings: DataFrame, stem:
 
 def rrf(hits: DataFrame, weights: dict[str, float] = WEIGHTS, k: int = K, most: int = MOST) -> DataFrame:
     """(query_id, material_id, score, page, sources, pos) of hits (query_id, source, material_id, rank, page)."""
-    ranked = rank_lists(hits)
+    ranked = rank_lists(hits.withColumn("rank", F.round("rank", 9)))  # sums in another order must not part equals
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")]
     fused = ranked.groupBy("query_id", "material_id").agg(F.sum(weight / (k + F.col("pos"))).alias("score"), F.max("page").alias("page"), F.sort_array(F.collect_set("source")).alias("sources"))
     return number(fused, most)

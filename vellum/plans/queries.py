@@ -594,6 +594,46 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return parts.select(F.struct("doc_id", "n").alias("chunk_id"), F.col("doc_id").alias("material_id"), F.col("n").alias("page_number"), "text")
 
 
+GRAMS = "flatten(list_transform({0}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+@query(f"""WITH b AS (SELECT item_id AS query_id, {WORDS.format("text")}[1:1 + item_id % 3] AS qw FROM benchmark), q AS (SELECT * FROM b WHERE len(qw) > 0), qt AS (SELECT DISTINCT query_id, unnest(qw) AS term FROM q), qq AS (SELECT * FROM qt WHERE term NOT IN ({STOPPED})), need AS (SELECT query_id, count(*) AS k FROM qq GROUP BY 1),
+m AS (SELECT doc_id AS id, {WORDS.format(TITLE)}[1:4] AS tw, source AS author, lang AS summary FROM documents WHERE doc_id % 4 <> 0),
+k AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), nn AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 350 THEN 1 ELSE ceil((len(w) - 350) / 310.0)::INT + 1 END AS k FROM k),
+c AS (SELECT doc_id, i, array_to_string(w[i*310+1 : i*310+350], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, k)) AS i FROM nn)), e AS (SELECT doc_id, i, unnest({WORDS.format("text")}) AS term FROM c), ee AS (SELECT * FROM e WHERE term NOT IN ({STOPPED})),
+p AS (SELECT doc_id, i, term, count(*) AS tf FROM ee GROUP BY 1, 2, 3), l AS (SELECT doc_id, i, count(*) AS dl FROM ee GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM l),
+cm AS (SELECT query_id, doc_id, i FROM qq JOIN p USING (term) GROUP BY 1, 2, 3 HAVING count(*) = (SELECT k FROM need WHERE need.query_id = qq.query_id)),
+cs AS (SELECT cm.query_id, cm.doc_id, cm.i, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 9) AS r FROM cm JOIN qq USING (query_id) JOIN p ON p.doc_id = cm.doc_id AND p.i = cm.i AND p.term = qq.term JOIN df ON df.term = p.term JOIN l ON l.doc_id = cm.doc_id AND l.i = cm.i, st GROUP BY 1, 2, 3),
+cb AS (SELECT query_id, doc_id, r, i, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY r DESC, i) AS o FROM cs), chunk AS (SELECT 'chunk' AS s, query_id, doc_id AS id, r, i AS page FROM cb WHERE o = 1),
+fl AS (SELECT id, 1.0::DOUBLE AS w, unnest(tw) AS term FROM m UNION ALL SELECT id, 0.4, unnest({WORDS.format("author")}) FROM m UNION ALL SELECT id, 0.2, unnest({WORDS.format("summary")}) FROM m), fp AS (SELECT id, term, sum(w) AS tf FROM fl WHERE term NOT IN ({STOPPED}) GROUP BY 1, 2),
+fm AS (SELECT query_id, id, count(*) AS k, sum(tf / (tf + 1)) AS r FROM qq JOIN fp USING (term) GROUP BY 1, 2), meta AS (SELECT 'meta' AS s, fm.query_id, id, round(r, 9) AS r, NULL::BIGINT AS page FROM fm JOIN need ON need.query_id = fm.query_id AND need.k = fm.k),
+tg AS (SELECT id, {GRAMS.format("tw")} AS g FROM m), qg AS (SELECT query_id, list_distinct({GRAMS.format("qw")}) AS g FROM q), tc AS (SELECT query_id, id, qg.g AS a, tg.g AS b FROM qg JOIN tg ON len(list_intersect(qg.g, list_distinct(tg.g))) > 0.42 * len(qg.g)),
+tx AS (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM tc), ty AS (SELECT *, unnest(range(i, len(b) + 1)) AS j FROM tx), tz AS (SELECT query_id, id, a, b, list_distinct(b[i:j]) AS e FROM ty),
+ts AS (SELECT query_id, id, any_value(a) AS a, any_value(list_distinct(b)) AS b, max(len(list_intersect(a, e))::DOUBLE / (len(a) + len(e) - len(list_intersect(a, e)))) AS best FROM tz GROUP BY 1, 2),
+title AS (SELECT 'title' AS s, query_id, id, round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 9) AS r, NULL::BIGINT AS page FROM ts WHERE best > 0.42),
+td AS (SELECT query_id FROM qq GROUP BY 1 HAVING count(*) = 1), topic AS (SELECT 'topic' AS s, qq.query_id, d.doc_id AS id, 1.0::DOUBLE AS r, NULL::BIGINT AS page FROM td JOIN qq USING (query_id) JOIN (SELECT doc_id, {WORDS.format(TITLE)}[1] AS name FROM documents) d ON d.name = qq.term),
+h AS (SELECT x.* FROM (FROM chunk UNION ALL FROM meta UNION ALL FROM title UNION ALL FROM topic) x JOIN m USING (id)), hr AS (SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY r DESC, id) AS pos FROM h),
+f AS (SELECT query_id, id, sum(CASE s WHEN 'meta' THEN 1.6::DOUBLE WHEN 'title' THEN 1.3::DOUBLE WHEN 'chunk' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END / (60 + pos)) AS score, max(page) AS page, list(DISTINCT s) AS sources FROM hr GROUP BY 1, 2),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM f) WHERE pos <= 500), few AS (SELECT query_id, array_to_string(qw, ' ') AS term FROM q WHERE query_id NOT IN (SELECT query_id FROM f1 GROUP BY 1 HAVING count(*) >= 15)),
+body AS (SELECT doc_id AS id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM documents JOIN m ON m.id = doc_id), sub AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS pos FROM few JOIN body ON contains(body, term)),
+both_ AS (SELECT query_id, id, score, page, sources FROM f1 UNION ALL SELECT query_id, id, 0.25::DOUBLE / (60 + pos), 1, ['substring'] FROM sub WHERE pos <= 300),
+z AS (SELECT query_id, id, sum(score) AS score, max(page) AS page, array_to_string(list_sort(list_distinct(flatten(list(sources)))), '|') AS sources FROM both_ GROUP BY 1, 2)
+SELECT query_id, id AS material_id, round(score, 9) AS score, page::INT AS page, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS pos FROM z""".replace("\\\\s", "\\s"))
+def search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ranked search without stems: chunks, fields, titles and topics fused, and the substring list where hits are few. Queries are the first one to three words of benchmark texts; three
+    documents of four are published, a title is four words, and a topic is named by the first word of a title."""
+    docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
+    asked = b.select(F.col("item_id").alias("query_id"), F.slice(T.words(F.col("text")), F.lit(1), (1 + F.col("item_id") % 3).cast("int")).alias("must")).withColumn("raw", F.array_join("must", " "))
+    named = F.array_join(F.slice(T.words(first_line()), 1, 4), " ")
+    m = docs.select(F.col("doc_id").alias("id"), named.alias("title"), F.col("source").alias("author"), F.col("lang").alias("summary"), F.when(F.col("doc_id") % 4 == 0, "review").otherwise("published").alias("status"))
+    name = F.get(T.words(first_line()), F.lit(0))
+    filings = docs.select(F.col("doc_id").alias("material_id"), name.alias("category_id")).where("category_id is not null")
+    tops = filings.select(F.col("category_id").alias("id")).distinct().select("id", F.col("id").alias("name"), F.lit(None).cast("string").alias("merged_into_id"))
+    pages = docs.select(F.col("doc_id").alias("material_id"), F.lit(1).alias("page_number"), "text")
+    out = search.ranked_search(asked, m, _chunks(docs), tops, filings, pages, stem=False)
+    return out.select("query_id", "material_id", F.round("score", 9).alias("score"), "page", F.array_join("sources", "|").alias("sources"), F.col("pos").cast("int").alias("pos"))
+
+
 @query()
 def search_rrf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
