@@ -111,7 +111,8 @@ def repair_hyphens(pages: DataFrame, engine: str | None = None) -> DataFrame:
     ours = pages.where("text is not null")
     ours = ours.where(F.col("ocr_engine") == engine) if engine else ours
     after = T.dehyphenate(F.col("text"))
-    out = ours.select("material_id", "page_number", F.col("text").alias("before"), after.alias("after")).where("before <> after")
+    # through an array, so that a text is repaired once and not again for each use of the result
+    out = ours.select("material_id", "page_number", F.col("text").alias("before"), F.explode(F.array(after)).alias("after")).where("before <> after")
     return out.withColumn("joins", F.size(F.split("before", "\n")) - F.size(F.split("after", "\n")))
 
 

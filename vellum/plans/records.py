@@ -17,7 +17,7 @@ from vellum.plans.queries import SQL, STOPPED, TITLE, WORDS, first_line, query,
 from vellum.plans.queries import _chunks as chunked
 from vellum.plans.queries import _queries as asked
 from vellum.sources import tables
-from vellum.sources.scratch import new_path
+from vellum.sources.scratch import new_path, spread
 from vellum.streaming import incremental
 
 STATES = ("published", "review", "staged", "processing", "rejected")
@@ -613,11 +613,18 @@ def purge_report(spark: SparkSession, d: str) -> DataFrame:
     return plan.select(F.lit("plan").alias("what"), F.col("id").cast("long").alias("id"), F.col("pages").cast("long").alias("n")).unionByName(lifecycle.missing_files(m).select(F.lit("missing").alias("what"), "id", F.lit(0).cast("long").alias("n")))
 
 
-@query("SELECT doc_id AS id, 1 AS joins, 'a beauti' || 'ful day ' || doc_id AS after FROM documents WHERE doc_id % 2 = 0")
+SHORT_STAYS = ", ".join(f"'{w}'" for w in (*T.HYPHEN_PREFIXES, *T.HYPHEN_NUMBERS) if len(w) == 4)
+
+
+@query(rf"""WITH k AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(0, ceil(len(w) / 60.0)::INT)) AS n FROM k), v AS (SELECT doc_id, n, w[n * 60 + 1 : n * 60 + 60] AS v FROM p),
+j AS (SELECT doc_id, n, len(list_filter(v, lambda x: regexp_full_match(x, '[a-z]{{8,}}'))) AS joins, array_to_string(list_transform(v, lambda x: CASE WHEN regexp_full_match(x, '[a-z]{{8,}}') AND x[1:4] IN ({SHORT_STAYS}) THEN x[1:4] || '-' || x[5:] ELSE x END), ' ') AS a FROM v)
+SELECT doc_id AS id, (n + 1)::INT AS page, joins::INT AS joins, sha256(a) AS after FROM j WHERE joins > 0""")
 def repaired_hyphens(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
-    p = table(spark, d, "documents").select(F.col("doc_id").alias("material_id"), F.lit(1).alias("page_number"), F.lit("vision").alias("ocr_engine"), F.concat(F.when(F.col("doc_id") % 2 == 0, "a beauti-\nful day ").otherwise("a beautiful day "), n).alias("text"))
-    return layout.repair_hyphens(p, "vision").select(F.col("material_id").alias("id"), F.col("joins").cast("int").alias("joins"), "after")
+    """Documents as pages of 60 words, each of eight letters or more broken after its fourth by a hyphen and a new line, and repaired."""
+    words = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    p = words.select("doc_id", F.posexplode(T.chunk_words(F.col("w"), 60, 0)).alias("n", "text"))
+    p = p.select(F.col("doc_id").alias("material_id"), (F.col("n") + 1).alias("page_number"), F.lit("vision").alias("ocr_engine"), F.regexp_replace("text", r"(?<= |^)([a-z]{4})([a-z]{4,})(?= |$)", "$1-\n$2").alias("text"))
+    return layout.repair_hyphens(p, "vision").select(F.col("material_id").alias("id"), F.col("page_number").alias("page"), F.col("joins").cast("int").alias("joins"), F.sha2("after", 256).alias("after"))
 
 
 # ---- history -----------------------------------------------------------------------------------------------------------------------------
