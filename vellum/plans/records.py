@@ -725,6 +725,26 @@ def derived_audit(spark: SparkSession, d: str) -> DataFrame:
     return history.derive_audit(old, new, "id").select("entity_id", "action")
 
 
+@query(f"""WITH {MAT} SELECT id::VARCHAR AS entity_id, CASE WHEN id % 3 = 0 THEN author END AS author_before, CASE WHEN id % 3 = 0 THEN title END AS title_before, CASE WHEN id % 3 = 2 THEN CASE WHEN id % 2 = 0 THEN 'someone' ELSE author END END AS author_after, CASE WHEN id % 3 = 2 THEN title END AS title_after FROM m WHERE id % 3 <> 1
+UNION ALL SELECT id::VARCHAR, author, NULL, 'someone', NULL FROM m WHERE id % 3 = 1 AND id % 2 = 0""")
+def audit_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """What derived audit rows hold of the rows before and after: all of a row that comes or goes, and of an edited one what changed."""
+    m = materials(spark, d).select("id", "title", "author")
+    old, new = m.where("id % 3 in (0, 1)"), m.where("id % 3 in (1, 2)").withColumn("author", F.when(F.col("id") % 2 == 0, "someone").otherwise(F.col("author")))
+    held = lambda side, c: F.get_json_object(side, f"$.{c}").alias(f"{c}_{side}")
+    return history.derive_audit(old, new, "id").select("entity_id", *[held(side, c) for side in ("before", "after") for c in ("author", "title")])
+
+
+@query(f"""WITH {MAT}, u AS (SELECT id, '00000000-0000-4000-8000-' || lpad(id::VARCHAR, 12, '0') AS k FROM m WHERE gone AND id % 2 = 0) SELECT k AS material_id, 'original' AS kind, 'originals/' || k || '.pdf' AS key FROM u UNION ALL SELECT k, 'thumbnail', 'thumbs/' || k || '.webp' FROM u
+UNION ALL SELECT k, 'page', 'pages/' || k || '/' || p || '.webp' FROM u JOIN pg ON pg.id = u.id""")
+def purged_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of the objects that go with purged materials."""
+    uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    m, p = materials(spark, d).withColumn("id", uuid("id")).withColumn("duplicate_of_id", F.lit(None).cast("string")), pages(spark, d).withColumn("material_id", uuid("material_id"))
+    _, keys, _ = lifecycle.purge_plan(m, p, m.where("cast(right(id, 12) as long) % 2 = 0").select("id"))
+    return keys.select("material_id", "kind", "key")
+
+
 @query(f"""WITH {MAT} SELECT 'status and author are known values' AS rule, id::VARCHAR AS id FROM m WHERE id % 100 = 1 UNION ALL SELECT 'live sha256 is unique', sha256 FROM m WHERE NOT gone AND sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1
 UNION ALL SELECT 'a pair in order', (doc_id + 1) || '|' || doc_id FROM documents WHERE doc_id % 50 = 0""")
 def integrity(spark: SparkSession, d: str) -> DataFrame:
