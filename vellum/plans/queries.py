@@ -310,6 +310,18 @@ def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_pairs(docs, 0.4).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN lower({TITLE}) = '' THEN ' ' ELSE lower(coalesce({TITLE}, ' ')) END AS s FROM documents), g AS (SELECT doc_id, s, least(3, length(s)) AS k, unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i FROM t),
+c AS (SELECT doc_id, k, list_transform(range(0, k), lambda j: unicode(substr(s, (i + j)::BIGINT, 1))::UBIGINT) AS c FROM g), h1 AS (SELECT doc_id, k, c, (c[1]::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT AS h FROM c),
+h2 AS (SELECT doc_id, k, c, CASE WHEN k < 2 THEN h ELSE (xor(h, c[2])::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT END AS h FROM h1), h3 AS (SELECT doc_id, CASE WHEN k < 3 THEN h ELSE (xor(h, c[3])::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT END AS h FROM h2),
+b AS (SELECT doc_id, ((xor(h, h >> 29)::UHUGEINT * 13787848793156543929 % 18446744073709551616)::UBIGINT >> 40) % 64 AS b FROM h3), n AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM n GROUP BY 1)
+SELECT doc_id, string_agg(b || ':' || round(n / l * 1000000)::BIGINT, ',' ORDER BY b) AS vector FROM n JOIN l USING (doc_id) GROUP BY 1""")
+def embedded_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors themselves: entries of the embedded first lines that are not 0, in millionths."""
+    e = vectors.embed(table(spark, d, "documents").select("doc_id", first_line().alias("title")), "title")
+    some = F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.lit(":"), F.round(x * 1000000).cast("long").cast("string")))), lambda s: s.isNotNull())
+    return e.select("doc_id", F.array_join(some, ",").alias("vector"))
+
+
 @query(f"WITH {NEAR} SELECT count(*) AS neighbours, true AS recall_reached FROM n WHERE pos <= 5 AND q % 20 = 0")
 def cell_recall(spark: SparkSession, d: str) -> DataFrame:
     """Every twentieth vector against all by an inverted file whose nearest cells alone are searched: how many of the true five nearest there are, and whether 0.9 of them are found."""
