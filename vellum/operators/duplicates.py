@@ -219,21 +219,22 @@ def scan(docs: DataFrame, texts: DataFrame, cosines: DataFrame | None = None, le
     Titles are compared once for each pair of different titles, texts once for each pair of different shingle sets; rows of pairs come last. A pair comes from one source alone: its titles;
     else its file, else its checksum, else its cosine."""
     new = None if new_ids is None else new_ids.select(F.col(new_ids.columns[0]).alias("id")).distinct()
-    sets = settle(spread(texts.where(F.length("text") > 200).select("id", "text")).select("id", F.array_sort(T.shingle_ids(F.col("text"))).alias("s")).withColumn("k", F.struct(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"))))
+    sets = settle(spread(texts.where(F.length("text") > 200).select("id", "text")).select("id", F.array_sort(T.shingle_ids(F.col("text"))).alias("s")))
+    same = settle(copy_classes(sets.select("id", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), F.size("s").alias("n_s")), "h", "g", "n_s"))
     cards = spread(docs.select("id", "title", "sha256", "md5", "page_count")).select("id", "sha256", "md5", "page_count", T.normalise_title(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("tokens"))
-    cards = settle(cards.join(sets.select("id", "k", F.size("s").alias("n")), "id", "left"))
+    cards = settle(cards.join(same.select("id", F.col("rep").alias("k")).join(sets.select("id", F.size("s").alias("n")), "id"), "id", "left"))
     titles = title_classes(cards, new)
     rows = settle(cards.join(titles.members.select("id", F.col("rep").alias("t")), "id").select("id", "t", "norm", "tokens", "sha256", "md5", "page_count", "k", "n"))
 
     # texts that a pair of titles, a title or a file brings together
     named = rows.where("k is not null").select("t", "sha256", "k").distinct()
-    groups = named.select(F.struct(F.lit("t").alias("by"), F.col("t").cast("string").alias("x"), F.col("t").cast("string").alias("y")).alias("g"), F.lit(-1).alias("side"), "k").distinct()
+    mark = lambda *of: F.struct(F.xxhash64(*of).alias("p"), F.xxhash64(F.lit(1), *of).alias("q")).alias("g")
+    groups = named.select(mark(F.lit("t"), "t"), F.lit(-1).alias("side"), "k")
     for side, own in ((0, "a"), (1, "b")):
-        across = titles.links.join(named.select(F.col("t").alias(own), "k"), own)
-        groups = groups.unionByName(across.select(F.struct(F.lit("l").alias("by"), F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y")).alias("g"), F.lit(side).alias("side"), "k").distinct())
-    groups = groups.unionByName(named.where("sha256 is not null").select(F.struct(F.lit("f").alias("by"), F.col("sha256").alias("x"), F.lit("").alias("y")).alias("g"), F.lit(-1).alias("side"), "k").distinct())
+        groups = groups.unionByName(titles.links.join(named.select(F.col("t").alias(own), "k"), own).select(mark(F.lit("l"), "a", "b"), F.lit(side).alias("side"), "k"))
+    groups = settle(groups.unionByName(named.where("sha256 is not null").select(mark(F.lit("f"), "sha256"), F.lit(-1).alias("side"), "k")).distinct())
     several = groups.groupBy("g").agg(F.count("*").alias("of")).where("of > 1").select("g")
-    whole = sets.groupBy("k").agg(F.min("id").alias("id")).join(sets.select("id", "s"), "id").select(F.col("k").alias("id"), "s")
+    whole = sets.join(same.where("id = rep").select("id"), "id", "left_semi")
     counts = shared_counts(groups.join(several, "g", "left_semi").withColumnRenamed("k", "id"), whole)
 
     none = rows.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))

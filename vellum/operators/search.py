@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions import text as T
+from vellum.operators.ann import Cells, nearest
 from vellum.operators.listing import contains_join, fuse_lists, library_filter, library_order, paginate, rank_lists, readable_text, sort_key, top_n_per_group, topics_for, with_uncategorised
+from vellum.operators.vectors import top_k
 from vellum.sources.scratch import settle, spread
 
 # Weights of the lists and of the fields, the constant of reciprocal ranks, bounds.
@@ -282,9 +284,7 @@ def slug_taken(slugs: DataFrame, df: DataFrame) -> DataFrame:
     return met.groupBy("slug", "except_id").agg(F.bool_or(F.coalesce(~F.col("owner").eqNullSafe(F.col("except_id")) & F.col("owner").isNotNull(), F.lit(False))).alias("taken"))
 
 
-def semantic_hits(vectors: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
-    """(query_id, material_id, rank) by cosine of query vectors (id, embedding) and chunk vectors (id, material_id, embedding)."""
-    from vellum.operators.vectors import top_k
-
-    near = top_k(vectors, chunks, k).join(chunks.select(F.col("id").alias("item"), "material_id"), "item")
+def semantic_hits(vectors: DataFrame, chunks: DataFrame, k: int = 50, cells: Cells | None = None) -> DataFrame:
+    """(query_id, material_id, rank) by cosine of query vectors (id, embedding) and chunk vectors (id, material_id, embedding). cells: an index of the chunks, searched exactly."""
+    near = (top_k(vectors, chunks, k) if cells is None else nearest(vectors, cells, k)).join(chunks.select(F.col("id").alias("item"), "material_id"), "item")
     return near.groupBy(F.col("query").alias("query_id"), "material_id").agg(F.max("cosine").alias("rank"))

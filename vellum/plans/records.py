@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -872,8 +873,7 @@ def chunk_matches(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MAT}, t AS (SELECT DISTINCT upper(id) AS name, id FROM tp WHERE id IS NOT NULL) SELECT x.n AS query_id, f.id AS material_id FROM (SELECT row_number() OVER (ORDER BY id) AS n, id FROM t) x JOIN f ON f.topic = x.id")
 def topic_matches(spark: SparkSession, d: str) -> DataFrame:
     t = topic_table(spark, d).where("id is not null")
-    n = t.select("id").orderBy("id").toPandas()["id"].tolist()  # as many as topics
-    q = spark.createDataFrame([(i + 1, [x]) for i, x in enumerate(n)], "query_id long, must array<string>")
+    q = t.select("id").distinct().select(F.row_number().over(W.orderBy("id")).cast("long").alias("query_id"), F.array("id").alias("must"))  # topics are few
     return search.topic_hits(q, t, filings(spark, d), stem=False).select("query_id", "material_id")
 
 
