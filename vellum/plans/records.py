@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions import vectors as V
-from vellum.operators import duplicates, history, layout, lifecycle, listing, search, topics, vectors
+from vellum.operators import ann, duplicates, history, layout, lifecycle, listing, search, topics, vectors
 from vellum.plans.queries import SQL, STOPPED, TITLE, WORDS, first_line, query, table
 from vellum.plans.queries import _chunks as chunked
 from vellum.plans.queries import _queries as asked
@@ -518,7 +518,8 @@ def embedded_topics(spark: SparkSession, d: str) -> DataFrame:
 FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) SELECT q AS query_id, m AS material_id, round(max(c), 6) AS rank FROM n WHERE pos <= 50 GROUP BY 1, 2""")
 def meaning_hits(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    found = search.semantic_hits(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding"), e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("material_id"), "embedding"))
+    parts = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("material_id"), "embedding")
+    found = search.semantic_hits(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding"), parts, cells=ann.build_cells(parts))
     return found.select("query_id", "material_id", F.round("rank", 6).alias("rank"))
 
 
