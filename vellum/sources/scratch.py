@@ -47,5 +47,5 @@ def release(*tables: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """df with its rows dealt anew where it is read from fewer files than there are cores: a scan cannot deal out less than a file's row groups, and parsing a text costs far more than moving it.
     Larger tables stay as they are."""
-    files, cores = len(df._jdf.inputFiles()), df.sparkSession  # counted where they are listed.sparkContext.defaultParallelism
+    files, cores = len(df._jdf.inputFiles()), df.sparkSession.sparkContext.defaultParallelism  # names stay where they are listed
     return df.repartition(cores) if 0 < files < cores else df
