@@ -47,7 +47,7 @@ def build_cells(items: DataFrame, id: str = "id", vector: str = "embedding", cel
     if not n:
         return Cells(it.withColumn("cell", F.lit(0)), np.zeros((1, 1)), np.zeros(1), np.zeros(1, np.int64))
     some = it if n <= sample_rows else it.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) < int((1 << 40) * sample_rows / n))
-    sample = _matrix(pd.Series([r["v"] for r in some.select("v").collect()]))
+    sample = _matrix(pd.Series([r["v"] for r in sorted(some.select("id", "v").collect(), key=lambda r: r["id"])]))
     k = max(1, min(cells or int(np.ceil(np.sqrt(n))), MOST_CELLS, len(sample)))
     centroids = _kmeans(sample, k, rounds)
     kinds = dict(it.dtypes)
