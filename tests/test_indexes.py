@@ -14,16 +14,19 @@ def test_postings_replace_and_prune(spark):
     store = postings.PostingsTable(spark, path, stem=False, buckets=16)
     docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
     store.add(docs([(1, "the quiet harbour at dawn"), (2, "quiet water"), (3, "harbour of stone"), (4, None), (5, "the of and")]), 0)
-    ask = spark.createDataFrame([(1, ["harbour"], [], [], ""), (2, ["quiet"], ["water", "dawn"], [], ""), (3, ["quiet"], [], ["water"], ""), (4, [], ["stone"], [], ""), (5, ["harbour"], [], [], "harbour of stone"), (6, ["harbour"], [], [], "harbour stone")], "query_id int, must array<string>, any array<string>, not array<string>, phrase string")
+    ask = spark.createDataFrame([(1, ["harbour"], [], [], ""), (2, ["quiet"], ["water", "dawn"], [], ""), (3, ["quiet"], [], ["water"], ""), (4, [], ["stone"], [], ""), (5, ["harbour"], [], [], "harbour of stone"), (6, ["harbour"], [], [], "harbour stone"), (7, ["water"], [], [], "")], "query_id int, must array<string>, any array<string>, not array<string>, phrase string")
     hits = lambda: sorted((r.query_id, r.id) for r in store.search(ask).collect())
-    assert hits() == [(1, 1), (1, 3), (2, 1), (2, 2), (3, 1), (4, 3), (5, 3)]
+    assert hits() == [(1, 1), (1, 3), (2, 1), (2, 2), (3, 1), (4, 3), (5, 3), (7, 2)]
     store.add(docs([(3, "a new text of water"), (2, None), (6, "harbour stone")]), 1)
-    assert hits() == [(1, 1), (1, 6), (2, 1), (3, 1), (4, 6), (6, 6)]
+    assert hits() == [(1, 1), (1, 6), (2, 1), (3, 1), (4, 6), (6, 6), (7, 3)]
     before = sorted(map(tuple, store.search(ask).collect()))
     store.add(docs([(3, "a new text of water"), (2, None), (6, "harbour stone")]), 1)
     assert sorted(map(tuple, store.search(ask).collect())) == before
-    spark.createDataFrame([("quiet", 9, 1, [0], 2, 0)], "term string, id long, tf long, positions array<int>, segment int, bucket int").write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/postings")
-    assert sorted(map(tuple, store.search(ask).collect())) == before  # a segment without its documents is not seen
+    spark.createDataFrame([("quiet", 1, 1, [0], "wlost", 0)], "term string, id long, tf long, positions array<int>, write string, bucket int").write.mode("append").partitionBy("write", "bucket").parquet(f"{path}/postings")
+    assert sorted(map(tuple, store.search(ask).collect())) == before  # postings that no document names are not seen
+    assert store.sweep() == 2 and sorted(map(tuple, store.search(ask).collect())) == before  # a replaced write and a lost one
+    store.add(docs([(6, "harbour stone"), (2, None), (3, "other words")]), 1)
+    assert hits() == [(1, 1), (1, 6), (2, 1), (3, 1), (4, 6), (6, 6)]  # nothing of the text before is left
     plan = store.of_terms(spark.createDataFrame([("quiet",)], "term string"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket#" in plan.split("PartitionFilters", 1)[1][:200]
 

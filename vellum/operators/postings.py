@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from vellum.sources.scratch import settle
 class PostingsTable:
     """Postings under a path, in two Parquet tables.
 
-    postings/segment=/bucket=: (term, id, tf, positions) by a hash of the term. documents/segment=: (id, doc_len), null where the document is taken out. A document is what its latest segment says, so adding
-    documents replaces theirs and touches nothing else. A segment's documents are written last: a segment whose writer was lost is not seen. Writing a segment again replaces it."""
+    postings/write=/bucket=: (term, id, tf, positions) by a hash of the term. documents/segment=: (id, doc_len, write), doc_len null where the document is taken out. A document is what its latest segment says, with the postings of
+    the write that this names, so adding documents replaces theirs and touches nothing else. A segment's documents are written last: what a lost writer left is not seen. Writing a segment again replaces it; sweep drops what
+    nothing names any more."""
 
     def __init__(self, spark: SparkSession, path: str, stem: bool = True, buckets: int = 64):
         self.spark, self.path, self.stem, self.buckets = spark, path.rstrip("/"), stem, buckets
@@ -21,10 +24,6 @@ class PostingsTable:
     def _bucket(self, term: str = "term"):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _write(self, df: DataFrame, name: str, *by: str) -> None:
-        # of a table that stands only the partitions that df holds are replaced
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
-
     def add(self, docs: DataFrame, segment: int, id: str = "id", text: str = "text") -> None:
         """Documents (id, text) as a segment; a null text takes the document out. segment: a number above those before, or one of them, which is then replaced."""
         words = settle(word_arrays(docs, id, text))
@@ -34,23 +33,37 @@ class PostingsTable:
         else:
             each = each.withColumnRenamed("word", "term")
         post = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-        post = post.select("term", "id", "tf", "positions", F.lit(segment).alias("segment"), self._bucket())
-        self._write(post.hint("rebalance", "bucket"), "postings", "segment", "bucket")
+        write = f"w{uuid.uuid4().hex}"
+        post = post.select("term", "id", "tf", "positions", F.lit(write).alias("write"), self._bucket())
+        post.hint("rebalance", "bucket").write.mode("append").option("compression", "zstd").partitionBy("write", "bucket").parquet(f"{self.path}/postings")
         lengths = docs.select(F.col(id).alias("id"), F.col(text).isNull().alias("gone")).join(words.select("id", "doc_len"), "id", "left")
-        self._write(lengths.select("id", F.when(~F.col("gone"), F.coalesce("doc_len", F.lit(0))).alias("doc_len"), F.lit(segment).alias("segment")), "documents", "segment")
+        lengths = lengths.select("id", F.when(~F.col("gone"), F.coalesce("doc_len", F.lit(0))).alias("doc_len"), F.lit(write).alias("write"), F.lit(segment).alias("segment"))
+        # of a table that stands this segment alone is replaced
+        lengths.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("segment").parquet(f"{self.path}/documents")
+
+    def sweep(self) -> int:
+        """Delete the postings of writes that no segment names, and say how many there were. Not while another adds."""
+        named = {r["write"] for r in self.spark.read.parquet(f"{self.path}/documents").select("write").distinct().collect()}  # one a segment
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/postings")
+        store, gone = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), 0
+        for f in store.listStatus(where):
+            name = f.getPath().getName()
+            if name.startswith("write=") and name.removeprefix("write=") not in named:
+                gone += store.delete(f.getPath(), True)
+        return gone
 
     def documents(self) -> DataFrame:
-        """(id, segment, doc_len): each document by its latest segment, without those taken out and those without words."""
+        """(id, write, doc_len): each document by its latest segment, without those taken out and those without words."""
         d = self.spark.read.parquet(f"{self.path}/documents")
-        last = d.groupBy("id").agg(F.max(F.struct("segment", "doc_len")).alias("d"))
-        return last.select("id", "d.segment", "d.doc_len").where("doc_len > 0")
+        last = d.groupBy("id").agg(F.max(F.struct("segment", "doc_len", "write")).alias("d"))
+        return last.select("id", "d.write", "d.doc_len").where("doc_len > 0")
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
         """Postings (id, term, tf, positions, doc_len) of the terms (term), read from their buckets alone; at most `buckets` numbers come to the driver for that."""
         wanted = terms.select("term").distinct()
         some = sorted(r["bucket"] for r in wanted.select(self._bucket()).distinct().collect())
         post = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(some)).join(wanted, "term", "left_semi")
-        return post.join(self.documents(), ["id", "segment"]).select("id", "term", "tf", "positions", "doc_len")
+        return post.join(self.documents(), ["id", "write"]).select("id", "term", "tf", "positions", "doc_len")
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, rank) by BM25 of the documents that match queries (query_id, must[, any, not, phrase]): all of must, one of any if given, none of not, the words of phrase in a row."""
