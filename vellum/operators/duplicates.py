@@ -258,7 +258,9 @@ def scan(docs: DataFrame, texts: DataFrame, cosines: DataFrame | None = None, le
     seen = ((F.col("overlap") >= GATE) | F.col("sha256_equal")) & F.col("na").isNotNull() & F.col("nb").isNotNull()
     p = p.withColumn("shingles", F.when(seen, T.jaccard_of_sizes(F.col("na"), F.col("nb"), both))).withColumn("containment", F.when(seen, T.containment_of_sizes(F.col("na"), F.col("nb"), both)))
     p = p.join(cosines.select("a", "b", F.col("cosine").alias("embedding")), ["a", "b"], "left") if cosines is not None else p.withColumn("embedding", F.lit(None).cast("double"))
-    p = p.withColumn("v", verdict(F.col("title"), F.col("shingles"), F.col("containment"), F.col("embedding"), F.col("sha256_equal"), F.col("md5_equal"), F.col("same_pages"))).where("v.level <> 'distinct'")
+    # through an array, so that a pair is judged once and not again for each use of the verdict
+    judged = verdict(F.col("title"), F.col("shingles"), F.col("containment"), F.col("embedding"), F.col("sha256_equal"), F.col("md5_equal"), F.col("same_pages"))
+    p = p.withColumn("v", F.explode(F.array(judged))).where("v.level <> 'distinct'")
     some = lambda c: F.when(F.col(c) != 0, F.round(c, 3)).alias(c)
     return p.select("a", "b", "v.score", "v.level", "v.reasons", F.round("title", 3).alias("title"), some("shingles"), some("containment"), some("embedding"), "sha256_equal")
 
