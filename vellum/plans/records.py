@@ -30,7 +30,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def hours(n) -> F.Column:
-    return F.timestamp_seconds(n * 3600)
+    return F.timestamp_seconds(n.cast("long") * 3600)  # 3600 times a whole literal would overflow an int
 
 
 def materials(spark: SparkSession, d: str) -> DataFrame:
