@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.operators.vectors import BLOCK, _matrix, _named
+from vellum.operators.vectors import BLOCK, LEAST, TALL, WIDE, Nearest, _frame, _matrix, _named, _parts, _sides
 from vellum.sources.scratch import settle
 
 #: Most cells of an index: centroids are held by the driver and by every worker.
@@ -39,6 +39,13 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
+def _slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of the parts, TALL at a time: a worker holds the cosines of so many with all centroids."""
+    for p in parts:
+        for s in range(0, len(p), TALL):
+            yield p.iloc[s : s + TALL]
+
+
 def build_cells(items: DataFrame, id: str = "id", vector: str = "embedding", cells: int | None = None, sample_rows: int = 20_000, rounds: int = 8) -> Cells:
     """The inverted file of all items with a vector. Centroids (about the root of the number of rows, MOST_CELLS at most) are fitted on about sample_rows rows, chosen by a bound on a hash of
     the id; every row is filed."""
@@ -53,9 +60,9 @@ def build_cells(items: DataFrame, id: str = "id", vector: str = "embedding", cel
     kinds = dict(it.dtypes)
 
     def file(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            c = _matrix(p.v) @ centroids.T if len(p) else np.zeros((0, k))
-            yield p.assign(cell=c.argmax(1).astype(np.int32), angle=np.arccos(np.clip(c.max(1, initial=-1), -1, 1)))
+        for p in _slices(parts):
+            c = _matrix(p.v) @ centroids.T
+            yield pd.DataFrame({"id": p.id.to_numpy(), "v": p.v.to_numpy(), "cell": c.argmax(1).astype(np.int32), "angle": np.arccos(np.clip(c.max(1, initial=-1), -1, 1))})
 
     filed = settle(it.mapInPandas(file, f"id {kinds['id']}, v {kinds['v']}, cell int, angle double"))
     radius, rows = np.zeros(k), np.zeros(k, np.int64)
@@ -64,16 +71,29 @@ def build_cells(items: DataFrame, id: str = "id", vector: str = "embedding", cel
     return Cells(filed.select("id", "v", "cell"), centroids, radius, rows)
 
 
-def _route(queries: DataFrame, cells: Cells, first: int, rest: bool) -> DataFrame:
-    """(id, v, cell): the `first` nearest cells of each query; with rest, instead the other cells in which a row may reach the query's least cosine (column least; null: any row). A row of a
-    cell is no nearer to the query than their centroid's angle less the cell's radius."""
+def _bands(cells: Cells, block: int) -> list[list[tuple[int, int, int]]]:
+    """Runs of cells with about `block` rows together, each cell as (cell, part, parts): a cell of more rows is cut into parts."""
+    most = max(1, min(block, max(LEAST, int(cells.rows.sum()) // 24)))
+    bands, room = [[]], most
+    for cell in np.flatnonzero(cells.rows):
+        n = -(-int(cells.rows[cell]) // most)
+        for part in range(n):
+            if bands[-1] and room < cells.rows[cell] // n:
+                bands.append([])
+                room = most
+            bands[-1].append((int(cell), part, n))
+            room -= int(cells.rows[cell]) // n
+    return bands
+
+
+def _route(queries: DataFrame, cells: Cells, bands: list, first: int, rest: bool) -> DataFrame:
+    """(id, v, least, band, wanted): the bands that hold any of the `first` nearest cells of each query, and the places of those in the band; with rest, instead the other cells in which a row may reach the query's
+    least cosine (column least; null: any row). A row of a cell is no nearer to the query than their centroid's angle less the cell's radius."""
     kinds = dict(queries.dtypes)
     centroids, radius, full = cells.centroids, cells.radius, cells.rows > 0
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
+        for p in _slices(parts):
             c = _matrix(p.v) @ centroids.T
             order = np.argsort(np.where(full, -c, np.inf), axis=1, kind="stable")
             take = np.zeros(c.shape, bool)
@@ -82,46 +102,68 @@ def _route(queries: DataFrame, cells: Cells, first: int, rest: bool) -> DataFram
                 nearest = np.maximum(0, np.arccos(np.clip(c, -1, 1)) - radius)
                 least = p.least.fillna(-2.0).to_numpy()[:, None]
                 take = ~take & (np.cos(nearest) + 1e-9 >= least)
-            row, cell = np.nonzero(take & full)
-            yield pd.DataFrame({"id": p.id.to_numpy()[row], "v": p.v.to_numpy()[row], "cell": cell.astype(np.int32)})
-
-    return queries.mapInPandas(route, f"id {kinds['id']}, v {kinds['v']}, cell int")
-
-
-def _search(routed: DataFrame, cells: Cells, k: int, block: int) -> DataFrame:
-    """(query, item, cosine): the k nearest of each query in each block of a cell that it was sent to. Cells are cut into blocks of rows and of queries, so that one cell may hold any share of either."""
-    asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-    spark, kind = routed.sparkSession, dict(routed.dtypes)["id"]
-    cuts = spark.createDataFrame([(int(c), int(-(-cells.rows[c] // block)), -(-n // block)) for c, n in asked.items()], "cell int, br int, bq int")
-    near = F.broadcast(cuts)  # MOST_CELLS rows at most
-    x = routed.join(near, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("bq")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("r"), F.lit(0).alias("side"))
-    y = cells.filed.join(near, "cell").select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("q"), F.pmod(F.xxhash64("id"), F.col("br")).cast("int").alias("r"), F.lit(1).alias("side"))
+            for band, held in enumerate(bands):
+                wanted = take[:, [cell for cell, _, _ in held]]
+                rows = np.flatnonzero(wanted.any(1))
+                if len(rows):
+                    part = {"id": p.id.to_numpy()[rows], "v": p.v.to_numpy()[rows], "least": p.least.to_numpy()[rows]}
+                    yield pd.DataFrame(part | {"band": np.int32(band), "wanted": [w.tobytes() for w in np.packbits(wanted[rows], axis=1)]})
+
+    return queries.mapInPandas(route, f"id {kinds['id']}, v {kinds['v']}, least double, band int, wanted binary")
+
+
+def _search(queries: DataFrame, cells: Cells, k: int, block: int, first: int, rest: bool, asked: int) -> DataFrame:
+    """(query, item, cosine): the k nearest of each query (id, v, least) in each band of cells that it is sent to; below its least cosine none. Queries, of which there are `asked`, are dealt to blocks too, so that one cell
+    may hold any share of either, and a query moves once for each band and not for each cell."""
+    spark, kind, bands, bq = queries.sparkSession, dict(queries.dtypes)["id"], _bands(cells, block), _parts(asked, block, 4)
+    where = spark.createDataFrame([(cell, part, n, band, at) for band, held in enumerate(bands) for at, (cell, part, n) in enumerate(held)], "cell int, part int, parts int, band int, at int")
+    at_most = F.broadcast(where)  # as many rows as there are cells, and one for each block of rows
+    counts = F.broadcast(where.select("cell", "parts").distinct())
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("least", "double"), ("wanted", "binary"))]
+    x = _route(queries, cells, bands, first, rest).select("id", "v", "band", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int").alias("q"), "least", "wanted", F.lit(-1).alias("at"))
+    placed = cells.filed.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).join(at_most, ["cell", "part"])
+    y = placed.select("id", "v", "band", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("q"), *none, "at")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
+        a, b = pdf[pdf["at"] < 0], pdf[pdf["at"] >= 0].sort_values(["at", "id"])
         if not len(a) or not len(b):
             return pd.DataFrame({"query": [], "item": [], "cosine": []})
-        c = _matrix(a.v) @ _matrix(b.v).T
-        c[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-c, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), top.shape[1])
-        out = pd.DataFrame({"query": a.id.to_numpy()[rows], "item": b.id.to_numpy()[top.ravel()], "cosine": c[rows, top.ravel()]})
-        return out[np.isfinite(out.cosine)]
-
-    return x.unionByName(y).groupBy("cell", "q", "r").applyInPandas(best, f"query {kind}, item {kind}, cosine double")
+        m, y, of, codes = _sides(a, b)
+        kept = np.flatnonzero(np.isfinite(y).all(1))
+        y, codes, asked, out = y[kept], codes[kept], a.id.to_numpy(), []
+        some, first = np.unique(codes, return_index=True)
+        names = b.id.to_numpy()[kept][first]
+        place, single, least = b["at"].to_numpy()[kept], y.astype(np.float32), a.least.to_numpy(np.float64)
+        wanted = np.unpackbits(np.frombuffer(b"".join(a.wanted), np.uint8).reshape(len(a), -1), axis=1).astype(bool)
+        for s in range(0, len(m), TALL):
+            near = Nearest(m[s : s + TALL], of[s : s + TALL], k)
+            near.c[:] = np.nextafter(np.nan_to_num(least[s : s + TALL], nan=-np.inf), -np.inf)[:, None]  # equal ones come in by their ids
+            fine = np.isfinite(near.x).all(1)
+            for at in np.unique(place):
+                rows, (lo, hi) = np.flatnonzero(wanted[s : s + TALL, at] & fine), np.searchsorted(place, [at, at + 1])
+                for t in range(lo, hi, WIDE) if len(rows) else ():
+                    u = min(hi, t + WIDE)
+                    near.see(rows, y[t:u], single[t:u], codes[t:u])
+            r, code, c = near.found()
+            real = code < np.iinfo(np.int64).max
+            out.append((asked[s : s + TALL][r[real]], names[np.searchsorted(some, code[real])], c[real]))
+        return _frame(out, ("query", "item", "cosine"))
+
+    return x.unionByName(y).groupBy("band", "q").applyInPandas(best, f"query {kind}, item {kind}, cosine double")
 
 
 def nearest(queries: DataFrame, cells: Cells, k: int = 5, probes: int = 8, exact: bool = True, id: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query, item, cosine, pos): the k nearest items of each query, itself left out; ties by id. The probes nearest cells are searched first. exact: then every other cell that may hold a row as near as the k-th
     found, so that nothing is missed; otherwise the search ends there, and recall is what the data give."""
     q = _named(queries, id, vector)
-    found = _search(_route(q, cells, probes, False), cells, k, block)
+    asked, bare = q.count(), F.lit(None).cast("double").alias("least")
+    found = _search(q.select("id", "v", bare), cells, k, block, probes, False, asked)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "item"))
     if exact and probes < int((cells.rows > 0).sum()):
         found = settle(found.withColumn("pos", rank).where(F.col("pos") <= k).drop("pos"))
         have = found.groupBy("query").agg(F.min("cosine").alias("least"), F.count("*").alias("n"))
         least = q.join(have.select(F.col("query").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("least")), "id", "left")
-        found = found.unionByName(_search(settle(_route(least, cells, probes, True)), cells, k, block))
+        found = found.unionByName(_search(least, cells, k, block, probes, True, asked))
     return found.withColumn("pos", rank).where(F.col("pos") <= k)
 
 

@@ -10,12 +10,13 @@ from vellum.functions import text as T
 from vellum.operators.listing import first_spelling, next_ordinal, top_n_per_group
 from vellum.operators.ann import Cells, nearest
 from vellum.operators.vectors import top_k
+from vellum.sources.scratch import settle
 
 
 def neighbour_vote(subjects: DataFrame, docs: DataFrame, filings: DataFrame, topics: DataFrame, k: int = 15, n: int = 3, floor: float = 0.2, strong: float = 0.4, cells: Cells | None = None) -> DataFrame:
     """(material_id, topic, weight, votes, share, strong, because): votes of the k nearest others. Shares are of all neighbours' weight, filed or not.
     cells: an index of docs, searched exactly; without it all are compared with all."""
-    near = top_k(subjects, docs, k) if cells is None else nearest(subjects, cells, k)
+    near = settle(top_k(subjects, docs, k) if cells is None else nearest(subjects, cells, k))  # searched once, read twice
     total = near.groupBy("query").agg(F.sum("cosine").alias("total"), F.count("*").alias("of"))
     named = filings.join(topics.where("merged_into_id is null").select(F.col("id").alias("category_id")), "category_id")
     votes = near.join(named.select(F.col("material_id").alias("item"), "category_id"), "item").groupBy("query", "category_id").agg(F.sum("cosine").alias("weight"), F.count("*").alias("votes"))
