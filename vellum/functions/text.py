@@ -228,18 +228,27 @@ NOTE_CLEAN = "The text reads cleanly."
 
 
 def dehyphenate(c: Column) -> Column:
-    """Join words split over lines; a hyphen that belongs to the word stays. A fold over the lines, as each looks at what is joined so far."""
-    last_word = lambda s: F.substring_index(F.translate(s, "\t\r\u00a0", "   "), " ", -1)
-
-    def join(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        stem = F.substr(last, F.lit(1), F.length(last) - 1)
-        w = last_word(stem)
-        stays = F.lower(w).isin(*HYPHEN_PREFIXES, *HYPHEN_NUMBERS) | w.rlike("[/:]") | w.rlike(r"(?i)\.[a-z]{2,}$") | w.contains("-") | w.rlike(r"\d")
-        joined = F.concat(stem, F.when(stays, "-").otherwise(""), line)
-        return F.when((F.size(done) > 0) & F.right(last, F.lit(2)).rlike(r"^\w[-–]$") & line.rlike("^[a-z]"), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
-
-    return F.array_join(F.aggregate(F.split(c, "\n"), F.array().cast("array<string>"), join), "\n")
+    """Join words split over lines; a hyphen that belongs to the word stays. The text is cut where words are split; what a hyphen does depends on the word before it alone, which a fold over the pieces
+    hands on where a piece is no more than a part of a word."""
+    pieces = F.split(c, r"(?<=\w)[-–]\n(?=[a-z])")
+
+    def join(done: Column, piece: Column) -> Column:
+        def judge(tail: Column) -> Column:
+            before = F.when(F.length(tail) == F.length(piece), F.concat(done.word, F.when(F.right(done.signs, F.lit(1)) == "-", "-").otherwise(""))).otherwise("")
+            return let(F.concat(before, tail), lambda w: F.struct(w.alias("word"), F.concat(done.signs, F.when(_stays(w), "-").otherwise(" ")).alias("signs")))
+
+        return let(F.substring_index(F.translate(piece, "\t\r\u00a0\n", "    "), " ", -1), judge)
+
+    def whole(p: Column) -> Column:
+        start = F.struct(F.lit("").alias("word"), F.lit("").alias("signs"))
+        signs = F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, join, lambda x: x.signs)
+        return let(signs, lambda s: F.array_join(F.transform(p, lambda x, i: F.concat(x, F.when(F.substr(s, i + 1, F.lit(1)) == "-", "-").otherwise(""))), ""))
+
+    return F.when(F.size(pieces) < 2, c).otherwise(let(pieces, whole))
+
+
+def _stays(w: Column) -> Column:
+    return F.lower(w).isin(*HYPHEN_PREFIXES, *HYPHEN_NUMBERS) | w.rlike("[/:]") | w.rlike(r"(?i)\.[a-z]{2,}$") | w.contains("-") | w.rlike(r"\d")
 
 
 def looks_invented(token: Column) -> Column:
