@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.operators.vectors import BLOCK, LEAST, TALL, WIDE, Nearest, _frame, _matrix, _named, _parts, _sides
+from vellum.operators.vectors import BLOCK, LEAST, TALL, WIDE, Nearest, _cosines, _frame, _matrix, _named, _parts, _sides, _slack
 from vellum.sources.scratch import settle
 
 #: Most cells of an index: centroids are held by the driver and by every worker.
@@ -167,11 +167,12 @@ def nearest(queries: DataFrame, cells: Cells, k: int = 5, probes: int = 8, exact
     return found.withColumn("pos", rank).where(F.col("pos") <= k)
 
 
-def lsh_pairs(items: DataFrame, threshold: float = 0.93, tables: int = 8, bits: int = 14, probes: int = 2, id: str = "id", vector: str = "embedding", seed: int = 5) -> DataFrame:
+def lsh_pairs(items: DataFrame, threshold: float = 0.93, tables: int = 8, bits: int = 14, probes: int = 2, id: str = "id", vector: str = "embedding", seed: int = 5, most: int = 4000) -> DataFrame:
     """(a, b, cosine), a < b, cosine >= threshold: pairs that share a bucket of one of several hash tables, their cosine computed exactly. None below the threshold; recall is a matter of the parameters.
 
     A table's key is the signs of `bits` random projections. Each row is filed under its own key, and looked up there and under the keys with one of the `probes` least certain signs turned. Rows with equal
-    vectors are one class: only its representative is hashed, so a bucket holds different vectors, and copies are pairs of the class. The defaults find 0.999 of pairs at 0.93 between random vectors."""
+    vectors are one class: only its representative is hashed, so a bucket holds different vectors, and copies are pairs of the class. The defaults find 0.999 of pairs at 0.93 between random vectors.
+    Vectors meet in their buckets as matrices, so only links leave a bucket; one of more than `most` rows is cut."""
     it = _named(items, id, vector).where(F.expr("exists(v, x -> x <> 0)"))
     named = it.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(1), "v"))
     members = settle(named.select("id", "h", "g").join(named.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")), ["h", "g"]).select("id", "rep", "n"))
@@ -180,30 +181,50 @@ def lsh_pairs(items: DataFrame, threshold: float = 0.93, tables: int = 8, bits:
 
     def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plane = None
-        for p in parts:
-            if not len(p):
-                continue
+        for p in _slices(parts):
             m = _matrix(p.v)
             if plane is None:
                 plane = np.random.default_rng(seed).normal(size=(m.shape[1], tables * bits))
             x = (m @ plane).reshape(len(m), tables, bits)
             own = ((x > 0) << np.arange(bits)).sum(2)
             order = np.argsort(np.abs(x), axis=2)[:, :, :probes]
-            every = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << order)], axis=2)
-            row, table, nth = (v.ravel() for v in np.indices(every.shape))
-            yield pd.DataFrame({"id": p.id.to_numpy()[row], "key": (table * (1 << bits)) + every.ravel(), "own": nth == 0})
-
-    hashed = settle(reps.mapInPandas(keys, f"id {kinds['id']}, key long, own boolean"))
-    filed, looked = hashed.where("own").select("key", F.col("id").alias("x")), hashed.select("key", F.col("id").alias("y"))
-    met = filed.join(looked, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = met.join(reps.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(reps.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-
-    def cosine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if len(p):
-                yield p[["a", "b"]].assign(cosine=np.einsum("ij,ij->i", _matrix(p.va), _matrix(p.vb)))
-
-    links = both.mapInPandas(cosine, f"a {kinds['id']}, b {kinds['id']}, cosine double").where(F.col("cosine") >= threshold)
+            every = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << order)], axis=2) + (np.arange(tables) << bits)[:, None]
+            yield pd.DataFrame({"id": p.id.to_numpy(), "v": p.v.to_numpy(), "keys": list(every.reshape(len(m), -1).astype(np.int64))})
+
+    hashed = settle(reps.mapInPandas(keys, f"id {kinds['id']}, v {kinds['v']}, keys array<long>"))
+    each = hashed.select("id", "v", F.posexplode("keys").alias("pos", "key")).select("id", "v", "key", (F.col("pos") % (probes + 1) == 0).alias("own"))
+    full = each.groupBy("key").agg(F.count_if("own").alias("f"), F.count("*").alias("l")).where(F.col("l") > most)
+    hot = F.broadcast(settle(full.select("key", F.ceil(F.greatest("f", F.lit(1)) / most).cast("int").alias("nf"), F.ceil(F.col("l") / most).cast("int").alias("nl"))))  # at most one in `most` of the keys filed
+    # buckets go by the run of 64, and one of many rows is cut into blocks of either side; a row moves once for each of its keys, and not for each row that it meets
+    role = lambda n: F.lit(n).alias("role")
+    none = F.lit(0)
+    cold = each.join(hot.select("key"), "key", "left_anti").select("id", "v", "key", F.when(F.col("own"), 2).otherwise(0).alias("role"), F.shiftright("key", 6).alias("run"), none.alias("i"), none.alias("j"))
+    cut, dealt = each.join(hot, "key"), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    copied = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    filed = cut.where("own").select("id", "v", "key", role(1), (-1 - F.col("key")).alias("run"), dealt(F.col("nf")).alias("i"), copied("nl").alias("j"))
+    looked = cut.select("id", "v", "key", role(0), (-1 - F.col("key")).alias("run"), copied("nf").alias("i"), dealt(F.col("nl")).alias("j"))
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        m, key, part, ids = _matrix(pdf.v), pdf.key.to_numpy(), pdf.role.to_numpy(), pdf.id.to_numpy()
+        codes, single, low = pd.factorize(pdf.id, sort=True)[0], m.astype(np.float32), np.float32(threshold - _slack(m.shape[1]))
+        cuts, out = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1)), [(ids[:0], ids[:0], np.zeros(0))]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            f, other = lo + np.flatnonzero(part[lo:hi] >= 1), lo + np.flatnonzero(part[lo:hi] != 1)
+            for s in range(0, len(f), TALL):
+                for t in range(0, len(other), WIDE):
+                    r, j = np.nonzero(single[f[s : s + TALL]] @ single[other[t : t + WIDE]].T >= low)
+                    r, j = f[s + r], other[t + j]
+                    met = codes[r] != codes[j]
+                    r, j = r[met], j[met]
+                    c = _cosines(m, m, r, j)
+                    r, j, c = r[c >= threshold], j[c >= threshold], c[c >= threshold]
+                    turn = codes[r] > codes[j]
+                    out.append((ids[np.where(turn, j, r)], ids[np.where(turn, r, j)], c))
+        return _frame(out, ("a", "b", "cosine"))
+
+    met = cold.unionByName(filed).unionByName(looked).groupBy("run", "i", "j").applyInPandas(close, f"a {kinds['id']}, b {kinds['id']}, cosine double")
+    links = met.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     from vellum.operators.duplicates import Classes, expand
 
     return expand(Classes(members, links), {"cosine": F.lit(1.0)})
