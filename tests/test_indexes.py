@@ -51,3 +51,22 @@ def test_hash_tables_find_close_pairs_and_copies(spark):
     true = {(a.a, a.b) for a in vectors.similar_pairs(items, 0.93).collect()}
     got = [(a.a, a.b) for a in ann.lsh_pairs(items, 0.93).collect()]
     assert len(got) == len(set(got)) and set(got) <= true and len(got) >= 0.97 * len(true) and len(true) > 900
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    from vellum.operators import search
+
+    texts = [(i, t) for i, t in enumerate(["the running runs ran a river", "", None, "of the and", "river Rivers river boats boat", "lamp " * 7 + "the lamp"])]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(2)
+    for stem in (False, True):
+        want = {}
+        for i, t in texts:
+            for at, w in enumerate((t or "").lower().split()):
+                if w not in search.STOP:
+                    want.setdefault((i, search.porter(w) if stem else w), []).append(at)
+        post = search.analyze(df, "id", "text", stem)
+        got = {(x.id, x.term): x.positions for x in post.collect()}
+        assert got == want and {(x.id, x.term): x.tf for x in post.collect()} == {k: len(v) for k, v in want.items()}
+        assert {x.id: x.doc_len for x in post.collect()} == {i: sum(len(v) for k, v in want.items() if k[0] == i) for i in {k[0] for k in want}}
+    plan = search.postings_of(search.word_arrays(df, "id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators.search import bm25, match_phrase, match_terms, query_terms, stems_of, word_arrays
+from vellum.operators.search import bm25, match_phrase, match_terms, postings_of, query_terms, word_arrays
 from vellum.sources.scratch import settle
 
 
@@ -27,15 +27,11 @@ class PostingsTable:
     def add(self, docs: DataFrame, segment: int, id: str = "id", text: str = "text") -> None:
         """Documents (id, text) as a segment; a null text takes the document out. segment: a number above those before, or one of them, which is then replaced."""
         words = settle(word_arrays(docs, id, text))
-        each = words.select("id", F.posexplode("w").alias("at", "word")).where("word is not null")
-        if self.stem:
-            each = each.join(stems_of(each), "word")
-        else:
-            each = each.withColumnRenamed("word", "term")
-        post = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+        post = postings_of(words, self.stem)
         write = f"w{uuid.uuid4().hex}"
-        post = post.select("term", "id", "tf", "positions", F.lit(write).alias("write"), self._bucket())
-        post.hint("rebalance", "bucket").write.mode("append").option("compression", "zstd").partitionBy("write", "bucket").parquet(f"{self.path}/postings")
+        post = post.select("term", "id", "positions", self._bucket()).hint("rebalance", "bucket")
+        post = post.withColumn("tf", F.size("positions").cast("long")).withColumn("write", F.lit(write))  # what a row says of itself does not move
+        post.write.mode("append").option("compression", "zstd").partitionBy("write", "bucket").parquet(f"{self.path}/postings")
         lengths = docs.select(F.col(id).alias("id"), F.col(text).isNull().alias("gone")).join(words.select("id", "doc_len"), "id", "left")
         lengths = lengths.select("id", F.when(~F.col("gone"), F.coalesce("doc_len", F.lit(0))).alias("doc_len"), F.lit(write).alias("write"), F.lit(segment).alias("segment"))
         # of a table that stands this segment alone is replaced
