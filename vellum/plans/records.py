@@ -100,10 +100,13 @@ def loaded_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, strlen(html) + 1 AS length, false AS is_pdf FROM pages WHERE html IS NOT NULL")
 def scanned_files(spark: SparkSession, d: str) -> DataFrame:
-    """Pages written as a file each, and the folder listed with its bytes."""
+    """Pages written as a file each, and the folder listed with its bytes. Files stand on shelves, whose folders are moved and listed as wholes; the n-th file of a shelf is its n-th page."""
     path = scratch(spark)
-    table(spark, d, "pages").where("html is not null").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
-    return tables.scan_files(spark, path, ".txt").select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "length", "is_pdf")
+    kept = table(spark, d, "pages").where("html is not null").select("page_id", "html", F.pmod(F.xxhash64("page_id"), F.lit(256)).alias("shelf"))
+    kept.repartition("shelf").sortWithinPartitions("shelf", "page_id").select("shelf", "html").write.partitionBy("shelf").option("maxRecordsPerFile", 1).text(path)
+    found = tables.scan_files(spark, path, ".txt").select(F.regexp_extract("path", "shelf=([0-9]+)", 1).cast("long").alias("shelf"), F.regexp_extract("path", "[.-]c([0-9]+)[.]txt$", 1).cast("int").alias("n"), "length", "is_pdf")
+    named = kept.select("shelf", (F.row_number().over(W.partitionBy("shelf").orderBy("page_id")) - 1).alias("n"), "page_id")
+    return found.join(named, ["shelf", "n"]).select("page_id", "length", "is_pdf")
 
 
 @query("SELECT 'f' || doc_id AS file_id, split_part(text, chr(10), 1) AS name, md5(text) AS md5, n_chars AS size FROM documents WHERE text IS NOT NULL")
