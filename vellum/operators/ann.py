@@ -136,8 +136,7 @@ def _search(queries: DataFrame, cells: Cells, k: int, block: int, first: int, re
         place, single, least = b["at"].to_numpy()[kept], y.astype(np.float32), a.least.to_numpy(np.float64)
         wanted = np.unpackbits(np.frombuffer(b"".join(a.wanted), np.uint8).reshape(len(a), -1), axis=1).astype(bool)
         for s in range(0, len(m), TALL):
-            near = Nearest(m[s : s + TALL], of[s : s + TALL], k)
-            near.c[:] = np.nextafter(np.nan_to_num(least[s : s + TALL], nan=-np.inf), -np.inf)[:, None]  # equal ones come in by their ids
+            near = Nearest(m[s : s + TALL], of[s : s + TALL], k, np.nan_to_num(least[s : s + TALL], nan=-np.inf))
             fine = np.isfinite(near.x).all(1)
             for at in np.unique(place):
                 rows, (lo, hi) = np.flatnonzero(wanted[s : s + TALL, at] & fine), np.searchsorted(place, [at, at + 1])
