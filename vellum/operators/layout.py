@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,30 +56,30 @@ def _halves(text: str, share: float) -> tuple[str, str] | None:
     return (left, right) if left and right else None
 
 
-def page_lines(page: pd.DataFrame, origin: str) -> list[str]:
+def page_lines(text: list, x: np.ndarray, y: np.ndarray, width: np.ndarray, height: np.ndarray, origin: str) -> list[str]:
     """Lines of one page in reading order. origin: where y counts from, `bottom` or `top`."""
-    page = page[page.text.fillna("").str.strip() != ""]
-    if page.empty:
+    kept = [i for i, t in enumerate(text) if (t or "").strip() != ""]
+    if not kept:
         return []
-    top = -(page.y + page.height) if origin == "bottom" else page.y
-    page = page.assign(top=top).sort_values("top", kind="stable")
-    splits = find_gutters(page.x.to_numpy(float), page.width.to_numpy(float))
-    over = {i: next((g for g in splits if r.x < g - CROSSING and r.x + r.width > g + CROSSING), None) for i, r in zip(page.index, page.itertuples())}
-    own = page[[over[i] is None for i in page.index]]
-    block = float((own.x + own.width).max() - own.x.min()) if len(own) else 1.0
-    tall = TALL * _upper_median(page.height.to_numpy(float))
+    x, y, width, height = (v[kept] for v in (x, y, width, height))
+    top = -(y + height) if origin == "bottom" else y
+    order = np.argsort(top, kind="stable")
+    splits = find_gutters(x[order], width[order])
+    tall, lines_x, lines_w = TALL * _upper_median(height), x.tolist(), width.tolist()
+    over = [next((g for g in splits if a < g - CROSSING and a + w > g + CROSSING), None) for a, w in zip(lines_x, lines_w)]
+    own = [i for i, g in enumerate(over) if g is None]
+    block = float(np.nanmax(x[own] + width[own]) - np.nanmin(x[own])) if own else 1.0
     # a row for each piece: band, then column, then top; a heading is a band of its own
     pieces, band = [], 0
-    for i, r in zip(page.index, page.itertuples()):
-        g = over[i]
-        if g is not None and not (r.width >= MERGED * block and r.height <= tall):
-            pieces.append((band + 1, 0, r.top, len(pieces), r.text))
+    for i in order.tolist():
+        g, said, left, wide, at = over[i], text[kept[i]], lines_x[i], lines_w[i], float(top[i])
+        if g is not None and not (wide >= MERGED * block and height[i] <= tall):
+            pieces.append((band + 1, 0, at, len(pieces), said))
             band += 2
             continue
-        cut = _halves(r.text, (g - r.x) / r.width) if g is not None else None
-        for t, x, w in [(r.text, r.x, r.width)] if cut is None else [(cut[0], r.x, g - r.x), (cut[1], g, r.x + r.width - g)]:
-            column = int(np.searchsorted(splits, x + w / 2, "left"))
-            pieces.append((band, column, r.top, len(pieces), t))
+        cut = _halves(said, (g - left) / wide) if g is not None else None
+        for t, a, w in [(said, left, wide)] if cut is None else [(cut[0], left, g - left), (cut[1], g, left + wide - g)]:
+            pieces.append((band, bisect_left(splits, a + w / 2), at, len(pieces), t))
     lines: list[str] = []
     for *_, t in sorted(pieces):
         if lines and re.fullmatch("[A-Z]", lines[-1].strip()) and re.match("[a-z]", t):
@@ -88,14 +90,21 @@ def page_lines(page: pd.DataFrame, origin: str) -> list[str]:
 
 def reading_order(boxes: DataFrame, origin: str) -> DataFrame:
     """(page_key, text) of line boxes (BOXES), pages each by itself: columns in turn, headings between bands, drop caps joined,
-    split words rejoined. origin is `bottom` or `top`: producers differ, so it must be said."""
+    split words rejoined. origin is `bottom` or `top`: producers differ, so it must be said. A page is a row, and a batch of pages is read at once."""
     if origin not in ("bottom", "top"):
         raise ValueError("origin is 'bottom' or 'top'")
-
-    def one(key, page: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_key": [key[0]], "text": ["\n".join(page_lines(page, origin))]})
-
-    return boxes.groupBy("page_key").applyInPandas(one, "page_key string, text string").withColumn("text", T.dehyphenate(F.col("text")))
+    sides = ("x", "y", "width", "height")
+    pages = boxes.groupBy("page_key").agg(F.collect_list(F.struct("text", *[F.col(c).cast("double").alias(c) for c in sides])).alias("boxes"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("boxes")
+            ends, flat = (held.offsets.to_numpy() - held.offsets[0].as_py()).tolist(), held.flatten()
+            text, box = flat.field("text").to_pylist(), [flat.field(c).to_numpy(zero_copy_only=False) for c in sides]
+            read = ["\n".join(page_lines(text[s:e], *[v[s:e] for v in box], origin)) for s, e in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("page_key"), pa.array(read, pa.string())], ["page_key", "text"])
+
+    return pages.mapInArrow(read, "page_key string, text string").withColumn("text", T.dehyphenate(F.col("text")))
 
 
 def read_page(boxes: DataFrame, origin: str, hallucinates: bool = False) -> DataFrame:
